@@ -43,10 +43,11 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4) == 2
 
 
-#: DuckDB macros-free CRC-32 of a text column; the table rows follow from the polynomial 0xEDB88320.
-def crc32_sql(expr: str) -> str:
-    step = "CASE WHEN {x} & 1 = 1 THEN xor({x} >> 1, 3988292384) ELSE {x} >> 1 END"
-    entry = "list_reduce(list_prepend(n, range(8)), lambda x, k: " + step.format(x="x") + ")"
-    crc_table = f"(SELECT list({entry} ORDER BY n) FROM (SELECT unnest(range(256)) AS n))"
-    bytes_of = f"list_transform(range(CAST(octet_length(encode({expr})) AS BIGINT)), lambda i: CAST(ord(chr(CAST(concat('0x', substr(hex(encode({expr})), CAST(2 * i + 1 AS BIGINT), 2)) AS INTEGER))) AS BIGINT))"
-    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_of}), lambda c, b: xor(c >> 8, {crc_table}[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295)"
+#: DuckDB CTE with the 256 remainders of CRC-32, from its polynomial.
+CRC_TABLE_SQL = "crc_table AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY n) AS crc FROM (SELECT unnest(range(256)) AS n))"
+
+
+def crc32_sql(hex_col: str) -> str:
+    """DuckDB CRC-32 of the bytes in a hex column, beside the column crc of crc_table."""
+    data = f"list_transform(range(CAST(length({hex_col}) // 2 AS BIGINT)), lambda i: CAST(concat('0x', substr({hex_col}, CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {data}), lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295)"

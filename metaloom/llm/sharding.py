@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_sql, staged
+from .common import CRC_TABLE_SQL, crc32_sql, staged
 
 SEED = "interleave-1"
 SHARDS = 8
@@ -61,10 +61,11 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, id_col: st
 
 
 ORACLE = f"""
-WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+WITH {CRC_TABLE_SQL},
+t AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS hx, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
 r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id) - CAST(0.5 AS DOUBLE)) / count(*) OVER (PARTITION BY source) AS fraction, count(*) OVER () AS total FROM t),
 p AS (SELECT *, row_number() OVER (ORDER BY fraction, key, doc_id) - 1 AS place FROM r)
-SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size, CAST({crc32_sql("text")} AS BIGINT) AS text_crc32, 'rows' AS law,
+SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size, CAST({crc32_sql("hx")} AS BIGINT) AS text_crc32, 'rows' AS law,
 CAST((place * {SHARDS}) // total AS INTEGER) AS shard, CAST(place - (((place * {SHARDS}) // total) * total + {SHARDS - 1}) // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM p
+FROM p, crc_table
 """
