@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, sharding
+from . import decontaminate, exact_dedup, language_id, pieces, sharding, token_counts
 from .common import held_out, table
 
 
@@ -28,8 +28,27 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(hits).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def _model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes with merge-dropout, decodes again, and tells whether each text came back."""
+    docs = table(spark, sf_dir, "documents").withColumn("text_md5", F.md5("text"))
+    coded = pieces.encode(docs, _model(), carry=("text_md5",))
+    coded = coded.withColumns({"n_pieces": F.coalesce(F.size("ids"), F.lit(0)).cast("long"), "ids_digest": F.xxhash64("ids")})
+    back = pieces.decode(coded, _model(), carry=("text_md5", "n_pieces", "ids_digest"))
+    return back.select("doc_id", "n_pieces", "ids_digest", F.md5("text").eqNullSafe(F.col("text_md5")).alias("lossless"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), _model())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_language_id, op5_decontaminate)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_language_id, op5_decontaminate, op9_sentencepiece, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
