@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, pieces, sharding, token_counts
+from . import decontaminate, exact_dedup, language_id, near_dedup, pieces, sharding, token_counts
 from .common import held_out, table
 
 
@@ -28,6 +28,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(hits).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=4)
+
+
 def _model() -> str:
     import public_tokenizers
 
@@ -48,8 +52,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_language_id, op5_decontaminate, op9_sentencepiece, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_language_id, op5_decontaminate, op7_near_dedup, op9_sentencepiece, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_near_dedup": near_dedup.oracle(4, near_dedup.THRESHOLD)}
