@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: ASCII white space that the contracts strip or split on.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -33,9 +35,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage so that a lost executor costs a reread, not a recompute, and gives the planner
     the true size, so that a join broadcasts a small side only when it is known to be small.
     """
-    path = f"{shared_folder(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/staged/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # the written table replaces the job's shuffle files
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: Column) -> Column:

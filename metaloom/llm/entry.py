@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, pieces, sharding, token_counts
+from . import decontaminate, exact_dedup, language_id, near_dedup, pieces, sharding, substring_dedup, token_counts
 from .common import held_out, table
 
 
@@ -32,6 +32,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=4)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    cut = substring_dedup.without_repeats(docs, substring_dedup.repeated_spans(docs))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def _model() -> str:
     import public_tokenizers
 
@@ -52,8 +58,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_language_id, op5_decontaminate, op7_near_dedup, op9_sentencepiece, op10_token_counts)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_language_id, op5_decontaminate, op7_near_dedup, op8_substring_dedup, op9_sentencepiece, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_near_dedup": near_dedup.oracle(4, near_dedup.THRESHOLD)}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_near_dedup": near_dedup.oracle(4, near_dedup.THRESHOLD), "op8_substring_dedup": substring_dedup.ORACLE}
