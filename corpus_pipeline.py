@@ -1,3 +1,67 @@
-"""Corpus pipeline (stages follow as their operators land)."""
+"""Corpus pipeline: language ID, exact dedup, near dedup, benchmark decontamination, SentencePiece coding.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written and read again as the next
+stage's docs. All but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from metaloom.llm import decontaminate, exact_dedup, language_id, near_dedup, pieces
+from metaloom.llm.common import held_out, staged, table, with_ids
+
+#: A language's share of the probability below which a document is rejected.
+LANGUAGE_SHARE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter and those whose language is undecided."""
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    found = language_id.identify(docs, model, with_row=True)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LANGUAGE_SHARE)).select("row.*")
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of equal texts."""
+    return exact_dedup.without_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each component of near copies (five words, similarity 0.8)."""
+    kept = near_dedup.near_groups(docs).where("kept").select("doc_id")
+    return with_ids(docs, kept)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of whose words a twentieth or more lies in benchmark windows."""
+    hits = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), with_row=True)
+    return decontaminate.verdicts(hits).where(~F.col("contaminated")).select("row.*")
+
+
+def coding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, drawn by seeded merge-dropout."""
+    import public_tokenizers
+
+    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids")
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("decontaminate", benchmark_stage),
+    ("sentencepiece", coding_stage),
+]
+
+#: Language models, MinHash and piece coding can't be said in SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

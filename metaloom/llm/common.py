@@ -45,6 +45,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """Rows of docs whose id is (or, with left_anti, isn't) among the ids; null meets null."""
+    own = ids.select(F.col(ids.columns[0]).alias("__own")).distinct()
+    return docs.join(own, docs[id_col].eqNullSafe(own["__own"]), how)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from."""
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4) == 2

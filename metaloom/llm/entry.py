@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, pieces, sharding, substring_dedup, token_counts
+from . import decontaminate, exact_dedup, language_id, lm_score, near_dedup, pieces, quality, sharding, substring_dedup, token_counts
 from .common import held_out, table
 
 
@@ -17,6 +17,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    kept = ~held_out(F.col("doc_id"))
+    scores = quality.scored(docs, quality.fit(docs.where(kept), labels.where(kept)))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
@@ -28,6 +35,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(hits).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=4)
 
@@ -58,8 +69,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op4_language_id, op5_decontaminate, op7_near_dedup, op8_substring_dedup, op9_sentencepiece, op10_token_counts)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_quality, op4_language_id, op5_decontaminate, op6_lm_score, op7_near_dedup, op8_substring_dedup, op9_sentencepiece, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_near_dedup": near_dedup.oracle(4, near_dedup.THRESHOLD), "op8_substring_dedup": substring_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_lm_score": lm_score.oracle(), "op7_near_dedup": near_dedup.oracle(4, near_dedup.THRESHOLD), "op8_substring_dedup": substring_dedup.ORACLE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, staged
+from .common import WHITE, staged, with_ids
 
 
 def squeezed(text: Column) -> Column:
@@ -70,3 +70,14 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(te
 g AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, sha256(norm) AS text_sha256 FROM t)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, all their columns; of rows that repeat both id and text, one."""
+    kept = exact_groups(docs, id_col, text_col).where("kept").select("doc_id")
+    again = staged(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "exact-again")
+    out = with_ids(docs, kept, id_col)
+    if again.isEmpty():
+        return out
+    once = with_ids(out, again, id_col).withColumn("__squeezed", squeezed(F.col(text_col))).dropDuplicates([id_col, "__squeezed"]).drop("__squeezed")
+    return with_ids(out, again, id_col, "left_anti").unionByName(once)
