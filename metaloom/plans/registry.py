@@ -1,4 +1,6 @@
 """All registered queries of the metadata engine and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import metadata
+
+QUERIES: dict = {**metadata.QUERIES}
+ORACLE: dict[str, str] = {**metadata.ORACLE}
