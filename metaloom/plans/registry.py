@@ -1,6 +1,6 @@
 """All registered queries of the metadata engine and their oracle SQL."""
 
-from . import metadata
+from . import lineage, metadata
 
-QUERIES: dict = {**metadata.QUERIES}
-ORACLE: dict[str, str] = {**metadata.ORACLE}
+QUERIES: dict = {**metadata.QUERIES, **lineage.QUERIES}
+ORACLE: dict[str, str] = {**metadata.ORACLE, **lineage.ORACLE}

@@ -53,6 +53,9 @@ TABLES = {
     "opb_expression": "SELECT e.widget_id, e.version_number, e.expr_id, l.line_no, CASE l.line_no WHEN 1 THEN concat('IIF(F', CAST(1 + e.widget_id % 4 AS VARCHAR(20)), ' > 0,') WHEN 2 THEN concat('F', CAST(e.output_field_id AS VARCHAR(20)), ', 0)') ELSE '-- end' END AS expression FROM opb_widget_expr e JOIN (VALUES (1), (2), (3)) AS l(line_no) ON l.line_no <= 2 + e.widget_id % 2",
     "opb_table_group": "SELECT w.widget_id AS object_id, 1 AS version_number, CASE WHEN w.widget_id % 9 = 0 THEN 14 ELSE 15 END AS object_type, g.group_id, a.attr_id, CASE WHEN a.attr_id = 1 THEN concat(' GRP', CAST(g.group_id AS VARCHAR(20))) WHEN a.attr_id = 3 THEN concat('F', CAST(g.group_id AS VARCHAR(20)), ' > 0') ELSE 'x' END AS attr_value FROM rep_widget_inst w JOIN (VALUES (1), (2), (3)) AS g(group_id) ON g.group_id <= 1 + w.widget_id % 3 JOIN (VALUES (1), (2), (3)) AS a(attr_id) ON 1 = 1 WHERE w.widget_type = 15",
     "rep_metadata_extns": "SELECT w.subject_id, w.widget_id AS metadata_extn_object_id, 1 AS version_number, concat('EXT_', CAST(x.k AS VARCHAR(20))) AS metadata_extn_name, CASE WHEN w.widget_id % 4 = 0 THEN NULL ELSE CAST(w.widget_id % 5 AS INT) END AS metadata_extn_data_type, concat('val', CAST(w.widget_id AS VARCHAR(20))) AS metadata_extn_value, CAST(x.k AS INT) AS permissions, x.k AS line_no, CASE WHEN w.widget_id % 2 = 0 THEN w.widget_id END AS domain_id, CASE WHEN w.widget_id % 2 = 0 THEN 'DOM' END AS domain_name, 1 AS domain_usage, 'descr' AS metadata_extn_description FROM rep_widget_inst w JOIN (VALUES (1), (2)) AS x(k) ON w.widget_id % 5 < x.k",
+    "inst_table": "SELECT w.mapping_id, w.instance_id, w.instance_name, w.widget_type, concat('TAB_', CAST(w.instance_id % 300 AS VARCHAR(20))) AS table_name FROM rep_widget_inst w WHERE w.widget_type IN (1, 2)",
+    "task": "SELECT workflow_id, task_id, instance_name AS task_name, CASE WHEN task_type = 68 THEN instance_name END AS session_name, row_number() OVER (PARTITION BY workflow_id ORDER BY task_id) AS ord FROM rep_task_inst",
+    "workflow_link": "SELECT t.workflow_id, CASE WHEN t.ord = 1 THEN 'Start' ELSE p.task_name END AS from_task, t.task_name AS to_task, CASE WHEN t.ord % 4 = 0 THEN concat('$', t.task_name, '.Status = SUCCEEDED') END AS condition, 2 * t.ord AS ord FROM task t LEFT JOIN task p ON p.workflow_id = t.workflow_id AND p.ord = CASE WHEN t.ord % 2 = 0 THEN t.ord ELSE t.ord - 1 END / 2 WHERE t.ord % 13 <> 12 UNION ALL SELECT a.workflow_id, a.task_name, b.task_name, NULL, 2 * a.ord + 1 FROM task a JOIN task b ON a.workflow_id = b.workflow_id AND b.ord = a.ord + 3 WHERE a.ord % 5 = 0",
 }
 
 
