@@ -1,6 +1,6 @@
 """All registered queries of the metadata engine and their oracle SQL."""
 
-from . import lineage, metadata
+from . import lineage, metadata, reports
 
-QUERIES: dict = {**metadata.QUERIES, **lineage.QUERIES}
-ORACLE: dict[str, str] = {**metadata.ORACLE, **lineage.ORACLE}
+QUERIES: dict = {**metadata.QUERIES, **lineage.QUERIES, **reports.QUERIES}
+ORACLE: dict[str, str] = {**metadata.ORACLE, **lineage.ORACLE, **reports.ORACLE}
