@@ -1,6 +1,7 @@
 """All registered queries of the metadata engine and their oracle SQL."""
 
-from . import lineage, metadata, reports
+from . import lineage, metadata, more, reports
 
-QUERIES: dict = {**metadata.QUERIES, **lineage.QUERIES, **reports.QUERIES}
-ORACLE: dict[str, str] = {**metadata.ORACLE, **lineage.ORACLE, **reports.ORACLE}
+_MODULES = (metadata, lineage, more, reports)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
