@@ -1,18 +1,18 @@
 from metaloom.sources import xml_export
 
 XML = """<?xml version="1.0" encoding="UTF-8"?>
-<!DOCTYPE POWERMART SYSTEM "powrmart.dtd">
-<POWERMART><REPOSITORY NAME="R"><FOLDER NAME="F">
+<!DOCTYPE EXPORT SYSTEM "export.dtd">
+<EXPORT><REPOSITORY NAME="R"><FOLDER NAME="F">
 <MAPPING NAME="m1"><INSTANCE NAME="SQ" TYPE="TRANSFORMATION" TRANSFORMATION_TYPE="Source Qualifier"/>
 <INSTANCE NAME="T" TYPE="TARGET" TRANSFORMATION_NAME="T_DEF"/><CONNECTOR FROMINSTANCE="SQ" FROMFIELD="A" TOINSTANCE="T" TOFIELD="B"/>
 <TARGETLOADORDER TARGETINSTANCE="T" ORDER="x1"/></MAPPING>note <SESSION NAME="s" MAPPINGNAME="m1">body</SESSION>
-</FOLDER></REPOSITORY></POWERMART>"""
+</FOLDER></REPOSITORY></EXPORT>"""
 
 
 def test_xml_nodes_and_tables(spark, tmp_path):
     (tmp_path / "a.xml").write_text(XML)
-    (tmp_path / "b.xml").write_text("<POWERMART><X A='1' B='2'/></POWERMART>")
-    (tmp_path / "bad.xml").write_text("<POWERMART><X>")
+    (tmp_path / "b.xml").write_text("<EXPORT><X A='1' B='2'/></EXPORT>")
+    (tmp_path / "bad.xml").write_text("<EXPORT><X>")
     nodes = xml_export.xml_nodes(spark, str(tmp_path)).cache()
     rows = {(r["doc"][-5:], r["tag"]): r for r in nodes.collect()}
     assert rows["a.xml", "SESSION"]["text"] == "body" and rows["a.xml", "MAPPING"]["tail"].strip() == "note" and rows["b.xml", "X"]["attributes"] == {"A": "1", "B": "2"}
@@ -23,7 +23,7 @@ def test_xml_nodes_and_tables(spark, tmp_path):
     check = {r["doc"][-5:]: r["lossless"] for r in xml_export.lossless_check(spark, str(tmp_path)).collect()}
     assert check["a.xml"] and check["b.xml"] and not check["d.xml"]
     prolog = {r["doc"][-5:]: r for r in xml_export.xml_prolog(spark, str(tmp_path)).collect()}
-    assert "powrmart" in prolog["a.xml"]["doctype"] and prolog["b.xml"]["declaration"] is None
+    assert "export" in prolog["a.xml"]["doctype"] and prolog["b.xml"]["declaration"] is None
 
 
 def test_json(spark, tmp_path):
