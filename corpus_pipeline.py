@@ -19,8 +19,7 @@ LANGUAGE_SHARE = 0.5
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language is undecided."""
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
-    found = language_id.identify(docs, model, with_row=True)
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LANGUAGE_SHARE)).select("row.*")
+    return language_id.accepted(docs, model, LANGUAGE_SHARE)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +35,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of whose words a twentieth or more lies in benchmark windows."""
-    hits = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), with_row=True)
-    return decontaminate.verdicts(hits).where(~F.col("contaminated")).select("row.*")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def coding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, with_ids
 
 WINDOW = 13
 #: Item text that one automaton may hold; more items make more automata, each scanned over all documents.
@@ -91,7 +91,6 @@ def benchmark_hits(
     item_id: str = "item_id",
     item_text: str = "text",
     block_bytes: int = BLOCK_BYTES,
-    with_row: bool = False,
 ) -> DataFrame:
     """One row per document: the id, n_words, n_hit, items (sorted ids), spans (code points of the original).
 
@@ -101,33 +100,22 @@ def benchmark_hits(
     the items' size is measured first, and beyond block_bytes they are dealt to several automata, each
     scanned over all documents, whose hit words are united.
 
-    with_row adds the input row as the struct `row`, for a filter that needs no join.
-
     Null or empty text: no words, no hits. Null, empty or wordless items, or a null item id: no window.
     Repeated items: every id is reported once. Null and repeated document ids pass through, a row each.
     Empty tables: no documents, or no hits. Further columns of docs, clashing or not, are ignored.
     """
-    spark = docs.sparkSession
-    texts = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")).where("id is not null and text is not null")
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n_blocks = max(1, math.ceil(size / block_bytes))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if with_row else F.lit(None).cast("int")
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("nr"), row.alias("row")).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    texts, n_blocks = _blocks(items, item_id, item_text, block_bytes)
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("nr")).alias("key"), F.col(text_col).cast("binary").alias("text"))
     if n_blocks > 1:
         rows = staged(rows, "decontaminate-rows")
     schema = f"key {rows.schema['key'].dataType.simpleString()}, n_words long, runs array<struct<a:long,b:long>>, items array<string>, spans {SPANS}"
 
     def scanned(k: int) -> DataFrame:
-        block = texts.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == k).collect()
-        shared, name = spark.sparkContext.broadcast([(r["id"], bytes(r["text"])) for r in block]), uuid.uuid4().hex
+        search = _on_workers(texts, n_blocks, k, window)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if name not in _built:
-                _built.clear()
-                _built[name] = automaton(shared.value, window)
-            search = _built[name]
             for batch in batches:
-                got = [_scan(x.as_py(), search) for x in batch.column(1)]
+                got = [_scan(x.as_py(), search()) for x in batch.column(1)]
                 made = [pa.array([g[i] for g in got], kind) for i, kind in enumerate(_TYPES)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["key", "n_words", "runs", "items", "spans"])
 
@@ -146,7 +134,46 @@ def benchmark_hits(
         lambda s, x: F.struct(F.greatest(s["upto"], x["b"]).alias("upto"), (s["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(s["upto"], x["a"]))).alias("n")),
         lambda s: s["n"],
     )
-    return found.select(F.col("key.id").alias(id_col), "n_words", covered.alias("n_hit"), "items", "spans", *([F.col("key.row").alias("row")] if with_row else []))
+    return found.select(F.col("key.id").alias(id_col), "n_words", covered.alias("n_hit"), "items", "spans")
+
+
+def _blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    texts = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")).where("id is not null and text is not null")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    return texts, max(1, math.ceil(size / block_bytes))
+
+
+def _on_workers(texts: DataFrame, n_blocks: int, k: int, window: int):
+    """A function that gives the automaton of one block of items, built once in each Python worker."""
+    block = texts.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == k).collect()
+    shared, name = texts.sparkSession.sparkContext.broadcast([(r["id"], bytes(r["text"])) for r in block]), uuid.uuid4().hex
+
+    def search():
+        if name not in _built:
+            _built.clear()
+            _built[name] = automaton(shared.value, window)
+        return _built[name]
+
+    return search
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated: without a join where one automaton holds the items."""
+    texts, n_blocks = _blocks(items, item_id, item_text, block_bytes)
+    if n_blocks > 1:
+        hits = verdicts(benchmark_hits(docs, items, window, id_col, text_col, item_id, item_text, block_bytes))
+        return with_ids(docs, hits.where("contaminated").select(id_col), id_col, "left_anti")
+    search, at = _on_workers(texts, 1, 0, window), docs.columns.index(text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                got = [_scan(x.as_py(), search()) for x in part.column(at).cast(pa.binary())]
+                hit = [sum(r["b"] - r["a"] for r in runs) for _, runs, _, _ in got]
+                yield part.filter(pa.array([not (h and 20 * h >= n) for h, (n, _, _, _) in zip(hit, got, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
 
 
 _TYPES = (pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item_id", pa.string())])))

@@ -138,7 +138,7 @@ def predict(model: Model | None, text: bytes | None) -> tuple[str, float, float
     return model.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(text))
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id, lang_pred, score, bits_per_byte.
 
     The language is the one under which the whole text has the shortest exact code; score is 2^-bits of
@@ -146,20 +146,43 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     Null text, empty text or no letter, or no training rows: 'und', score 0, null bits. Null and repeated
     ids pass through, a row each. Very long texts are coded in pieces that keep their context. Empty
-    table: no rows. Columns with clashing names are ignored; with_row adds the input row as `row`.
+    table: no rows. Further columns, clashing or not, are ignored.
     """
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if with_row else F.lit(None).cast("int")
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), row.alias("row")).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    own = _on_workers(docs, model)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [predict(own(), x.as_py()) for x in batch.column(1)]
+            made = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["id", "lang_pred", "score", "bits_per_byte"])
+
+    out = rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
+    return out.withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is decided with a score of `least` or more; no join, no shuffle."""
+    own, at = _on_workers(docs, model), docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                got = [predict(own(), x.as_py()) for x in part.column(at).cast(pa.binary())]
+                yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in got], pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
+def _on_workers(docs: DataFrame, model: Model | None):
+    """A function that gives the broadcast model, unpacked once in each Python worker."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def own() -> Model | None:
         if name not in _cache:
             _cache.clear()
             _cache[name] = shared.value
-        for batch in batches:
-            got = [predict(_cache[name], x.as_py()) for x in batch.column(1)]
-            made = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["key", "lang_pred", "score", "bits_per_byte"])
+        return _cache[name]
 
-    out = rows.mapInArrow(scan, f"key {rows.schema['key'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
-    return out.select(F.col("key.id").alias(id_col), "lang_pred", "score", "bits_per_byte", *([F.col("key.row").alias("row")] if with_row else []))
+    return own

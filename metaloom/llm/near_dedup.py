@@ -31,7 +31,7 @@ _XOR = _rng.integers(0, 2**63, _HASHES, dtype=np.uint64) << _U(1)
 _MUL = _rng.integers(0, 2**63, _HASHES, dtype=np.uint64) << _U(1) | _U(1)
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], _U)
 
-_words = Bounded(xxhash.xxh3_64_intdigest, 500_000)
+_words = Bounded(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
