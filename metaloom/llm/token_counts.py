@@ -32,7 +32,8 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     that encode them, and not at all when few are missing. Without a cache folder, a new one is made
     beside the session's checkpoints.
 
-    Null or empty text: 0 bytes, 0 tokens. Null and repeated ids: a row each. Equal texts: encoded once.
+    Null or empty text: 0 bytes, 0 tokens. Null and repeated ids: a row each. Equal texts: one row's is encoded, and each
+    digest is stored once even where whole rows repeat.
     Very long texts are counted whole. Empty table: no rows, and nothing appended. Extra columns are ignored.
     """
     spark, version = docs.sparkSession, version_of(path)
@@ -54,6 +55,6 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
             n = pa.array([count(x.as_py()) for x in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(n), pa.string()), n], names=["digest", "version", "n_tokens"])
 
-    chosen.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
+    chosen.mapInArrow(run, CACHE).dropDuplicates(["digest"]).write.mode("append").parquet(cache)
     counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keys.join(staged(counts, "token-counts"), "digest").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
