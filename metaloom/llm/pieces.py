@@ -18,11 +18,14 @@ DROPOUT = 0.1
 #: Segmentations that a run of non-space characters may have; each occurrence takes one by the keyed hash.
 VARIANTS = 4
 #: Entries of a worker's cache of segmented runs, emptied when full.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 MARK = "▁"
 
 _RUNS = re.compile(" +[^ ]*")
-_MASK = (1 << 64) - 1
+#: Tabulation hashing: random words for a candidate's three borders, each taken modulo the table's size.
+_BORDER = 64
+_STIR = 0x9E3779B1
+_TABLES = np.random.default_rng(11).integers(0, 1 << 30, (3, _BORDER)).tolist()
 
 
 @lru_cache(4)
@@ -68,6 +71,48 @@ def counter(path: str):
     return count
 
 
+class Pairs:
+    """Hash table from two adjacent pieces, given by rank, to the rank of the piece that they make."""
+
+    def __init__(self, rank: dict[str, int]):
+        keys, made = [], []
+        for piece, r in rank.items():
+            for i in range(1, len(piece)):
+                a, b = rank.get(piece[:i]), rank.get(piece[i:])
+                if a is not None and b is not None:
+                    keys.append(a << 20 | b)
+                    made.append(r)
+        self.none = len(rank)
+        self.bits = max(16, (len(keys) * 6).bit_length())
+        self.key, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.none, np.int32)
+        left, value = np.array(keys, np.int64), np.array(made, np.int32)
+        slot = self._slot(left)
+        while len(left):
+            first = np.unique(slot, return_index=True)[1]
+            won = first[self.key[slot[first]] == -1]
+            self.key[slot[won]], self.made[slot[won]] = left[won], value[won]
+            stay = np.ones(len(left), bool)
+            stay[won] = False
+            left, value, slot = left[stay], value[stay], (slot[stay] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the joined pieces; `none` where there is no such piece or a side is negative."""
+        key, out = (a.astype(np.int64) << 20) | b, np.full(len(a), self.none, np.int32)
+        at = np.flatnonzero((a >= 0) & (b >= 0))
+        key = key[at]
+        slot = self._slot(key)
+        while len(at):
+            there = self.key[slot]
+            hit = there == key
+            out[at[hit]] = self.made[slot[hit]]
+            on = ~hit & (there != -1)
+            at, key, slot = at[on], key[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+
 class Codec:
     """Merge-type segmentation of a sentencepiece BPE model with keyed merge-dropout.
 
@@ -93,25 +138,31 @@ class Codec:
             self.text_of[i] = piece.replace(MARK, " ").encode()
         for b, i in self.byte.items():
             self.text_of[i] = bytes([b])
-        self.limit = int(dropout * 2**32)
+        self.limit = int(dropout * 2**30)
+        self.pairs = Pairs(self.rank)
+        self.id_of_rank = np.array(ranked, np.int32)
+        self.rank_of_point = np.full(0x110000, -1, np.int32)
+        for piece, r in self.rank.items():
+            if len(piece) == 1:
+                self.rank_of_point[ord(" " if piece == MARK else piece)] = r
         self.seed, self.variants = seed, variants if dropout else 1
-        self.held = [Bounded(lambda run, v=v: self.segment(run, v)) for v in range(self.variants)]
+        self.held: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.arrow_text = pa.array(self.text_of, pa.binary())
 
     def segment(self, run: str, variant: int = 0) -> tuple[int, ...]:
         symbols = [MARK, *run.replace(" ", MARK)]
         if MARK in run:  # a mark of the text itself must not turn into a space
             symbols = [MARK, *(MARK if c == " " else "\0" + c if c == MARK else c for c in run)]
         rank, limit, n, none = self.rank.get, self.limit, len(symbols), len(self.rank)
-        key = xxhash.xxh3_64_intdigest(run, self.seed * 1000003 + variant & _MASK) if limit else 0
+        key = xxhash.xxh3_64_intdigest(run, self.seed * 1000003 + variant & 0xFFFFFFFFFFFFFFFF) & 0x3FFFFFFF if limit else 0
+        left, middle, right = _TABLES
         start = list(range(n + 1))
-        offers = [rank(symbols[i] + symbols[i + 1], none) for i in range(n - 1)]
+        offers = [rank(x + y, none) for x, y in zip(symbols, symbols[1:], strict=False)]
         while offers and (best := min(offers)) < none:
             at = offers.index(best)
-            if limit:
-                x = (key ^ (start[at] * 0x9E3779B97F4A7C15 + start[at + 1] * 0xC2B2AE3D27D4EB4F + start[at + 2] * 0x165667B19E3779F9)) & _MASK
-                if ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & _MASK) >> 32 < limit:
-                    offers[at] = none
-                    continue
+            if limit and (key ^ left[start[at] % _BORDER] ^ middle[start[at + 1] % _BORDER] ^ right[start[at + 2] % _BORDER]) * _STIR >> 17 & 0x3FFFFFFF < limit:
+                offers[at] = none
+                continue
             symbols[at] += symbols.pop(at + 1)
             del start[at + 1], offers[at]
             if at < len(offers):
@@ -127,20 +178,120 @@ class Codec:
         return tuple(out)
 
     def encode(self, text: str, key: str = "") -> list[int]:
-        if not text:
-            return []
-        parts, v = runs(text), self.variants
-        if v == 1:
-            return list(chain.from_iterable(map(self.held[0].__getitem__, parts)))
-        first = xxhash.xxh3_64_intdigest(key.encode(), self.seed) % v
-        out: list = [None] * len(parts)
+        return np.frombuffer(self.encode_many([text], [key])[0], np.int32).tolist()
+
+    def encode_many(self, texts: list[str], keys: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers; an occurrence of a run takes its variant by the text's key and its place."""
+        v, parts = self.variants, [runs(t) if t else [] for t in texts]
+        first = [xxhash.xxh3_64_intdigest(k.encode(), self.seed) % v for k in keys]
         for j in range(v):
-            out[j::v] = map(self.held[(first + j) % v].__getitem__, parts[j::v])
-        return list(chain.from_iterable(out))
+            held = self.held[j]
+            wanted = set().union(*(p[(j - f) % v :: v] for p, f in zip(parts, first, strict=True)))
+            missing = wanted.difference(held)
+            if len(held) + len(missing) > CACHE_ENTRIES:
+                held.clear()
+                missing = wanted
+            self.fill(held, list(missing), j)
+        out = []
+        for p, f in zip(parts, first, strict=True):
+            got: list = [None] * len(p)
+            for j in range(v):
+                got[j::v] = map(self.held[(f + j) % v].__getitem__, p[j::v])
+            out.append(b"".join(got))
+        return out
+
+    def fill(self, held: dict, missing: list[str], variant: int) -> None:
+        """Segments many runs at a time, by length; equal to segment() for each."""
+        missing.sort(key=len)
+        at = 0
+        for width in (8, 12, 18, 30):
+            upto = at
+            while upto < len(missing) and len(missing[upto]) < width:
+                upto += 1
+            for k in range(at, upto, 4096):
+                self._together(held, missing[k : min(upto, k + 4096)], width, variant)
+            at = upto
+        for run in missing[at:]:
+            held[run] = np.array(self.segment(run, variant), np.int32).tobytes()
+
+    def _together(self, held: dict, group: list[str], width: int, variant: int) -> None:
+        points = np.frombuffer("".join([(" " + run).ljust(width, "\0") for run in group]).encode("utf-32-le"), np.int32).reshape(-1, width)
+        length = np.array([len(run) + 1 for run in group])
+        inside = np.arange(width) < length[:, None]
+        symbol = np.where(inside, self.rank_of_point[points], -1)
+        odd = (points == ord(MARK)).any(1)
+        alone = inside & (symbol < 0)  # characters without a piece: never merged, coded as bytes
+        symbol[alone] = -2 - points[alone]
+        for i in np.flatnonzero(odd):
+            held[group[i]] = np.array(self.segment(group[i], variant), np.int32).tobytes()
+        rows = np.flatnonzero(~odd)
+        symbol, n = symbol[rows], len(rows)
+        if not n:
+            return
+        keys = np.zeros(n, np.int32)
+        if self.limit:
+            salt = self.seed * 1000003 + variant & 0xFFFFFFFFFFFFFFFF
+            keys = np.array([xxhash.xxh3_64_intdigest(group[i], salt) & 0x3FFFFFFF for i in rows.tolist()], np.int32)
+        ids, count = self._merged(symbol, keys, width)
+        raw, upto = ids.tobytes(), np.cumsum(count)
+        bytewise = set(np.unique(np.searchsorted(upto, np.flatnonzero(ids < 0), "right")).tolist())
+        at = 0
+        for i, (k, end) in enumerate(zip(rows.tolist(), upto.tolist(), strict=True)):
+            if i in bytewise:
+                own = [y for x in ids[at:end].tolist() for y in ((x,) if x >= 0 else map(self.byte.__getitem__, chr(-2 - x).encode()))]
+                held[group[k]] = np.array(own, np.int32).tobytes()
+            else:
+                held[group[k]] = raw[4 * at : 4 * end]
+            at = end
+
+    def _merged(self, symbol: np.ndarray, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The agenda of all rows in step. A row's symbols are a linked list over its first borders."""
+        n, w, none = len(symbol), width + 1, self.pairs.none
+        left, middle, right = (np.array(t, np.int32) for t in _TABLES)
+        sym = np.full((n, w), -1, np.int32)
+        sym[:, :width] = symbol
+        offer = np.full((n, w), none, np.int32)
+        offer[:, :-1] = self.pairs.find(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width)
+        after, before = np.tile(np.arange(1, w + 1), n), np.tile(np.arange(-1, w - 1), n)
+        flat_sym, flat_offer = sym.ravel(), offer.ravel()
+        live = np.arange(n)
+        while len(live):
+            p = offer[live].argmin(1)
+            base = live * w
+            best = flat_offer[base + p]
+            on = best < none
+            live, p, base, best = live[on], p[on], base[on], best[on]
+            q = after[base + p]
+            end = after[base + q]
+            if self.limit:
+                skip = ((keys[live] ^ left[p % _BORDER] ^ middle[q % _BORDER] ^ right[end % _BORDER]).astype(np.int64) * _STIR >> 17 & 0x3FFFFFFF) < self.limit
+                flat_offer[(base + p)[skip]] = none
+                p, q, end, base, best = (x[~skip] for x in (p, q, end, base, best))
+            flat_sym[base + p], flat_sym[base + q] = best, -1
+            flat_offer[base + q] = none
+            after[base + p] = end
+            inside = end < w
+            before[(base + end)[inside]] = p[inside]
+            flat_offer[base + p] = self.pairs.find(best, np.where(inside, flat_sym[base + np.minimum(end, width)], -1))
+            inner = before[base + p] >= 0
+            base, p, best = base[inner], p[inner], best[inner]
+            o = before[base + p]
+            flat_offer[base + o] = self.pairs.find(flat_sym[base + o], best)
+        stay = sym != -1
+        last = sym[stay]
+        return np.where(last < 0, last, self.id_of_rank[np.maximum(last, 0)]).astype(np.int32), stay.sum(1)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.text_of.__getitem__, ids))[1:]
 
+    def decode_many(self, lists: pa.ListArray) -> list[str | None]:
+        """Texts of an Arrow array of id lists: the pieces' bytes lie end to end once they are gathered."""
+        start = lists.offsets.to_numpy()
+        flat = self.arrow_text.take(lists.values.slice(start[0], start[-1] - start[0]))
+        data, place = b"".join(flat.buffers()[2:3]) if len(flat) else b"", np.frombuffer(flat.buffers()[1], np.int32) if len(flat) else np.zeros(1, np.int32)
+        at = place[start - start[0]].tolist()
+        return [data[a + 1 : b].decode() if ok else None for a, b, ok in zip(at, at[1:], lists.is_valid().to_pylist(), strict=False)]
+
 
 @lru_cache(4)
 def codec(path: str, dropout: float, seed: int, variants: int) -> Codec:
@@ -158,30 +309,33 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
     or not, are ignored unless carried.
     """
 
-    def code(i, text):
-        return None if text is None else np.array(codec(path, dropout, seed, variants).encode(text, "" if i is None else str(i)), np.int32)
+    def code(ids, column):
+        texts = column.to_pylist()
+        coded = codec(path, dropout, seed, variants).encode_many([t or "" for t in texts], ["" if i is None else str(i) for i in ids])
+        place = pa.array(np.cumsum([0] + [len(x) // 4 for x in coded]), pa.int32(), mask=np.array([t is None for t in texts] + [False]))
+        return pa.ListArray.from_arrays(place, pa.array(np.frombuffer(b"".join(coded), np.int32)))
 
-    return _mapped(docs, id_col, text_col, "ids", "array<int>", pa.list_(pa.int32()), code, carry)
+    return _mapped(docs, id_col, text_col, "ids", "array<int>", code, carry)
 
 
 def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per coded document: the id, its `text`, and the columns in carry. Null ids give a null text, no ids an empty one."""
 
     def text_of(_, ids):
-        return None if ids is None else codec(path, 0.0, 0, 1).decode(ids).decode()
+        return pa.array(codec(path, 0.0, 0, 1).decode_many(ids), pa.string())
 
-    return _mapped(coded, id_col, ids_col, "text", "string", pa.string(), text_of, carry)
+    return _mapped(coded, id_col, ids_col, "text", "string", text_of, carry)
 
 
-def _mapped(df: DataFrame, id_col: str, of: str, name: str, kind: str, arrow: pa.DataType, make, carry: tuple[str, ...]) -> DataFrame:
+def _mapped(df: DataFrame, id_col: str, of: str, name: str, kind: str, make, carry: tuple[str, ...]) -> DataFrame:
     rows = df.select(F.struct(F.col(id_col).alias("id"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]).alias("key"), F.col(of).alias("of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                made = [make(i, x) for i, x in zip(part.column(0).field(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, arrow)], names=["key", "made"])
+                made = make(part.column(0).field(0).to_pylist(), part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), made], names=["key", "made"])
 
     out = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, made {kind}")
     return out.select(F.col("key.id").alias(id_col), F.col("made").alias(name), *[F.col(f"key.c{k}").alias(c) for k, c in enumerate(carry)])
