@@ -21,7 +21,7 @@ CHUNK_WORDS = 2_000_000
 
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
-_words = Bounded(xxhash.xxh3_64_intdigest, 500_000)
+_words = Bounded(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def _rolled(h: np.ndarray, width: int) -> np.ndarray:
@@ -113,7 +113,8 @@ def _edge_rows(edge: int, seed: int, kind: str):
         value, at, back = np.unique(h, return_index=True, return_inverse=True)
         own = pa.array([ids[i] for i in order], arrow)
         none = pa.nulls(len(value))
-        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), own.take(pa.array(doc[at])), pa.array(start[at], pa.int32()), none.cast(pa.int32()), none.cast(arrow), none.cast(pa.int32())], names=names)
+        seen = np.argsort(at)  # in document order: neighbours share their bytes in the shuffle files
+        yield pa.RecordBatch.from_arrays([pa.array(value[seen].view(np.int64)), own.take(pa.array(doc[at[seen]])), pa.array(start[at[seen]], pa.int32()), none.cast(pa.int32()), none.cast(arrow), none.cast(pa.int32())], names=names)
         first = at[back]
         later = np.flatnonzero(first != np.arange(len(h)))
         if len(later):
