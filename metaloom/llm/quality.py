@@ -21,6 +21,8 @@ DIMENSIONS = 1 << 18
 #: Labelled rows that the linear model is fitted on, chosen by a hash of the id; the counts use all of them.
 FIT_ROWS = 8000
 CUT = 0.7
+#: Labels up to this count (some 16 bytes each) are sent to every task; more are shuffled with the texts.
+BROADCAST_LABELS = 2_000_000
 
 _UPPER, _LOWER, _DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 _U = np.uint64
@@ -32,7 +34,7 @@ def _shape(word: bytes) -> bytes:
     return _DIGIT.sub(b"0", _LOWER.sub(b"a", _UPPER.sub(b"A", word)))[:12]
 
 
-_words = Bounded(lambda w: (xxhash.xxh3_64_intdigest(w.lower()), xxhash.xxh3_64_intdigest(_shape(w), 1)), 300_000)
+_words = Bounded(lambda w: (xxhash.xxh3_64_intdigest(w.lower()), xxhash.xxh3_64_intdigest(_shape(w), 1)), 200_000)
 _SAME = _U(0x51A7E5A1D0C0FFEE)
 
 
@@ -88,9 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     """Ratios from all labelled rows; hinge loss by dual coordinate descent on about fit_rows of them."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("label is not null").distinct()
-    rows = staged(rows.join(marks, "id").select("id", "text", "label"), "quality-rows")
-    got = class_counts(rows.select("text", "label")).toArrow()
+    marks = staged(marks, "quality-labels")
     n_rows = marks.count()
+    rows = staged(rows.join(F.broadcast(marks) if n_rows <= BROADCAST_LABELS else marks, "id").select("id", "text", "label"), "quality-rows")
+    got = class_counts(rows.select("text", "label")).toArrow()
     if not n_rows or not got.num_rows:
         return None
     p = np.ones((2, DIMENSIONS))
