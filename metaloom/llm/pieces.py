@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -15,17 +16,30 @@ from pyspark.sql import functions as F
 
 SEED = 20240501
 DROPOUT = 0.1
-#: Segmentations that a run of non-space characters may have; each occurrence takes one by the keyed hash.
-VARIANTS = 4
-#: Entries of a worker's cache of segmented runs, emptied when full.
+#: Entries of a worker's caches of runs, emptied when full.
 CACHE_ENTRIES = 120_000
+#: Runs of this many characters or more are segmented one by one, without a cache.
+LONG = 30
 MARK = "▁"
 
 _RUNS = re.compile(" +[^ ]*")
-#: Tabulation hashing: random words for a candidate's three borders, each taken modulo the table's size.
-_BORDER = 64
-_STIR = 0x9E3779B1
-_TABLES = np.random.default_rng(11).integers(0, 1 << 30, (3, _BORDER)).tolist()
+_MASK = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    """The splitmix64 finalizer; _mixed_many is the same for arrays."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return x ^ x >> 31
+
+
+def _mixed_many(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+_STEP = 0x9E3779B97F4A7C15
 
 
 @lru_cache(4)
@@ -116,13 +130,16 @@ class Pairs:
 class Codec:
     """Merge-type segmentation of a sentencepiece BPE model with keyed merge-dropout.
 
-    The agenda takes the adjacent pair whose piece has the best score, leftmost first. A candidate is
-    skipped for good when the keyed hash of (seed, variant, run, its borders) falls under the dropout.
+    The agenda takes the adjacent pair whose piece has the best score, leftmost first. Each candidate that it
+    takes is skipped for good with the probability of the dropout, by a draw keyed with (seed, text's key,
+    place of the run in the text, number of the candidate). So each occurrence of a run has its own draws.
+    The draws are made as gaps between skips. Only the segmentation without skips is cached; an occurrence
+    whose first skip lies within its candidates goes through the agenda with its own draws.
     Characters without a piece, and the space mark itself where a text has it, become byte pieces, so
     that decoding gives every text back.
     """
 
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         sp = processor(path)
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
@@ -138,33 +155,77 @@ class Codec:
             self.text_of[i] = piece.replace(MARK, " ").encode()
         for b, i in self.byte.items():
             self.text_of[i] = bytes([b])
-        self.limit = int(dropout * 2**30)
+        #: A gap of more than k candidates has probability (1 - dropout) ** (k + 1), here of 2**53; descending, negated.
+        self.dropout, left = dropout, []
+        while 0 < dropout < 1 and (t := int((1 - dropout) ** (len(left) + 1) * 2**53)):
+            left.append(-t)
+        self.gaps = np.array(left, np.int64)
+        self.gap_list = left
         self.pairs = Pairs(self.rank)
         self.id_of_rank = np.array(ranked, np.int32)
         self.rank_of_point = np.full(0x110000, -1, np.int32)
         for piece, r in self.rank.items():
             if len(piece) == 1:
                 self.rank_of_point[ord(" " if piece == MARK else piece)] = r
-        self.seed, self.variants = seed, variants if dropout else 1
-        self.held: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.seed = seed
         self.arrow_text = pa.array(self.text_of, pa.binary())
-
-    def segment(self, run: str, variant: int = 0) -> tuple[int, ...]:
+        self._empty()
+
+    def _empty(self) -> None:
+        #: Run to its row: its symbols, their number, the number of candidates taken without skips, its ids in `plain`.
+        self.root: dict[str, int] = {}
+        self.symbols, self.plain = np.zeros((0, LONG), np.int32), np.zeros(0, np.int32)
+        self.size, self.taken, self.start, self.count = (np.zeros(0, np.int64) for _ in range(4))
+
+    #: Draw 0 skips nothing; its segmentations are those that are held by run.
+    variants = 1
+
+    @property
+    def held(self) -> list[dict[str, bytes]]:
+        return [{run: self._expanded(self.plain[(a := self.start[r]) : a + self.count[r]])[0].tobytes() for run, r in self.root.items()}]
+
+    def gap(self, draw: int, number: int) -> int:
+        """Candidates kept before the skip of this number (from 0)."""
+        if self.dropout >= 1:
+            return 0
+        return bisect_left(self.gap_list, -(_mixed(draw + number * _STEP & _MASK) >> 11))
+
+    def _gaps(self, draws: np.ndarray, number: int | np.ndarray) -> np.ndarray:
+        if self.dropout >= 1:
+            return np.zeros(len(draws), np.int64)
+        return np.searchsorted(self.gaps, -(_mixed_many(draws + np.asarray(number, np.uint64) * np.uint64(_STEP)) >> np.uint64(11)).astype(np.int64))
+
+    def _draws(self, key: str, n: int) -> np.ndarray:
+        """One number for each run of a text; never 0."""
+        base = xxhash.xxh3_64_intdigest(key.encode(), self.seed & _MASK)
+        return _mixed_many(np.uint64(base) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+    def segment(self, run: str, draw: int = 0) -> tuple[int, ...]:
+        """Ids of a run under the skips of a draw; draw 0 skips nothing."""
+        def drawn():
+            at = -1
+            for number in range(1 << 62):
+                at += 1 + self.gap(draw, number)
+                yield at
+
+        return self._segment(run, drawn() if draw and self.dropout else iter(()))[0]
+
+    def _segment(self, run: str, skips: Iterator[int]) -> tuple[tuple[int, ...], int]:
+        """Ids of a run, and the number of candidates taken, when those at the given (ascending) numbers are skipped."""
         symbols = [MARK, *run.replace(" ", MARK)]
         if MARK in run:  # a mark of the text itself must not turn into a space
             symbols = [MARK, *(MARK if c == " " else "\0" + c if c == MARK else c for c in run)]
-        rank, limit, n, none = self.rank.get, self.limit, len(symbols), len(self.rank)
-        key = xxhash.xxh3_64_intdigest(run, self.seed * 1000003 + variant & 0xFFFFFFFFFFFFFFFF) & 0x3FFFFFFF if limit else 0
-        left, middle, right = _TABLES
-        start = list(range(n + 1))
+        rank, none, taken, skip = self.rank.get, len(self.rank), 0, next(skips, -1)
         offers = [rank(x + y, none) for x, y in zip(symbols, symbols[1:], strict=False)]
         while offers and (best := min(offers)) < none:
             at = offers.index(best)
-            if limit and (key ^ left[start[at] % _BORDER] ^ middle[start[at + 1] % _BORDER] ^ right[start[at + 2] % _BORDER]) * _STIR >> 17 & 0x3FFFFFFF < limit:
+            taken += 1
+            if skip == taken - 1:
+                skip = next(skips, -1)
                 offers[at] = none
                 continue
             symbols[at] += symbols.pop(at + 1)
-            del start[at + 1], offers[at]
+            del offers[at]
             if at < len(offers):
                 offers[at] = rank(symbols[at] + symbols[at + 1], none)
             if at:
@@ -175,86 +236,116 @@ class Codec:
                 out.append(got)
             else:
                 out += map(self.byte.__getitem__, (MARK if s == "\0" + MARK else s).encode())
-        return tuple(out)
+        return tuple(out), taken
 
     def encode(self, text: str, key: str = "") -> list[int]:
         return np.frombuffer(self.encode_many([text], [key])[0], np.int32).tolist()
 
     def encode_many(self, texts: list[str], keys: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit integers; an occurrence of a run takes its variant by the text's key and its place."""
-        v, parts = self.variants, [runs(t) if t else [] for t in texts]
-        first = [xxhash.xxh3_64_intdigest(k.encode(), self.seed) % v for k in keys]
-        for j in range(v):
-            held = self.held[j]
-            wanted = set().union(*(p[(j - f) % v :: v] for p, f in zip(parts, first, strict=True)))
-            missing = wanted.difference(held)
-            if len(held) + len(missing) > CACHE_ENTRIES:
-                held.clear()
-                missing = wanted
-            self.fill(held, list(missing), j)
-        out = []
-        for p, f in zip(parts, first, strict=True):
-            got: list = [None] * len(p)
-            for j in range(v):
-                got[j::v] = map(self.held[(f + j) % v].__getitem__, p[j::v])
-            out.append(b"".join(got))
-        return out
-
-    def fill(self, held: dict, missing: list[str], variant: int) -> None:
-        """Segments many runs at a time, by length; equal to segment() for each."""
-        missing.sort(key=len)
-        at = 0
-        for width in (8, 12, 18, 30):
-            upto = at
-            while upto < len(missing) and len(missing[upto]) < width:
-                upto += 1
-            for k in range(at, upto, 4096):
-                self._together(held, missing[k : min(upto, k + 4096)], width, variant)
-            at = upto
-        for run in missing[at:]:
-            held[run] = np.array(self.segment(run, variant), np.int32).tobytes()
-
-    def _together(self, held: dict, group: list[str], width: int, variant: int) -> None:
-        points = np.frombuffer("".join([(" " + run).ljust(width, "\0") for run in group]).encode("utf-32-le"), np.int32).reshape(-1, width)
-        length = np.array([len(run) + 1 for run in group])
-        inside = np.arange(width) < length[:, None]
-        symbol = np.where(inside, self.rank_of_point[points], -1)
-        odd = (points == ord(MARK)).any(1)
-        alone = inside & (symbol < 0)  # characters without a piece: never merged, coded as bytes
-        symbol[alone] = -2 - points[alone]
-        for i in np.flatnonzero(odd):
-            held[group[i]] = np.array(self.segment(group[i], variant), np.int32).tobytes()
-        rows = np.flatnonzero(~odd)
-        symbol, n = symbol[rows], len(rows)
-        if not n:
+        """Ids of each text as 32-bit integers; the occurrences of a run draw their skips by the text's key and their places."""
+        parts = [runs(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(parts))
+        if not flat:
+            return [b""] * len(texts)
+        distinct = set(flat)
+        long = {run for run in distinct if len(run) >= LONG}
+        if len(self.root) + len(missing := (distinct - long).difference(self.root)) > CACHE_ENTRIES:
+            self._empty()
+            missing = distinct - long
+        self._add(sorted(missing))
+        row = np.fromiter(map(self.root.get, flat, [-1] * len(flat)) if long else map(self.root.__getitem__, flat), np.int64, len(flat))
+        start, count, store = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64), [self.plain]
+        short = row >= 0
+        start[short], count[short] = self.start[row[short]], self.count[row[short]]
+        draws = np.concatenate([self._draws(k, len(p)) for k, p in zip(keys, parts, strict=True)])
+        if self.dropout:
+            at = np.flatnonzero(short)
+            at = at[self._gaps(draws[at], 0) < self.taken[row[at]]]
+            own, back = self._distinct(row[at], draws[at])
+            ids, n, _ = self._segmented(row[at[own]], draws[at[own]])
+            start[at], count[at] = (np.cumsum(n) - n + len(self.plain))[back], n[back]
+            store.append(ids)
+        upto = sum(map(len, store))
+        for i in np.flatnonzero(~short).tolist():
+            store.append(np.array(self.segment(flat[i], int(draws[i]) if self.dropout else 0), np.int32))
+            start[i], count[i] = upto, len(store[-1])
+            upto += len(store[-1])
+        end = np.cumsum(count)
+        ids, grown = self._expanded(np.concatenate(store)[np.repeat(start - end + count, count) + np.arange(end[-1])])
+        border = grown[np.concatenate([[0], end])[np.cumsum([0, *map(len, parts)])]].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(border, border[1:], strict=False)]
+
+    def _distinct(self, row: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences that stand for all (their places), and the place of each one's stand-in: those of a run with the same skips are one.
+
+        Skip number k (from 0) of a run with n symbols is never reached beyond candidate n - 2 + k.
+        """
+        key, at, most = row, np.full(len(row), -1), self.size[row] - 2
+        for k in range(4):
+            at = np.minimum(at + 1 + self._gaps(draws, k), 255)
+            at[at > most + k] = 255
+            if k < 3:
+                key = key << 8 | at
+        key = np.where(at < 255, -1 - np.arange(len(row)), key)  # four skips or more: not compared
+        _, own, back = np.unique(key, return_index=True, return_inverse=True)
+        return own, back
+
+    def _add(self, missing: list[str]) -> None:
+        """Rows of new runs, with their segmentations without skips."""
+        if not missing:
             return
-        keys = np.zeros(n, np.int32)
-        if self.limit:
-            salt = self.seed * 1000003 + variant & 0xFFFFFFFFFFFFFFFF
-            keys = np.array([xxhash.xxh3_64_intdigest(group[i], salt) & 0x3FFFFFFF for i in rows.tolist()], np.int32)
-        ids, count = self._merged(symbol, keys, width)
-        raw, upto = ids.tobytes(), np.cumsum(count)
-        bytewise = set(np.unique(np.searchsorted(upto, np.flatnonzero(ids < 0), "right")).tolist())
-        at = 0
-        for i, (k, end) in enumerate(zip(rows.tolist(), upto.tolist(), strict=True)):
-            if i in bytewise:
-                own = [y for x in ids[at:end].tolist() for y in ((x,) if x >= 0 else map(self.byte.__getitem__, chr(-2 - x).encode()))]
-                held[group[k]] = np.array(own, np.int32).tobytes()
-            else:
-                held[group[k]] = raw[4 * at : 4 * end]
-            at = end
-
-    def _merged(self, symbol: np.ndarray, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The agenda of all rows in step. A row's symbols are a linked list over its first borders."""
+        first = len(self.root)
+        self.root.update(zip(missing, range(first, first + len(missing)), strict=True))
+        points = np.frombuffer("".join([(" " + run).ljust(LONG, "\0") for run in missing]).encode("utf-32-le"), np.int32).reshape(-1, LONG)
+        size = np.array([len(run) + 1 for run in missing])
+        inside = np.arange(LONG) < size[:, None]
+        symbols = np.where(inside, self.rank_of_point[points], -1)
+        alone = inside & (symbols < 0)  # characters without a piece, the mark among them: never merged, coded as bytes
+        symbols[alone] = -2 - points[alone]
+        self.symbols, self.size = np.concatenate([self.symbols, symbols]), np.concatenate([self.size, size])
+        ids, count, taken = self._segmented(np.arange(first, len(self.size)), None)
+        self.start = np.concatenate([self.start, len(self.plain) + np.cumsum(count) - count])
+        self.plain, self.count, self.taken = (np.concatenate(x) for x in ((self.plain, ids), (self.count, count), (self.taken, taken)))
+
+    def _segmented(self, row: np.ndarray, draws: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of each row end to end (negative: a character to be coded as bytes), their numbers, and the candidates taken; equal to segment()."""
+        size, parts, order = self.size[row], [np.zeros(0, np.int32)], []
+        count, taken = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        for low, width in ((0, 5), (5, 8), (8, 12), (12, 18), (18, LONG)):
+            places = np.flatnonzero((size > low) & (size <= width))
+            for k in range(0, len(places), 4096):
+                at = places[k : k + 4096]
+                ids, count[at], taken[at] = self._merged(self.symbols[row[at], :width], None if draws is None else draws[at], width)
+                parts.append(ids)
+                order.append(at)
+        flat, at = np.concatenate(parts), np.concatenate(order or [np.zeros(0, np.int64)])
+        begin = np.zeros(len(row), np.int64)
+        begin[at] = np.cumsum(count[at]) - count[at]
+        end = np.cumsum(count)
+        return flat[np.repeat(begin - end + count, count) + np.arange(end[-1] if len(end) else 0)], count, taken
+
+    def _expanded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with byte pieces in the places of characters without a piece; the new place of each border."""
+        odd = np.flatnonzero(ids < 0)
+        own = [[self.byte[b] for b in chr(-2 - x).encode()] for x in ids[odd].tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[odd] = [len(x) for x in own]
+        grown = np.concatenate([[0], np.cumsum(times)])
+        out = np.repeat(ids, times)
+        out[out < 0] = list(chain.from_iterable(own))
+        return out, grown
+
+    def _merged(self, symbol: np.ndarray, draws: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The agenda of all rows in step, a candidate of each at a time. A row's symbols are a linked list over its first borders."""
         n, w, none = len(symbol), width + 1, self.pairs.none
-        left, middle, right = (np.array(t, np.int32) for t in _TABLES)
         sym = np.full((n, w), -1, np.int32)
         sym[:, :width] = symbol
         offer = np.full((n, w), none, np.int32)
         offer[:, :-1] = self.pairs.find(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, width)
         after, before = np.tile(np.arange(1, w + 1), n), np.tile(np.arange(-1, w - 1), n)
         flat_sym, flat_offer = sym.ravel(), offer.ravel()
-        live = np.arange(n)
+        live, taken, step, skipped = np.arange(n), np.zeros(n, np.int64), 0, np.zeros(n, np.int64)
+        following = np.full(n, -1) if draws is None else self._gaps(draws, 0)
         while len(live):
             p = offer[live].argmin(1)
             base = live * w
@@ -263,8 +354,13 @@ class Codec:
             live, p, base, best = live[on], p[on], base[on], best[on]
             q = after[base + p]
             end = after[base + q]
-            if self.limit:
-                skip = ((keys[live] ^ left[p % _BORDER] ^ middle[q % _BORDER] ^ right[end % _BORDER]).astype(np.int64) * _STIR >> 17 & 0x3FFFFFFF) < self.limit
+            skip = following[live] == step
+            step += 1
+            taken[live] = step
+            if skip.any():
+                gone = live[skip]
+                skipped[gone] += 1
+                following[gone] += 1 + self._gaps(draws[gone], skipped[gone])
                 flat_offer[(base + p)[skip]] = none
                 p, q, end, base, best = (x[~skip] for x in (p, q, end, base, best))
             flat_sym[base + p], flat_sym[base + q] = best, -1
@@ -279,7 +375,7 @@ class Codec:
             flat_offer[base + o] = self.pairs.find(flat_sym[base + o], best)
         stay = sym != -1
         last = sym[stay]
-        return np.where(last < 0, last, self.id_of_rank[np.maximum(last, 0)]).astype(np.int32), stay.sum(1)
+        return np.where(last < 0, last, self.id_of_rank[np.maximum(last, 0)]).astype(np.int32), stay.sum(1), taken
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.text_of.__getitem__, ids))[1:]
@@ -294,11 +390,11 @@ class Codec:
 
 
 @lru_cache(4)
-def codec(path: str, dropout: float, seed: int, variants: int) -> Codec:
-    return Codec(path, dropout, seed, variants)
+def codec(path: str, dropout: float, seed: int) -> Codec:
+    return Codec(path, dropout, seed)
 
 
-def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: the id, `ids` (its piece ids), and the columns named in carry.
 
     The segmentation is drawn by the keyed hash alone: the same seed, id and text give the same ids on any
@@ -311,7 +407,7 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
 
     def code(ids, column):
         texts = column.to_pylist()
-        coded = codec(path, dropout, seed, variants).encode_many([t or "" for t in texts], ["" if i is None else str(i) for i in ids])
+        coded = codec(path, dropout, seed).encode_many([t or "" for t in texts], ["" if i is None else str(i) for i in ids])
         place = pa.array(np.cumsum([0] + [len(x) // 4 for x in coded]), pa.int32(), mask=np.array([t is None for t in texts] + [False]))
         return pa.ListArray.from_arrays(place, pa.array(np.frombuffer(b"".join(coded), np.int32)))
 
@@ -322,7 +418,7 @@ def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
     """One row per coded document: the id, its `text`, and the columns in carry. Null ids give a null text, no ids an empty one."""
 
     def text_of(_, ids):
-        return pa.array(codec(path, 0.0, 0, 1).decode_many(ids), pa.string())
+        return pa.array(codec(path, 0.0, 0).decode_many(ids), pa.string())
 
     return _mapped(coded, id_col, ids_col, "text", "string", text_of, carry)
 
