@@ -1,0 +1,60 @@
+"""LM scoring by word n-grams: stupid backoff over 2-grams, as count tables joined to exploded n-grams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import staged
+from .lm_score import UNIT
+
+#: Words are separated by ASCII white space. A 2-gram is its words with a space between; a text's first has no word before it.
+SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+
+
+def _pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(nr, id, gram): each word of each row with the word before it; a row without words has one null gram."""
+    folded = F.translate(F.coalesce(text_col, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select(F.monotonically_increasing_id().alias("nr"), F.col(id_col).alias("id"), F.array_remove(F.split(folded, SPACE), "").alias("w"))
+    before = F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))))
+    return rows.select("nr", "id", F.explode_outer(F.when(F.size("w") > 0, F.zip_with(before, "w", lambda a, b: F.concat(a, F.lit(" "), b)))).alias("gram"))
+
+
+def gram_scores(pairs: DataFrame) -> DataFrame:
+    """(gram, micro): the log of the stupid-backoff score of each 2-gram of the corpus.
+
+    That is count(gram) / count(its first word as a context): the scored texts are the counted ones, so each
+    2-gram was seen and none backs off to its word alone.
+    """
+    counts = staged(pairs.where("gram IS NOT NULL").groupBy("gram").agg(F.count("*").alias("n")), "word-lm-counts").withColumn("context", F.substring_index("gram", " ", 1))
+    contexts = staged(counts.groupBy("context").agg(F.sum("n").alias("den")), "word-lm-contexts")
+    return counts.join(contexts, "context").select("gram", F.round(F.log(F.col("n") / F.col("den")) * UNIT).cast("long").alias("micro"))
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: the id, n_grams (words scored), log_score (sum of natural logs, in millionths), mean_log.
+
+    The 2-grams of all documents are counted with partial aggregation into tables partitioned by hash; the
+    exploded (row, gram) are joined to them by gram and summed by row. Rare words and word order count:
+    no 2-gram is left out. Texts are folded to lower case (ASCII).
+
+    Null or empty text: 0 grams, log_score 0, null mean. Null and repeated ids: a row each. Empty table: no
+    rows. Extra columns are ignored.
+    """
+    pairs = staged(_pairs(docs, id_col, text_col), "word-lm-pairs")
+    scores = staged(gram_scores(pairs), "word-lm-scores")
+    summed = pairs.join(scores, "gram").groupBy("nr").agg(F.first("id").alias("id"), F.count("*").alias("n_grams"), F.sum("micro").alias("log_score"))
+    empty = pairs.where("gram IS NULL").select("nr", "id", F.lit(0).cast("long").alias("n_grams"), F.lit(0).cast("long").alias("log_score"))
+    out = summed.unionByName(empty)
+    mean = F.round(F.col("log_score") / F.when(F.col("n_grams") > 0, F.col("n_grams")) / UNIT, 6)
+    return out.select(F.col("id").alias(id_col), "n_grams", "log_score", mean.alias("mean_log"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+p AS MATERIALIZED (SELECT doc_id, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS context, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c AS (SELECT context, word, count(*) AS n FROM p GROUP BY ALL),
+s AS (SELECT context, word, CAST(round(ln(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY context)) * {UNIT}) AS BIGINT) AS micro FROM c),
+t AS (SELECT doc_id, count(*) AS n_grams, CAST(sum(micro) AS BIGINT) AS log_score FROM p JOIN s USING (context, word) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_grams, 0) AS n_grams, coalesce(log_score, 0) AS log_score, round(log_score / CAST(n_grams AS DOUBLE) / {UNIT}, 6) AS mean_log FROM d LEFT JOIN t USING (doc_id)
+"""

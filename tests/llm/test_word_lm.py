@@ -1,0 +1,32 @@
+"""Word n-grams: against a direct count, and the registered query against its SQL."""
+
+import math
+from collections import Counter
+
+from tests.compare import assert_same
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_word_scores_follow_rare_words_and_word_order(spark):
+    from metaloom.llm import word_lm
+
+    texts = ["a b c a b", "b a c b a", "A  b\tzyx", "", None, "a b c a b", " \n "]
+    rows = [(i if i != 5 else 0, t) for i, t in enumerate(texts)] + [(None, "a b")]
+    words = [(t or "").lower().split() for _, t in rows]
+    grams = [list(zip([" ", *w], w, strict=False)) for w in words]
+    n = Counter(g for x in grams for g in x)
+    den = Counter(c for x in grams for c, _ in x)
+    want = sorted((str(i), len(g), sum(round(math.log(n[x] / den[x[0]]) * 1e6) for x in g)) for (i, _), g in zip(rows, grams, strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = word_lm.lm_scores(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_grams"], r["log_score"]) for r in got) == want
+    assert all((r["mean_log"] is None) == (r["n_grams"] == 0) for r in got)
+    assert word_lm.lm_scores(docs.limit(0)).count() == 0
+
+
+def test_word_query_matches_its_sql(spark):
+    from metaloom.llm import entry
+
+    name = "op6_word_lm_score"
+    assert assert_same(entry.queries()[name](spark, DATA), entry.oracle_sql()[name], "sf0.001") == 200
