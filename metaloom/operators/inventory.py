@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,11 +95,32 @@ def execution_summary(results: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("status", F.lit("SUCCESS")).select("query_name", "status", "row_count", "mapping_count")
 
 
+def run_summary(spark, extracts: dict[str, Callable[[], DataFrame]], audit: DataFrame, subject: str | None = None, workflow: str | None = None) -> DataFrame:
+    """A row for each extract, SUCCESS with its rows and mappings or FAILED without, and a MISSING row for each type in scope that has no extract.
+
+    Each extract is an action of its own, so that one that fails leaves the others' rows. subject_scope and
+    workflow_scope are the filters asked for, ALL without. audit: coverage_audit() of the scope.
+    """
+    rows = []
+    for name, make in extracts.items():
+        try:
+            got = make().agg(F.count("*"), F.countDistinct("mapping_name")).first()
+            rows.append((name, "SUCCESS", got[0], got[1]))
+        except Exception:  # whatever went wrong is this extract's status
+            rows.append((name, "FAILED", None, None))
+    out = spark.createDataFrame(rows, "query_name string, status string, row_count long, mapping_count long")
+    missing = audit.where("status = 'MISSING'").select(F.col("widget_type_name").alias("query_name"), "status", F.lit(0).cast("long").alias("row_count"), "mappings")
+    return out.union(missing).select("query_name", "status", "row_count", "mapping_count", F.lit(subject or "ALL").alias("subject_scope"), F.lit(workflow or "ALL").alias("workflow_scope"))
+
+
 def combine_by_mapping(results: dict[str, DataFrame]) -> DataFrame:
-    """All types' rows with their query name and the union of their columns."""
-    out = None
+    """All types' rows with their query name and the union of their columns; a column whose type differs between them becomes a string."""
+    out, kinds = None, {}
+    for df in results.values():
+        for column, kind in df.dtypes:
+            kinds.setdefault(column, set()).add(kind)
     for name, df in results.items():
-        part = df.withColumn("query_name", F.lit(name))
+        part = df.withColumns({c: F.col(c).cast("string") for c in df.columns if len(kinds[c]) > 1}).withColumn("query_name", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

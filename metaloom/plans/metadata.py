@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from metaloom.functions import decode
 from metaloom.operators import blocks, extract, inventory
 from metaloom.sources.fixture import repository, with_sql
+from metaloom.sources.store import cut
 
 KEYS = ", ".join(blocks.KEYS)
 FOUND = "found AS (SELECT DISTINCT w.subject_area, w.subject_id, w.workflow_name, t.instance_name AS session_instance_name, s.session_name, s.mapping_id FROM rep_workflows w JOIN rep_task_inst t ON t.workflow_id = w.workflow_id AND t.task_type = 68 JOIN rep_load_sessions s ON s.session_id = t.task_id)"
@@ -127,6 +128,26 @@ def b12(spark, d):
     return inventory.combine_by_mapping(_some(spark, d)).groupBy("query_name", "mapping_name").agg(F.count("*").alias("n"), F.count("filter_condition").alias("conditions"))
 
 
+#: Tables that every extract reads.
+_SHARED = ("rep_widget_attr", "rep_mapping_conn_ports", "rep_metadata_extns", "opb_widget_field", "opb_widget_expr", "opb_expression")
+
+
+def _all(spark, d):
+    """Every registered extract, over tables that are written once for all."""
+    repo, details = _details(spark, d)
+    repo, details = {n: cut(repo[n], n) for n in _SHARED}, cut(details, "details")
+    return details, {n: (lambda spec=spec: extract.extract(repo, details, spec)) for n, spec in extract.SPECS.items()}
+
+
+def b11_all(spark, d):
+    details, extracts = _all(spark, d)
+    return inventory.run_summary(spark, extracts, inventory.coverage_audit(details))
+
+
+def b12_all(spark, d):
+    return inventory.combine_by_mapping({n: cut(make(), n) for n, make in _all(spark, d)[1].items()})
+
+
 def b13(spark, d):
     repo, details = _details(spark, d)
     return inventory.leak_check(details, repo["rep_all_mappings"].where("mapping_id % 2 = 0").select("mapping_name")).select("mapping_name", "instance_name")
@@ -209,7 +230,7 @@ def c22(spark, d):
 
 QUERIES = {
     "b01_workflow_mappings": b01, "b02_all_details": b02, "b03_scope": b03, "b04_scope_mapping": b04, "b05_requested_names": b05, "b06_missing_requested": b06, "b07_restrict": b07, "b09_query_for_type": b09, "b10_coverage_audit": b10, "b11_execution_summary": b11,
-    "b12_combine_by_mapping": b12, "b13_leak_check": b13, "b14_types_present": b14, "b15_mapplet_instances": b15, "c01_instances": c01, "c03_attr_rows": c03, "c05_decodes": c05, "c09_extensions": c09, "c11_incoming": c11, "c12_outgoing": c12, "c14_port_connections": c14,
+    "b11_run_summary": b11_all, "b12_combine_by_mapping": b12, "b12_combine_all": b12_all, "b13_leak_check": b13, "b14_types_present": b14, "b15_mapplet_instances": b15, "c01_instances": c01, "c03_attr_rows": c03, "c05_decodes": c05, "c09_extensions": c09, "c11_incoming": c11, "c12_outgoing": c12, "c14_port_connections": c14,
     "c15_port_connections_full": c15, "c16_ports": c16, "c20_port_expressions": c20, "c21_joined_expressions": c21, "c22_long_text": c22,
     **{name: _extract(name) for name in extract.SPECS},
 }
@@ -236,6 +257,9 @@ ORACLE = {
     "b10_coverage_audit": f"{BASE} SELECT widget_type, widget_type_name, count(DISTINCT (mapping_id, instance_id)) AS instances, count(DISTINCT mapping_id) AS mappings, CASE WHEN widget_type IN ({_CODES}) THEN 'PRESENT' ELSE 'MISSING' END AS status FROM details GROUP BY 1, 2",
     "b11_execution_summary": f"{BASE} SELECT 'd10_filter' AS query_name, 'SUCCESS' AS status, count(*) AS row_count, count(DISTINCT mapping_name) AS mapping_count FROM {_counted(13)} UNION ALL SELECT 'd12_router', 'SUCCESS', count(*), count(DISTINCT mapping_name) FROM {_counted(15)}",
     "b12_combine_by_mapping": f"{BASE}, {ATTR_ROWS}, c AS (SELECT DISTINCT instance_id FROM attr_rows WHERE attr_name = 'FILTER CONDITION' AND attr_value IS NOT NULL) SELECT 'd10_filter' AS query_name, mapping_name, count(*) AS n, count(c.instance_id) AS conditions FROM {_counted(13)} x LEFT JOIN c USING (instance_id) GROUP BY 2 UNION ALL SELECT 'd12_router', mapping_name, count(*), 0 FROM {_counted(15)} GROUP BY 2",
+    "b11_run_summary": " UNION ALL ".join(f"SELECT '{n}' AS query_name, 'SUCCESS' AS status, count(*) AS row_count, count(DISTINCT mapping_name) AS mapping_count, 'ALL' AS subject_scope, 'ALL' AS workflow_scope FROM ({extract_sql(spec)})" for n, spec in extract.SPECS.items())
+    + f" UNION ALL SELECT * FROM ({BASE} SELECT widget_type_name, 'MISSING', 0, count(DISTINCT mapping_id), 'ALL', 'ALL' FROM details WHERE widget_type NOT IN ({_CODES}) GROUP BY widget_type, widget_type_name)",
+    "b12_combine_all": " UNION ALL BY NAME ".join(f"SELECT *, '{n}' AS query_name FROM ({extract_sql(spec)})" for n, spec in extract.SPECS.items()),
     "b13_leak_check": f"{BASE} SELECT mapping_name, instance_name FROM details WHERE mapping_id % 2 <> 0",
     "b14_types_present": f"{BASE} SELECT DISTINCT widget_type_name FROM details",
     "b15_mapplet_instances": f"{BASE} SELECT workflow_name, count(*) AS mapplets FROM details WHERE widget_type = 44 GROUP BY 1",
