@@ -39,11 +39,13 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def coding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document, drawn by seeded merge-dropout."""
+    """Piece ids of each document, drawn by seeded merge-dropout, and whether decoding them gives its text back."""
     import public_tokenizers
 
-    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(docs.withColumn("original", F.col("text")), path, carry=("original",))
+    back = pieces.decode(coded.withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)).cast("long")), path, carry=("n_pieces", "ids", "original"))
+    return back.select("doc_id", "n_pieces", "ids", F.col("text").eqNullSafe(F.col("original")).alias("lossless"))
 
 
 STAGES = [
