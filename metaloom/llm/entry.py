@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, near_dedup, pieces, quality, sharding, substring_dedup, token_counts, word_lm
+from . import decontaminate, exact_dedup, language_id, lm_score, near_dedup, pieces, quality, sharding, substring_dedup, token_counts
 from .common import held_out, table
 
 
@@ -39,10 +39,6 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
-def op6_word_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_lm.lm_scores(table(spark, sf_dir, "documents"))
-
-
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), width=4)
 
@@ -75,8 +71,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_quality, op4_language_id, op5_decontaminate, op6_lm_score, op6_word_lm_score, op7_near_dedup, op8_substring_dedup, op9_sentencepiece, op10_token_counts)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_quality, op4_language_id, op5_decontaminate, op6_lm_score, op7_near_dedup, op8_substring_dedup, op9_sentencepiece, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_lm_score": lm_score.oracle(), "op6_word_lm_score": word_lm.ORACLE, "op7_near_dedup": near_dedup.oracle(4, near_dedup.THRESHOLD), "op8_substring_dedup": substring_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_lm_score": lm_score.ORACLE, "op7_near_dedup": near_dedup.oracle(4, near_dedup.THRESHOLD), "op8_substring_dedup": substring_dedup.ORACLE}

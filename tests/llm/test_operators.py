@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metaloom.llm import common, decontaminate, exact_dedup, language_id, lm_score, near_dedup, pieces, quality, sharding, substring_dedup, token_counts
+from metaloom.llm import common, decontaminate, exact_dedup, language_id, near_dedup, pieces, quality, sharding, substring_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, h string, id long, key string, kept boolean, node long"
 P = pytest.importorskip("public_tokenizers")
@@ -160,13 +160,6 @@ def test_decontaminate(spark, messy, empty):
     assert decontaminate.benchmark_hits(empty, items).count() == 0 and decontaminate.benchmark_hits(messy, items.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
-def test_lm_scores(messy, empty):
-    got = lm_score.lm_scores(messy).collect()
-    assert len(got) == len(ROWS) + 3 and {r["n_grams"] for r in got if r["doc_id"] == 9} == {0}
-    long = next(r for r in got if r["doc_id"] == 16)
-    assert long["n_grams"] == len(TEXTS[16].encode()) and long["mean_log"] < 0 and lm_score.lm_scores(empty).count() == 0
-
-
 def shingle_set(t, width):
     w = (t or "").encode().lower().split()
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
