@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .graph import components
-from .pieces import Bounded
+from .words import LOWER, mixed, word_hashes
 
 WORDS = 5
 THRESHOLD = 80
@@ -31,27 +31,29 @@ _XOR = _rng.integers(0, 2**63, _HASHES, dtype=np.uint64) << _U(1)
 _MUL = _rng.integers(0, 2**63, _HASHES, dtype=np.uint64) << _U(1) | _U(1)
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], _U)
 
-_words = Bounded(xxhash.xxh3_64_intdigest, 200_000)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(29))
+def shingles(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text; a shorter text is one shingle, no words give none."""
+    h, sizes = word_hashes([x or b"" for x in texts], LOWER)
+    total = np.zeros(max(0, len(h) - width + 1), _U)
+    for i in range(width):
+        total += h[i : len(total) + i] * (_STEP[i % 8] ** _U(1 + i // 8))
+    total, out, begin = mixed(total), [], 0
+    for n in sizes.tolist():
+        if n < width:
+            out.append(np.array([xxhash.xxh3_64_intdigest(h[begin : begin + n].tobytes(), n)] if n else [], _U))
+        else:
+            s = np.sort(total[begin : begin + n - width + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        begin += n
+    return out
 
 
-def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is one shingle, no words give none."""
-    words = (text or b"").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, _U)
-    h = np.fromiter(map(_words.__getitem__, words), _U, n)
-    if n < width:
-        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), n)], _U)
-    total = np.zeros(n - width + 1, _U)
-    for i in range(width):
-        total += h[i : n - width + 1 + i] * _STEP[i % 8] ** _U(1 + i // 8)
-    return np.unique(_mix(total))
+def _sets_of(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Shingle sets of an Arrow array of texts, 256 at a time."""
+    for at in range(0, len(texts), 256):
+        yield from shingles(texts.slice(at, 256).to_pylist(), width)
 
 
 def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +62,7 @@ def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i in range(0, len(s), 2048):
         least = np.minimum(least, ((s[i : i + 2048, None] ^ _XOR) * _MUL).min(0))
     bands = np.array([xxhash.xxh3_64_intdigest(row.tobytes(), j) for j, row in enumerate(least.reshape(BANDS, ROWS))], _U)
-    bits = np.bincount(_mix(least ^ _XOR) % _U(SKETCH_BITS), minlength=SKETCH_BITS) & 1
+    bits = np.bincount(mixed(least ^ _XOR) % _U(SKETCH_BITS), minlength=SKETCH_BITS) & 1
     return bands.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -134,8 +136,7 @@ def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, bands, sketch = [], [], [], []
-            for x in batch.column(1):
-                s = shingles(x.as_py(), width)
+            for s in _sets_of(batch.column(1), width):
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                 one = signature(s) if len(s) else (None, None)
@@ -154,11 +155,10 @@ def _confirmed(width: int, threshold: int):
         held, held_text = None, None
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
+            for ta, s in zip(batch.column(2), _sets_of(batch.column(3), width), strict=True):
                 ta = ta.as_py()
                 if ta != held_text or held is None:
-                    held_text, held = ta, shingles(ta, width)
-                s = shingles(tb.as_py(), width)
+                    held_text, held = ta, shingles([ta], width)[0]
                 keep.append(bool(linked(len(np.intersect1d(held, s, assume_unique=True)), len(held), len(s), threshold)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -187,7 +187,7 @@ def _residual(docs: DataFrame, ids, text, buckets: DataFrame, labels: DataFrame,
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py(), width).tobytes() for x in batch.column(1)], pa.binary())], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets_of(batch.column(1), width)], pa.binary())], names=["node", "items"])
 
     return run
 
