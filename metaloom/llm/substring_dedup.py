@@ -7,35 +7,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .pieces import Bounded
+from .words import word_hashes
 
 #: Words of an edge (k-mer), and of the seeds that tell which edges can repeat.
 EDGE, SEED = 20, 6
 #: Words whose edges one task holds at a time.
 CHUNK_WORDS = 2_000_000
+#: Text that is hashed in one go.
+STEP_BYTES = 4_000_000
 
 _U = np.uint64
 _MUL = _U(0x9E3779B97F4A7C15)
-_words = Bounded(xxhash.xxh3_64_intdigest, 200_000)
 
 
-def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+def _rolled(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     """Mixed hash of each run of `width` words."""
-    n = len(h) - width + 1
+    n, by = len(h) - width + 1, _MUL + _U(2 * salt)
     total = np.zeros(max(n, 0), _U)
     for j in range(width if n > 0 else 0):
-        total = total * _MUL + h[j : n + j]
+        total = total * by + h[j : n + j]
     total = (total ^ (total >> _U(32))) * _U(0xD6E8FEB86659FD93)
     return total ^ (total >> _U(29))
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), _U, len(words))
+def _hashed(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Word hashes of each text, made for about 4 MB of text at a time."""
+    upto = np.cumsum(pa.compute.binary_length(texts).to_numpy())
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + STEP_BYTES, "right")))
+        h, sizes = word_hashes(texts.slice(low, high - low).to_pylist())
+        yield from np.split(h, np.cumsum(sizes)[:-1])
+        low = high
 
 
 def _lowest(x: np.ndarray, width: int) -> np.ndarray:
@@ -54,7 +62,7 @@ def _seeds(h: np.ndarray, edge: int, seed: int) -> tuple[np.ndarray, np.ndarray]
     return every, _lowest(every, edge - seed + 1) if len(h) >= edge else every[:0]
 
 
-def repeated_spans(docs: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, edge: int = EDGE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", hash_bits: tuple[int, ...] = ()) -> DataFrame:
     """Spans of windows that also start earlier: doc_id, start, n_windows, first_doc, first_start.
 
     A token k-mer (`edge` words) is an edge of the De Bruijn graph; its earliest coordinate (id, start) is
@@ -63,7 +71,12 @@ def repeated_spans(docs: DataFrame, edge: int = EDGE, seed: int = SEED, id_col:
     each task has resolved the repeats inside its own documents, and every later occurrence learns an
     earlier coordinate. 3. Runs of successive edges whose earlier coordinates are successive too have no
     branch between them: they compact to one path occurrence. 4. A join on both coordinates rereads the
-    words of each span and of its earlier span; a hash collision shows as different digests and is dropped.
+    words of each span and of its earlier span, as 128-bit digests. Where two differ, edges of different words
+    share a hash and may hide a repeat, so steps 2 to 4 are done again with another hash until none differ.
+    hash_bits: bits of the first hashes tried, for tests; 64 after those.
+
+    Null id or text: no spans. Rows that repeat an id are one document if their texts are equal, else they have no
+    verified spans. Texts shorter than an edge: none. Empty table: no rows. Extra columns are ignored.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null and text is not null")
     kind = source.schema["id"].dataType.simpleString()
@@ -73,7 +86,17 @@ def repeated_spans(docs: DataFrame, edge: int = EDGE, seed: int = SEED, id_col:
     of_doc = staged(single.distinct().join(twice, "seed").groupBy("id").agg(F.collect_list("seed").alias("seeds")), "span-doc-seeds")
 
     edges = source.join(of_doc.withColumnRenamed("id", "own"), F.col("id") == F.col("own")).select("id", "text", "seeds")
-    edges = edges.mapInArrow(_edge_rows(edge, seed, kind), f"h long, id {kind}, start int, n int, first_doc {kind}, first_start int")
+    for salt, bits in enumerate([*hash_bits, 64, 64, 64]):
+        spans = _spans(edges, edge, seed, kind, salt, bits)
+        judged = staged(_judged(source, spans, edge), "span-judged")
+        if judged.where("not same").isEmpty():
+            return judged.where("same").select(F.col("id").alias(id_col), "start", F.col("n").alias("n_windows"), "first_doc", "first_start")
+    raise ValueError("three independent hashes collide")
+
+
+def _spans(edges: DataFrame, edge: int, seed: int, kind: str, salt: int, bits: int) -> DataFrame:
+    """Runs of edges whose hashes have an earlier coordinate, with that coordinate."""
+    edges = edges.mapInArrow(_edge_rows(edge, seed, kind, salt, bits), f"h long, id {kind}, start int, n int, first_doc {kind}, first_start int")
     at = F.first(F.struct("id", "start")).over(Window.partitionBy("h").orderBy(F.col("n").isNotNull(), "id", "start"))
     known = F.col("n").isNotNull()
     later = edges.withColumn("first", at).where(known | ~((F.col("first.id") == F.col("id")) & (F.col("first.start") == F.col("start"))))
@@ -83,16 +106,15 @@ def repeated_spans(docs: DataFrame, edge: int = EDGE, seed: int = SEED, id_col:
     )
     itself = (F.col("first_doc") == F.col("id")) & (F.col("first_start") == F.col("start"))  # a repeated row
     later = later.where(~itself).repartition("id").sortWithinPartitions("id", "start")
-    spans = staged(later.mapInArrow(_paths(kind), f"id {kind}, start int, n int, first_doc {kind}, first_start int"), "spans")
-    return _verified(source, spans, edge, kind).select(F.col("id").alias(id_col), "start", F.col("n").alias("n_windows"), "first_doc", "first_start")
+    return staged(later.mapInArrow(_paths(kind), f"id {kind}, start int, n int, first_doc {kind}, first_start int"), "spans")
 
 
 def _seed_rows(edge: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for x in batch.column(1):
-                every, least = _seeds(_word_hashes(x.as_py().split()), edge, seed)
+            for h in _hashed(batch.column(1)):
+                every, least = _seeds(h, edge, seed)
                 own = np.unique(least)
                 values, n = np.unique(every, return_counts=True)
                 again = values[n > 1]  # a seed that its own document repeats counts twice
@@ -102,7 +124,7 @@ def _seed_rows(edge: int, seed: int):
     return run
 
 
-def _edge_rows(edge: int, seed: int, kind: str):
+def _edge_rows(edge: int, seed: int, kind: str, salt: int, bits: int):
     """Edges that can repeat: of each hash the task's first, for the other tasks; and spans for those after it."""
     names = ["h", "id", "start", "n", "first_doc", "first_start"]
 
@@ -126,12 +148,11 @@ def _edge_rows(edge: int, seed: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, parts, held = [], [], 0
-            for i, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                h = _word_hashes(text.as_py().split())
+            for i, h, own in zip(batch.column(0).to_pylist(), _hashed(batch.column(1)), batch.column(2), strict=True):
                 _, least = _seeds(h, edge, seed)
                 start = np.flatnonzero(np.isin(least.view(np.int64), own.values.to_numpy(zero_copy_only=False)))
                 ids.append(i)
-                parts.append((start, _rolled(h, edge)[start]))
+                parts.append((start, _rolled(h, edge, salt)[start] >> _U(64 - bits)))
                 held += len(h)
                 if held >= CHUNK_WORDS:
                     yield from flush(ids, parts, batch.schema.field(0).type)
@@ -170,8 +191,9 @@ def _paths(kind: str):
     return run
 
 
-def _verified(source: DataFrame, spans: DataFrame, edge: int, kind: str) -> DataFrame:
-    """Spans whose words equal those at the earlier coordinates, by 128-bit digests made from the texts."""
+def _judged(source: DataFrame, spans: DataFrame, edge: int) -> DataFrame:
+    """Spans, and whether their words equal those at the earlier coordinates, by 128-bit digests made from the texts."""
+    kind = source.schema["id"].dataType.simpleString()
     here = spans.select("id", "start", "n")
     there = spans.select(F.col("first_doc").alias("id"), F.col("first_start").alias("start"), "n")
     wanted = here.union(there).distinct().groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
@@ -193,7 +215,7 @@ def _verified(source: DataFrame, spans: DataFrame, edge: int, kind: str) -> Data
     read = staged(read.mapInArrow(digests, f"id {kind}, start int, n int, digest binary").groupBy("id", "start", "n").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")), "span-digests").where("digest = other")
     mine = read.select("id", "start", "n", "digest")
     theirs = read.select(F.col("id").alias("first_doc"), F.col("start").alias("first_start"), "n", F.col("digest").alias("first_digest"))
-    return spans.join(mine, ["id", "start", "n"]).join(theirs, ["first_doc", "first_start", "n"]).where("digest = first_digest")
+    return spans.join(mine, ["id", "start", "n"]).join(theirs, ["first_doc", "first_start", "n"]).select("id", "start", "n", "first_doc", "first_start", F.expr("digest = first_digest").alias("same"))
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, edge: int = EDGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
