@@ -46,7 +46,7 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     known = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == version)
     wanted = keys.groupBy("digest").agg(F.min("id").alias("id"))
     missing = staged(wanted.join(known, "digest", "left_anti"), "token-missing")
-    pick = missing.select(F.col("digest").alias("want"), F.col("id").alias("want_id")).hint("shuffle_hash")
+    pick = missing.select(F.col("digest").alias("want"), F.col("id").alias("want_id"))
     chosen = texts.join(pick, (F.col("digest") == F.col("want")) & F.col("id").eqNullSafe(F.col("want_id"))).select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
