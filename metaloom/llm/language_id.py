@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 ORDER = 3
 #: Training rows of one language, chosen by a hash of the id; the fitted trees are bounded by these rows' bytes.
 ROWS_PER_LANGUAGE = 4000
-#: Languages that one model may hold; rarer ones are not learned.
-MAX_LANGUAGES = 200
 UNDETERMINED = "und"
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -25,15 +23,22 @@ _PIECE = 1 << 18
 _cache: dict = {}
 
 
+@dataclass
+class Tree:
+    """One language's code lengths in bits by order: keys are a context's bytes with the byte after them, contexts those bytes alone."""
+
+    keys: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escape: list[np.ndarray]
+
+
 @dataclass
 class Model:
-    """Code lengths in bits of each byte class after each seen context; unseen contexts use their longest seen suffix."""
+    """A sparse tree for each language; unseen contexts use their longest seen suffix."""
 
     languages: list[str]
-    fold: bytes
-    n_classes: int
-    row_of: np.ndarray
-    bits: np.ndarray
+    trees: list[Tree]
 
 
 def has_letter(text: bytes) -> bool:
@@ -63,79 +68,113 @@ def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """Context trees from a bounded sample of labelled rows: about rows_per_language for each language, whole texts."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return None
-    share = F.lit(-1.0)
-    for r in counts:
-        share = F.when(F.col(lang_col) == r["l"], rows_per_language / r["count"]).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    got = count_grams(rows.where(draw < share), lang_col, text_col).toArrow()
+    """Context trees from a bounded sample of labelled rows: about rows_per_language for each language, whole texts.
+
+    Every non-null lang is learned, in a tree of its own. Null text or lang: not learned from. Null id: hashed as
+    null. Repeated rows count as often as they are drawn. No labelled rows, or an empty table: None. The sample
+    hangs on ids alone, so the same rows give the same model on any partitioning.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    per = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    got = count_grams(rows.join(per, F.col("lang") == F.col("of")).where(draw < F.col("share"))).toArrow()
     return build(np.array(got.column("lang").to_pylist(), object), got.column("gram").to_numpy(), got.column("n").to_numpy())
 
 
 def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model | None:
-    """Frozen code lengths, escape method C: a context gives its unseen bytes distinct / (total + distinct)."""
+    """Frozen code lengths, escape method C: a context gives its unseen bytes distinct / (total + distinct). No grams: None."""
     if not len(gram):
         return None
-    languages = sorted(set(lang.tolist()))
-    code = np.searchsorted(np.array(languages), lang.astype(str))
-    raw = np.stack([(gram >> s) & 255 for s in (24, 16, 8, 0)], 1)
-    seen = np.unique(np.append(raw, 10))
-    size = len(seen) + 1
-    classes = np.full(256, size - 1)
-    classes[seen] = np.arange(len(seen))
-    fold = bytes(classes[_LOWER[b]] for b in range(256))
-    at = classes[raw]
-
-    ids, rows, below = {}, {}, None
+    order = np.argsort(lang.astype(str), kind="stable")
+    lang, gram, n = lang[order], gram[order].astype(np.uint32), n[order]
+    at = np.flatnonzero(np.concatenate([[True], lang[1:] != lang[:-1]]))
+    return Model(lang[at].tolist(), [_tree(g, c) for g, c in zip(np.split(gram, at[1:]), np.split(n, at[1:]), strict=True)])
+
+
+def _tree(gram: np.ndarray, n: np.ndarray) -> Tree:
+    made = Tree([], [], [], [])
     for order in range(ORDER + 1):
-        packed = np.zeros(len(at), np.int64)
-        for j in range(ORDER - order, ORDER):
-            packed = packed * size + at[:, j]
-        ids[order], row = np.unique(packed, return_inverse=True)
-        bits = np.empty((len(ids[order]), size, len(languages)), np.float32)
-        parent = np.searchsorted(ids[order - 1], ids[order] % size ** (order - 1)) if order else None
-        for k in range(len(languages)):
-            own = code == k
-            table = np.zeros((len(ids[order]), size))
-            np.add.at(table, (row[own], at[own, ORDER]), n[own])
-            total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            lower = below[parent][:, :, k] if order else np.full((1, size), 8.0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, np.log2((total + distinct) / distinct), 0)
-                bits[:, :, k] = np.where(table > 0, np.log2((total + distinct) / table), escape + lower)
-        rows[order], below = bits, bits
-    base = np.cumsum([0] + [len(ids[k]) for k in range(ORDER + 1)])
-    row_of = np.zeros(size**ORDER, np.int32)
-    every = np.arange(size**ORDER)
-    for order in range(1, ORDER + 1):
-        tail = every % size**order
-        at_row = np.minimum(np.searchsorted(ids[order], tail), len(ids[order]) - 1)
-        row_of = np.where(ids[order][at_row] == tail, base[order] + at_row, row_of).astype(np.int32)
-    return Model(languages, fold, size, row_of, np.concatenate([rows[k] for k in range(ORDER + 1)]).reshape(-1, len(languages)))
-
-
-def code_length(model: Model, text: bytes) -> np.ndarray:
-    """Bits of the whole text under each language."""
-    a = np.frombuffer(bytes([model.fold[10]]) * ORDER + text.translate(model.fold), np.uint8)
-    bits, size = np.zeros(len(model.languages)), model.n_classes
-    for i in range(0, len(text), _PIECE):
-        b = a[i : i + _PIECE + ORDER].astype(np.int32)
-        row = model.row_of[(b[:-3] * size + b[1:-2]) * size + b[2:-1]]
-        bits += model.bits[row * size + b[3:]].sum(0, dtype=np.float64)
+        keys, back = np.unique(_last(gram, order + 1), return_inverse=True)
+        times = np.bincount(back, n)
+        contexts, back, distinct = np.unique(keys >> np.uint32(8), return_inverse=True, return_counts=True)
+        whole = np.bincount(back, times) + distinct
+        made.keys.append(keys)
+        made.bits.append(np.log2(whole[back] / times).astype(np.float32))
+        made.contexts.append(contexts)
+        made.escape.append(np.log2(whole / distinct).astype(np.float32))
+    return made
+
+
+def _last(gram: np.ndarray, n: int) -> np.ndarray:
+    return gram & np.uint32((1 << 8 * n) - 1)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _bits(tree: Tree, gram: np.ndarray) -> np.ndarray:
+    """Bits of each gram's last byte after the bytes before it."""
+    out, left = np.zeros(len(gram)), np.arange(len(gram))
+    for order in range(ORDER, -1, -1):
+        at, hit = _found(tree.keys[order], _last(gram[left], order + 1))
+        out[left[hit]] += tree.bits[order][at[hit]]
+        left = left[~hit]
+        at, hit = _found(tree.contexts[order], _last(gram[left] >> np.uint32(8), order))
+        out[left[hit]] += tree.escape[order][at[hit]]
+    out[left] += 8
+    return out
+
+
+def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
+    """Bits of each whole text under each language; texts are cut into pieces that keep their context."""
+    bits = np.zeros((len(texts), len(model.languages)))
+    own, parts, held = [], [], 0
+    for d, text in enumerate(texts):
+        whole = b"\n" * ORDER + text.translate(_LOWER)
+        for i in range(0, len(text), _PIECE):
+            own.append(d)
+            parts.append(whole[i : i + _PIECE + ORDER])
+            held += len(parts[-1])
+            if held >= _PIECE:
+                _add(model, own, parts, bits)
+                own, parts, held = [], [], 0
+    if parts:
+        _add(model, own, parts, bits)
     return bits
 
 
-def predict(model: Model | None, text: bytes | None) -> tuple[str, float, float | None]:
-    """Language, its share of the probability of all languages, and bits a byte."""
-    if model is None or text is None or not has_letter(text):
-        return UNDETERMINED, 0.0, None
-    bits = code_length(model, text)
-    best = int(bits.argmin())
-    return model.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(text))
+def _add(model: Model, own: list[int], parts: list[bytes], bits: np.ndarray) -> None:
+    """Adds the bits of the parts; each begins with the three bytes before it. Equal grams of a part are looked up once."""
+    a = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+    gram = (a[:-3] << 24) | (a[1:-2] << 16) | (a[2:-1] << 8) | a[3:]
+    size = np.array([len(p) for p in parts])
+    inside = np.ones(len(a), bool)
+    begin = np.cumsum(size) - size
+    for k in range(ORDER):
+        inside[begin + k] = False
+    part = np.repeat(np.arange(len(parts), dtype=np.uint64), size - ORDER)
+    keys = np.sort(part << np.uint64(32) | gram[inside[ORDER:]].astype(np.uint64))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    times, keys = np.diff(np.append(first, len(keys))), keys[first]
+    doc, gram = np.array(own)[(keys >> np.uint64(32)).astype(np.int64)], keys.astype(np.uint32)
+    for k, tree in enumerate(model.trees):
+        bits[:, k] += np.bincount(doc, _bits(tree, gram) * times, len(bits))
+
+
+def predict_many(model: Model | None, texts: list[bytes | None]) -> list[tuple[str, float, float | None]]:
+    """Of each text: its language, that language's share of the probability of all, and bits a byte."""
+    out: list[tuple[str, float, float | None]] = [(UNDETERMINED, 0.0, None)] * len(texts)
+    at = [i for i, t in enumerate(texts) if model is not None and t and has_letter(t)]
+    if at:
+        bits = code_lengths(model, [texts[i] for i in at])
+        best = bits.argmin(1)
+        least = bits[np.arange(len(at)), best]
+        share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+        for i, b, s, x in zip(at, best.tolist(), share.tolist(), least.tolist(), strict=True):
+            out[i] = (model.languages[b], s, x / len(texts[i]))
+    return out
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +192,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [predict(own(), x.as_py()) for x in batch.column(1)]
+            got = [g for i in range(0, len(batch), 256) for g in predict_many(own(), batch.column(1).slice(i, 256).to_pylist())]
             made = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["id", "lang_pred", "score", "bits_per_byte"])
 
@@ -162,14 +201,20 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language is decided with a score of `least` or more; no join, no shuffle."""
+    """The rows of docs, all columns, whose language is decided with a score of `least` or more; no join, no shuffle.
+
+    Null or empty text, or no letter: dropped. Without a model no language can be told, so no row is rejected: all
+    rows stay. Null and repeated ids: each row is judged by itself. Empty table: no rows.
+    """
+    if model is None:
+        return docs
     own, at = _on_workers(docs, model), docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
-                got = [predict(own(), x.as_py()) for x in part.column(at).cast(pa.binary())]
+                got = predict_many(own(), part.column(at).cast(pa.binary()).to_pylist())
                 yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in got], pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
