@@ -21,8 +21,6 @@ DIMENSIONS = 1 << 18
 #: Labelled rows that the linear model is fitted on, chosen by a hash of the id; the counts use all of them.
 FIT_ROWS = 8000
 CUT = 0.7
-#: Labels up to this count (some 16 bytes each) are sent to every task; more are shuffled with the texts.
-BROADCAST_LABELS = 2_000_000
 
 _UPPER, _LOWER, _DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 _U = np.uint64
@@ -73,7 +71,11 @@ class Model:
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
-    """(bucket, ones, zeros) over all labelled rows (text binary, label int), combined per task before the shuffle."""
+    """(bucket, ones, zeros) over all labelled rows (text binary, label int), combined per task before the shuffle.
+
+    A row counts once for each bucket that its text has. Null or empty text: no buckets. Any label but 1 counts as 0.
+    Empty table: no rows.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones = np.zeros((2, DIMENSIONS), np.int64)
@@ -87,12 +89,17 @@ def class_counts(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, seed: int = 1) -> Model | None:
-    """Ratios from all labelled rows; hinge loss by dual coordinate descent on about fit_rows of them."""
+    """Ratios from all labelled rows; hinge loss by dual coordinate descent on about fit_rows of them.
+
+    Labels grow with the documents, so both sides of their join are shuffled at every size. Null text: as empty.
+    Null label or null id: not learned from. An id with two different labels gives a row for each; equal labels of
+    one id count once, rows that repeat an id once each. No labelled rows, or one class only: None. The sample is
+    drawn by a hash of the id and sorted before the fit, so that partitioning changes nothing.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("label is not null").distinct()
-    marks = staged(marks, "quality-labels")
-    n_rows = marks.count()
-    rows = staged(rows.join(F.broadcast(marks) if n_rows <= BROADCAST_LABELS else marks, "id").select("id", "text", "label"), "quality-rows")
+    rows = staged(rows.join(marks.hint("merge"), "id").select("id", "text", "label"), "quality-rows")
+    n_rows = rows.count()
     got = class_counts(rows.select("text", "label")).toArrow()
     if not n_rows or not got.num_rows:
         return None
@@ -104,15 +111,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(x.as_py()) for x in batch.column(0)], pa.list_(pa.int32())), batch.column(1)], names=["x", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(x.as_py()) for x in batch.column(1)], pa.list_(pa.int32())), batch.column(2)], names=["place", "x", "label"])
 
     draw = F.pmod(F.xxhash64(F.lit("quality sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < fit_rows / n_rows).select("text", "label").mapInArrow(chosen, "x array<int>, label int").toArrow()
+    drawn = rows.where(draw < fit_rows / n_rows).select(F.xxhash64("id", "text", "label").alias("place"), "text", "label")
+    sample = drawn.mapInArrow(chosen, "place long, x array<int>, label int").toArrow().sort_by("place")
     return descend([x.values.to_numpy() for x in sample.column("x")], sample.column("label").to_numpy(), ratio, seed)
 
 
 def descend(xs: list[np.ndarray], label: np.ndarray, ratio: np.ndarray, seed: int = 1, c: float = 1.0, epochs: int = 12, mix: float = 0.5) -> Model | None:
-    """Dual coordinate descent: each step solves one row's multiplier exactly; weights are mixed with their mean size."""
+    """Dual coordinate descent: each step solves one row's multiplier exactly; weights are mixed with their mean size.
+
+    A row without buckets only moves the bias. Classes weigh the same in sum. Repeated rows are rows of their own.
+    One class only, or no rows: None.
+    """
     y = np.where(label == 1, 1.0, -1.0)
     if len(set(y)) < 2:
         return None
