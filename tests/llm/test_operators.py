@@ -103,32 +103,56 @@ def test_language_id(messy, empty, spark):
     assert {r["lang_pred"] for r in language_id.identify(messy, None).collect()} == {"und"}
 
 
-def test_code_lengths_are_those_of_the_context_tree():
-    """Bits of a text by walking the counts directly, escape method C."""
-    sample, text = b"abracadabra abracadabra", b"abrac zab"
-    keys, n = np.unique(language_id._grams(sample), return_counts=True)
-    model = language_id.build(np.array(["l"] * len(keys), object), keys.astype(np.int64), n)
-    grams = {}
-    for k, c in zip(keys.tolist(), n.tolist(), strict=True):
-        b = k.to_bytes(4, "big")
-        for order in range(4):
-            grams.setdefault(b[3 - order : 3], {}).setdefault(b[3:], 0)
-            grams[b[3 - order : 3]][b[3:]] += c
-    bits, padded = 0.0, b"\n\n\n" + text
-    for i in range(len(text)):
-        context, symbol = padded[i : i + 3], padded[i + 3 : i + 4]
-        for order in (3, 2, 1, 0):
-            seen = grams.get(context[3 - order :])
-            if seen is None:
-                continue
-            total, distinct = sum(seen.values()), len(seen)
-            if symbol in seen:
-                bits -= np.log2(seen[symbol] / (total + distinct))
-                break
-            bits -= np.log2(distinct / (total + distinct))
+def test_code_lengths_are_those_of_the_context_trees(monkeypatch):
+    """Bits of a text by walking each language's counts directly, escape method C; the argmax and the posterior of several."""
+    samples, texts = {"a": b"abracadabra abracadabra", "b": b"banana bandana", "c": b"cccc"}, [b"abrac zab", b"bandana ban", b"", "\u00e9x".encode(), b"cc" * 40]
+    lang, gram, n, trees = [], [], [], {}
+    for name, sample in samples.items():
+        keys, times = np.unique(language_id._grams(sample), return_counts=True)
+        lang += [name] * len(keys)
+        gram += keys.tolist()
+        n += times.tolist()
+        tree = trees[name] = {}
+        for k, c in zip(keys.tolist(), times.tolist(), strict=True):
+            b = k.to_bytes(4, "big")
+            for order in range(4):
+                tree.setdefault(b[3 - order : 3], {}).setdefault(b[3:], 0)
+                tree[b[3 - order : 3]][b[3:]] += c
+    model = language_id.build(np.array(lang, object), np.array(gram, np.int64), np.array(n))
+
+    def walked(tree, text):
+        bits, padded = 0.0, b"\n\n\n" + text
+        for i in range(len(text)):
+            context, symbol = padded[i : i + 3], padded[i + 3 : i + 4]
+            for order in (3, 2, 1, 0):
+                seen = tree.get(context[3 - order :])
+                if seen is None:
+                    continue
+                total, distinct = sum(seen.values()), len(seen)
+                if symbol in seen:
+                    bits -= np.log2(seen[symbol] / (total + distinct))
+                    break
+                bits -= np.log2(distinct / (total + distinct))
+            else:
+                bits += 8
+        return bits
+
+    want = np.array([[walked(trees[m], t) for m in model.languages] for t in texts])
+    for piece in (1 << 18, 4):
+        monkeypatch.setattr(language_id, "_PIECE", piece)
+        assert np.abs(language_id.code_lengths(model, texts) - want).max() < 1e-3
+    got = language_id.predict_many(model, [t or None for t in texts])
+    for (name, score, each), row, t in zip(got, want, texts, strict=True):
+        if t:
+            assert name == model.languages[row.argmin()] and abs(score - 1 / np.exp2(row.min() - row).sum()) < 1e-4 and abs(each - row.min() / len(t)) < 1e-4
         else:
-            bits += 8
-    assert abs(language_id.code_length(model, text)[0] - bits) < 1e-3
+            assert (name, score, each) == ("und", 0.0, None)
+
+
+def test_rare_languages_are_learned_too(spark):
+    train = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 30, f"l{i:03}") for i in range(300)], "doc_id long, text string, lang string")
+    model = language_id.fit(train)
+    assert len(model.languages) == 300 and all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in language_id.identify(train, model).collect())
 
 
 def test_quality(spark, messy, empty):
@@ -144,6 +168,48 @@ def test_quality(spark, messy, empty):
     assert quality.fit(docs, labels.where("quality = 1")) is None and quality.scored(docs, None).first()["score"] == 0.5
 
 
+def test_quality_ratios_and_optimum_against_plain_versions(spark):
+    """Class counts by hand; the fitted weights against a primal subgradient solver of the same objective."""
+    r = np.random.default_rng(3)
+    texts = [words(r.integers(0, 12), i, "abc") for i in range(60)] + [None, "", words(5, 1, "abc")]
+    rows = spark.createDataFrame([(t, int(i % 3 == 0)) for i, t in enumerate(texts)], "text string, label int").select(F.col("text").cast("binary").alias("text"), "label")
+    got = {x["bucket"]: (x["ones"], x["zeros"]) for x in quality.class_counts(rows).collect()}
+    want: dict = {}
+    for i, t in enumerate(texts):
+        for b in set(quality.features((t or "").encode()).tolist()):
+            one = want.setdefault(b, [0, 0])
+            one[0 if i % 3 == 0 else 1] += 1
+    assert got == {b: tuple(x) for b, x in want.items()}
+
+    ratio = r.normal(size=12)
+    xs = [np.flatnonzero(r.random(12) < 0.4).astype(np.int32) for _ in range(80)]
+    label = (np.array([ratio[x].sum() for x in xs]) + r.normal(size=80) > 0).astype(int)
+    model = quality.descend(xs, label, ratio, epochs=600, mix=1.0)
+    y = np.where(label == 1, 1.0, -1.0)
+    cost = np.where(y > 0, 80 / (2 * (y > 0).sum()), 80 / (2 * (y < 0).sum()))
+    v = np.zeros((80, 13))
+    for i, x in enumerate(xs):
+        v[i, x] = ratio[x] / np.sqrt(1 + (ratio[x] ** 2).sum())
+    v[:, 12] = 1
+
+    def objective(w):
+        return w @ w / 2 + (cost * np.maximum(0, 1 - y * (v @ w))).sum()
+
+    w, mean = np.zeros(13), np.zeros(13)
+    for t in range(1, 60001):
+        w = w - (w - ((cost * y * (y * (v @ w) < 1)) @ v)) / t
+        mean += (w - mean) * 2 / (t + 1)
+    fitted = objective(np.append(model.weight / ratio, model.bias))
+    assert fitted <= objective(mean) + 1e-3 and abs(fitted - objective(mean)) < 1e-2 * fitted
+
+
+def test_quality_is_the_same_on_any_partitioning(spark):
+    docs = spark.createDataFrame([(i, words(30, i, "abcd" if i % 2 else "cdef")) for i in range(120)] + [(5, "other text"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(3, 0), (4, None), (None, 1)], "doc_id long, quality int")
+    one, two = (quality.fit(d, m) for d, m in ((docs, labels), (docs.repartition(7), labels.repartition(5))))
+    assert (one.weight == two.weight).all() and (one.bias, one.a, one.b) == (two.bias, two.a, two.b)
+
+
 def test_decontaminate(spark, messy, empty):
     item = words(40, 9)
     items = spark.createDataFrame([(1, item), (2, "short one here"), (3, None), (4, ""), (5, item)], "item_id long, text string")
@@ -199,8 +265,10 @@ def test_near_groups_in_one_large_family(spark):
     assert [got[i] for i in range(len(texts))] == near_components(texts, 4)
 
 
-def test_substring_dedup(docs, messy, empty):
-    cut = substring_dedup.without_repeats(docs, substring_dedup.repeated_spans(docs)).collect()
+@pytest.mark.parametrize("bits", [(), (5, 7)])
+def test_substring_dedup(docs, messy, empty, bits):
+    """Also where windows of different words share a hash at first."""
+    cut = substring_dedup.without_repeats(docs, substring_dedup.repeated_spans(docs, hash_bits=bits)).collect()
     seen, want = set(), {}
     for i, t in enumerate(TEXTS):
         w = (t or "").encode().split()
