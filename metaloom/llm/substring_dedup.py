@@ -96,7 +96,7 @@ def repeated_spans(docs: DataFrame, edge: int = EDGE, seed: int = SEED, id_col:
 
 def _spans(edges: DataFrame, edge: int, seed: int, kind: str, salt: int, bits: int) -> DataFrame:
     """Runs of edges whose hashes have an earlier coordinate, with that coordinate."""
-    edges = edges.mapInArrow(_edge_rows(edge, seed, kind, salt, bits), f"h long, id {kind}, start int, n int, first_doc {kind}, first_start int")
+    edges = staged(edges.mapInArrow(_edge_rows(edge, seed, kind, salt, bits), f"h long, id {kind}, start int, n int, first_doc {kind}, first_start int"), "span-edges")  # before they are dealt out, the shuffled texts go
     at = F.first(F.struct("id", "start")).over(Window.partitionBy("h").orderBy(F.col("n").isNotNull(), "id", "start"))
     known = F.col("n").isNotNull()
     later = edges.withColumn("first", at).where(known | ~((F.col("first.id") == F.col("id")) & (F.col("first.start") == F.col("start"))))
