@@ -6,8 +6,12 @@ instance, line = port; consecutive orders of a customer are connected on equal l
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import written
+
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 #: (widget type, attribute id, attribute name, kind of value). Names are those of the ETL repository (fixed values).
@@ -65,8 +69,38 @@ def with_sql(last: str | None = None) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in names[: names.index(last) + 1 if last else None])
 
 
-def repository(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Lazy DataFrames of the repository tables."""
-    for name in STAR:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return {n: spark.sql(f"{with_sql(n)} SELECT * FROM {n}") for n in TABLES}
+class Repository(dict):
+    """Repository tables by name; each is projected, with those it needs, when it is first asked for.
+
+    A table is written once for a session and folder, so that the queries that use it read the same files instead of
+    projecting it anew. The projection runs in a session of its own: the caller's temporary views stay as they are.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir, self.own = spark, sf_dir, spark.newSession()
+        for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+            self.own.conf.set(key, spark.conf.get(key))
+
+    def __missing__(self, name: str) -> DataFrame:
+        for other in dict.fromkeys(re.findall(r"\w+", TABLES[name])):
+            if other in STAR and not self.own.catalog.tableExists(other):
+                self.own.read.parquet(f"{self.sf_dir}/{other}.parquet").createOrReplaceTempView(other)
+            elif other in TABLES and other != name:
+                self[other]
+        made = self.own.sql(TABLES[name])
+        path = written(made, name)
+        self.own.read.schema(made.schema).parquet(path).createOrReplaceTempView(name)
+        self[name] = self.spark.read.schema(made.schema).parquet(path)
+        return self[name]
+
+
+_held: dict[tuple[str, str], Repository] = {}
+
+
+def repository(spark: SparkSession, sf_dir: str) -> Repository:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _held:
+        _held[key] = Repository(spark, sf_dir)
+    _held[key].spark = spark
+    return _held[key]

@@ -5,18 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df written to spark.checkpoint.dir as Parquet and read again: a lost executor costs a reread."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cut/{name}-{uuid.uuid4().hex}"
+        app = spark.sparkContext.applicationId
+        folder = _local[app] = _local.get(app) or tempfile.mkdtemp(prefix="spark-shared-")
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str = "cut") -> str:
+    """The path of a new Parquet table in the shared folder with the rows of df."""
+    path = f"{shared_folder(df.sparkSession)}/cut/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df written to spark.checkpoint.dir as Parquet and read again: a lost executor costs a reread."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
