@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,6 +103,39 @@ def rule_class(expression: Column) -> Column:
     return out.otherwise("Direct move")
 
 
+#: Patterns in order with the words for what the first that is found says; \1 and on are its groups (fixed values).
+PLAIN_RULES = [
+    (r"^\s*(\w+)\s*$", r"Pass through \1 without change"),
+    (r"(?i)IIF\s*\(\s*(.+?)\s*,\s*(.+?)\s*,\s*(.+?)\s*\)\s*$", r"If \1 then \2, otherwise \3"),
+    (r"(?i)DECODE\s*\(", "Map value using DECODE logic"),
+    (r"(?i)NVL2?\s*\(", "Replace NULL values using NVL logic"),
+    (r"(?i)(L?R?TRIM)\s*\(\s*(\w+)\s*\)\s*$", r"Trim whitespace from \2"),
+    (r"(?i)(UPPER|LOWER)\s*\(\s*(\w+)\s*\)\s*$", r"Convert \2 to \1 case"),
+    (r"(?i)SUBSTR(?:ING)?\s*\(\s*(\w+)\s*,\s*(\d+)\s*(?:,\s*(\d+))?\s*\)", r"Extract part of \1 starting at position \2"),
+    (r"(?i)TO_DATE\s*\(\s*(\w+)\s*,\s*'(.+?)'\s*\)", r"Parse \1 as date using format '\2'"),
+    (r"(?i)TO_CHAR\s*\(\s*(\w+)", r"Convert \1 to text"),
+    (r"\|\|", "Concatenate values"),
+    (r"[\+\-\*/]", "Apply arithmetic calculation"),
+    (r"(?i)\bLKP\.", "Perform a lookup"),
+    (r"(?i)\bSEQGEN\b|\bNEXTVAL\b", "Generate next sequence value"),
+    (r"(?i)\bSYSDATE\b|\bSYSTIMESTAMP\b", "Use current system date/time"),
+]
+#: Most characters of an expression that no pattern knows.
+SHORT = 140
+
+
+def plain_rule(expression: Column) -> Column:
+    """an expression in plain words, by the first pattern that is found in it."""
+    text = F.trim(F.coalesce(expression, F.lit("")))
+    out = F.when(text == "", "No transformation logic provided")
+    for pattern, words in PLAIN_RULES:
+        parts = [F.regexp_extract(text, pattern, int(p)) if k % 2 else F.lit(p) for k, p in enumerate(re.split(r"\\(\d)", words))]
+        out = out.when(text.rlike(pattern), F.concat(*parts))
+    whole = compact(text)
+    cut = F.concat(F.rtrim(F.regexp_extract(whole, rf"^(.{{0,{SHORT - 4}}})(?=\s)", 1)), F.lit(" ..."))
+    return out.otherwise(F.concat(F.lit("Apply expression: "), F.when(F.length(whole) <= SHORT, whole).otherwise(F.ltrim(cut))))
+
+
 def clean_text(text: Column) -> Column:
     """Line ends made equal, lines trimmed, blank lines dropped."""
     lines = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), lambda x: F.trim(x))

@@ -28,6 +28,20 @@ def closure(starts: DataFrame, edges: DataFrame, keys: list[str], most: int = 10
     raise ValueError(f"no fixpoint after {most} rounds")
 
 
+def spread(seeds: DataFrame, edges: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
+    """(keys, node): seeds and all that they reach over edges, whose columns are the first of the keys, src and dst."""
+    own = [k for k in keys if k in edges.columns]
+    edges = cut(edges.select(*own, F.col("src").alias("node"), "dst").distinct(), "ties")
+    seen = frontier = cut(seeds.select(*keys, "node").distinct(), "spread")
+    for _ in range(most):
+        step = frontier.join(edges, [*own, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen, [*keys, "node"], "left_anti"), "frontier")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+    raise ValueError(f"no fixpoint after {most} rounds")
+
+
 def layers(nodes: DataFrame, edges: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
     """(keys, node, layer): longest path from a node without predecessors; null on and behind cycles.
 

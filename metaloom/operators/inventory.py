@@ -56,6 +56,12 @@ def missing_requested(names: DataFrame, details: DataFrame) -> DataFrame:
     return names.join(have, "folded", "left_anti").select("name")
 
 
+def available_names(details: DataFrame, most: int = 30) -> DataFrame:
+    """The first names, sorted, that an error lists beside the missing ones (the limit is the message's)."""
+    first = details.select("instance_name").distinct().orderBy("instance_name").limit(most)
+    return first.agg(F.expr("listagg(instance_name, ', ') WITHIN GROUP (ORDER BY instance_name)").alias("available"))
+
+
 def restrict(details: DataFrame, names: DataFrame, columns: tuple[str, ...] = ("transformation_name", "lookup_transformation", "instance_name")) -> DataFrame:
     """Rows of the requested instances, by the first of the columns that the result has."""
     column = next(c for c in columns if c in details.columns)

@@ -63,6 +63,25 @@ TABLES = {
 }
 
 
+_x_type = "CASE WHEN w.widget_type = 98 AND w.instance_id % 2 = 0 THEN 'SQL' WHEN w.widget_type = 6 AND w.instance_id % 2 = 1 THEN 'Rank' ELSE w.widget_type_name END"
+_x_own = "concat('F', CAST(f.field_id AS VARCHAR(20)))"
+_x_other = "concat('F', CAST(1 + (f.field_id + 1) % 4 AS VARCHAR(20)))"
+
+#: The tables of an export, with more shapes than the repository: suffixed routers and joiners, union groups, generated and return ports, lower-case fields.
+TABLES |= {
+    "x_inst": f"SELECT w.mapping_id, w.subject_id, CASE WHEN w.widget_type IN (12, 15) AND w.instance_id % 3 = 0 THEN concat(w.instance_name, '.G1') ELSE w.instance_name END AS instance, w.instance_name AS base, CASE WHEN w.widget_type IN (1, 2) THEN concat('TAB_', CAST(w.instance_id % 300 AS VARCHAR(20))) WHEN w.instance_id % 10 = 0 THEN concat('RX_', CAST(w.instance_id % 40 AS VARCHAR(20))) ELSE w.instance_name END AS definition, {_x_type} AS type, CASE WHEN w.widget_type = 97 AND w.instance_id % 3 <> 0 THEN 'Union Transformation' END AS template, w.instance_id, w.rn AS ord FROM rep_widget_inst w",
+    "x_port": f"SELECT i.mapping_id, i.instance, i.type, i.template, f.field_name AS field, f.field_id AS ord, CASE WHEN i.type = 'Aggregator' AND f.field_id % 3 = 1 THEN 'INPUT/OUTPUT/GROUPBY' WHEN i.type = 'Sorter' AND f.field_id % 3 = 1 THEN 'INPUT/OUTPUT/SORTKEY' WHEN i.type = 'Rank' AND f.field_id % 3 = 1 THEN 'INPUT/OUTPUT/KEY' ELSE CASE f.porttype WHEN 1 THEN 'INPUT' WHEN 2 THEN 'OUTPUT' WHEN 32 THEN 'LOCAL VARIABLE' WHEN 7 THEN 'LOOKUP/OUTPUT' WHEN 10 THEN 'RETURN' ELSE 'INPUT/OUTPUT' END END AS porttype, CASE f.field_id % 4 WHEN 0 THEN 'DESCENDING' WHEN 1 THEN 'ASCENDING' END AS sort_order, CASE WHEN f.field_id % 3 = 0 THEN 'G1' WHEN f.field_id % 3 = 1 THEN 'G2' ELSE 'OUTPUT' END AS grp, CASE WHEN i.type IN ('Source Definition', 'Target Definition') THEN NULL ELSE CASE (i.instance_id * 3 + f.field_id) % 13 WHEN 1 THEN {_x_other} WHEN 2 THEN concat('IIF(F1 > 0, ', {_x_other}, ', 0)') WHEN 3 THEN concat('F1 || ', {_x_other}) WHEN 4 THEN 'LKP:INST_9(F1)' WHEN 5 THEN 'DECODE(F1, 1, ''F2'')' WHEN 6 THEN concat({_x_own}, ' = ', {_x_other}) WHEN 7 THEN 'SYSDATE' WHEN 8 THEN concat('LTRIM(', {_x_other}, ')') WHEN 9 THEN 'TO_CHAR(f1)' WHEN 10 THEN 'NEXTVAL' WHEN 11 THEN 'F1 + COUNT' END END AS expression FROM x_inst i JOIN opb_widget_field f ON f.widget_id = i.instance_id",
+    "x_attr": "SELECT i.mapping_id, i.instance, i.type, a.attr_name AS name, max(trim(a.attr_value)) AS value FROM rep_widget_attr a JOIN x_inst i ON i.instance_id = a.widget_id WHERE trim(a.attr_value) <> '' AND i.type <> 'SQL' GROUP BY i.mapping_id, i.instance, i.type, a.attr_name UNION ALL SELECT mapping_id, instance, type, 'Sql Query', concat('SELECT X.F1 + 1 AS F4, Y.F2 FROM X, Y WHERE X.A = :F1 AND Y.B = :f', CAST(1 + instance_id % 3 AS VARCHAR(20))) FROM x_inst WHERE type = 'SQL'",
+    "x_conn": "SELECT c.mapping_id, a.instance AS from_inst, CASE WHEN a.instance_id % 11 = 0 THEN lower(c.from_object_field_name) ELSE c.from_object_field_name END AS from_field, CASE WHEN b.template IS NOT NULL AND a.instance_id % 4 <> 0 THEN concat(b.instance, '.IN', CAST(a.instance_id % 2 AS VARCHAR(20))) ELSE b.base END AS to_inst, CASE WHEN b.template IS NOT NULL AND a.instance_id % 3 = 0 THEN lower(c.to_object_field_name) ELSE c.to_object_field_name END AS to_field FROM rep_mapping_conn_ports c JOIN x_inst a ON a.mapping_id = c.mapping_id AND a.instance_id = c.from_object_instance_id JOIN x_inst b ON b.mapping_id = c.mapping_id AND b.instance_id = c.to_object_instance_id",
+    "x_target_field": "SELECT DISTINCT i.definition, f.field_name AS field FROM x_inst i JOIN opb_widget_field f ON f.widget_id = i.instance_id WHERE i.type = 'Target Definition' AND i.instance_id % 5 <> 0",
+    "x_load_order": "SELECT mapping_id, instance AS target_instance, CASE WHEN instance_id % 7 = 0 THEN 'x' ELSE CAST(instance_id % 4 AS VARCHAR(20)) END AS ord FROM x_inst WHERE type = 'Target Definition' AND instance_id % 3 <> 0 UNION ALL SELECT mapping_id, 'GONE', '9' FROM rep_all_mappings WHERE mapping_id % 6 = 0",
+    "x_session": "SELECT c_custkey AS ord, CAST(c_nationkey AS BIGINT) AS workflow_id, concat('S_', CAST(c_custkey % 1000 AS VARCHAR(20))) AS session_name, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE concat('m_', CAST(c_custkey AS VARCHAR(20))) END AS mapping_name FROM customer",
+    "x_task": "SELECT workflow_id, ord, CASE WHEN ord % 9 = 0 THEN '' ELSE concat('t_', session_name) END AS name, CASE WHEN ord % 8 = 0 THEN '' ELSE session_name END AS task_name, CASE WHEN ord % 10 = 0 THEN 'Command' ELSE 'Session' END AS task_type, CASE WHEN ord % 12 = 0 THEN 'NO' WHEN ord % 5 = 0 THEN NULL ELSE 'YES' END AS isenabled FROM x_session",
+    "x_link": "SELECT a.workflow_id, a.ord, CASE WHEN a.n = 1 AND a.workflow_id % 4 <> 0 THEN 'Start' ELSE p.name END AS from_task, a.name AS to_task, CASE WHEN a.ord % 4 = 0 THEN concat('$', a.name, '.Status = SUCCEEDED') END AS condition FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY ord) AS n FROM x_task) a LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY ord) AS n FROM x_task) p ON p.workflow_id = a.workflow_id AND p.n = a.n - 1 - a.n % 2 WHERE a.ord % 13 <> 12",
+    "x_extension": "SELECT s.session_name, concat('TGT_', CAST(s.ord % 90 AS VARCHAR(20))) AS instance, CASE WHEN s.ord % 3 = 0 THEN 'READER' ELSE 'WRITER' END AS type, CASE WHEN s.ord % 2 = 0 THEN 'File Writer' ELSE 'Relational Writer' END AS subtype, s.ord, a.name, CASE WHEN (s.ord + a.k) % 4 = 0 THEN '' ELSE concat('/out/', a.name, CAST(s.ord AS VARCHAR(20))) END AS value FROM x_session s JOIN (VALUES (1, 'Output filename'), (2, 'Output file directory'), (3, 'Header')) AS a(k, name) ON 1 = 1",
+}
+
+
 def with_sql(last: str | None = None) -> str:
     """The CTEs up to `last` as the beginning of a WITH clause."""
     names = list(TABLES)
