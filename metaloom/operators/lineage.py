@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.functions import sqltext
-from metaloom.sources.store import cut
-
 from . import graph
 
 SOURCE, TARGET, QUALIFIER = 1, 2, 3
@@ -171,11 +169,22 @@ def table_writers(inst_table: DataFrame) -> DataFrame:
 
 
 def upstream_mapping(inst_table: DataFrame) -> DataFrame:
-    """For each table that a mapping reads, its writer: the only one, else the latest earlier one, else the latest, which is flagged."""
+    """For each table that a mapping reads, its writer: the only one, else the latest earlier one, else the latest, which is flagged.
+
+    Readers and writers of a table are put in one order, and each reader takes the last writer before it: no pairs are made.
+    """
     read = inst_table.where(F.col("widget_type") == SOURCE).select("table_name", F.col("mapping_id").alias("reader")).distinct()
-    both = read.join(table_writers(inst_table), "table_name").where("writer != reader")
-    earlier = F.max(F.when(F.col("writer") < F.col("reader"), F.col("writer")))
-    return both.groupBy("reader", "table_name").agg(F.count("*").alias("n_writers"), F.coalesce(earlier, F.max("writer")).alias("upstream"), (earlier.isNull() & (F.count("*") > 1)).alias("ambiguous"))
+    writers = table_writers(inst_table)
+    by_age = F.row_number().over(Window.partitionBy("table_name").orderBy(F.desc("writer")))
+    per = writers.withColumn("age", by_age).groupBy("table_name").agg(F.count("*").alias("n"), F.max("writer").alias("latest"), F.max(F.when(F.col("age") == 2, F.col("writer"))).alias("second"))
+    none = F.lit(None).cast("long")
+    line = read.select("table_name", F.col("reader").alias("at"), F.lit(0).alias("kind"), none.alias("writer")).union(writers.select("table_name", "writer", F.lit(1), "writer"))
+    before = Window.partitionBy("table_name").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = line.withColumn("earlier", F.last("writer", ignorenulls=True).over(before)).where("kind = 0").select("table_name", F.col("at").alias("reader"), "earlier")
+    own = writers.select("table_name", F.col("writer").alias("reader"), F.lit(1).alias("own"))
+    rows = line.join(per, "table_name").join(own, ["table_name", "reader"], "left").withColumn("n_writers", F.col("n") - F.coalesce("own", F.lit(0)))
+    latest = F.when(F.col("latest") == F.col("reader"), F.col("second")).otherwise(F.col("latest"))
+    return rows.where("n_writers > 0").select("reader", "table_name", "n_writers", F.coalesce("earlier", latest).alias("upstream"), (F.col("earlier").isNull() & (F.col("n_writers") > 1)).alias("ambiguous"))
 
 
 def mapping_summary(records: DataFrame) -> DataFrame:
@@ -187,6 +196,3 @@ def type_counts(records: DataFrame) -> DataFrame:
     """Records by transformation type."""
     return records.select(F.explode(F.split("types", ", ")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
-
-def held(df: DataFrame, name: str) -> DataFrame:
-    return cut(df, name)
