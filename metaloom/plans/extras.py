@@ -26,7 +26,7 @@ def a06(spark, d):
     """Event properties as canonical trees, half of them below `root`."""
     tree = "to_json(named_struct('tag', event_type, 'attributes', map('user', cast(user_id as string)), 'children', array(named_struct('tag', 'props', 'text', props), named_struct('tag', 'leaf', 'text', cast(null as string)))))"
     texts = _read(spark, d, "events").selectExpr("event_id", f"CASE WHEN event_id % 2 = 0 THEN concat('{{\"root\":', {tree}, '}}') ELSE {tree} END AS text")
-    got = records.canonical_nodes(texts, "event_id", "text", 3)
+    got = records.canonical_nodes(texts, "event_id", "text")
     return got.select(F.col("doc").alias("event_id"), F.array_join("path", ".").alias("path"), "tag", F.col("attributes")["user"].alias("user_name"), "text")
 
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Node of a canonical JSON tree down to a depth; a deeper one needs a higher one.
-DEPTH = 12
+from .store import cut
 
 
 def load_repository(spark: SparkSession, names: list[str], schema_prefix: str = "", folder: str | None = None, jdbc: dict[str, str] | None = None, partition: dict[str, tuple[str, int, int, int]] | None = None) -> dict[str, DataFrame]:
@@ -23,27 +22,21 @@ def load_repository(spark: SparkSession, names: list[str], schema_prefix: str =
     return out
 
 
-def _node_schema(depth: int) -> str:
-    inner = f", children: array<{_node_schema(depth - 1)}>" if depth else ""
-    return f"struct<tag: string, attributes: map<string,string>, text: string, tail: string{inner}>"
-
-
-def canonical_nodes(texts: DataFrame, doc: str, text: str, depth: int = DEPTH) -> DataFrame:
+def canonical_nodes(texts: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, path, depth, tag, attributes, text, tail) of JSON trees: the root is `root`, else the document itself.
 
-    path is the list of places among siblings from the root, so that it sorts in document order. Nodes below
-    depth are left out; `deeper` tells of a document that has some. A document without a tag gives no rows.
+    path is the list of places among siblings from the root, so that it sorts in document order. All documents go
+    down a level in the same round; rounds follow the deepest tree. A text that is no JSON, or has no tag: no rows.
     """
-    schema = _node_schema(depth)
-    rooted = F.from_json(F.col(text), f"struct<root: {schema}>")["root"]
-    level = texts.select(F.col(doc).alias("doc"), F.coalesce(rooted, F.from_json(F.col(text), schema)).alias("node"), F.array().cast("array<int>").alias("path")).where("node.tag is not null")
-    out = None
-    for k in range(depth + 1):
-        has = k < depth
-        row = level.select("doc", "path", F.lit(k).alias("depth"), "node.tag", "node.attributes", "node.text", "node.tail")
+    value = F.try_parse_json(text)
+    top = texts.select(F.col(doc).alias("doc"), F.coalesce(F.try_variant_get(value, "$.root", "variant"), value).alias("v"), F.array().cast("array<int>").alias("path"))
+    pick = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    level, out, depth = cut(top.where(pick("tag", "string").isNotNull()), "nodes"), None, 0
+    while out is None or not level.isEmpty():
+        row = level.select("doc", "path", F.lit(depth).alias("depth"), *[pick(n, k).alias(n) for n, k in (("tag", "string"), ("attributes", "map<string,string>"), ("text", "string"), ("tail", "string"))])
         out = row if out is None else out.unionByName(row)
-        if has:
-            level = level.select("doc", "path", F.posexplode("node.children").alias("pos", "child")).select("doc", F.concat("path", F.array("pos")).alias("path"), F.col("child").alias("node"))
+        below = level.select("doc", "path", F.posexplode(pick("children", "array<variant>")).alias("pos", "v"))
+        level, depth = cut(below.select("doc", "v", F.concat("path", F.array("pos")).alias("path")), "nodes"), depth + 1
     return out
 
 

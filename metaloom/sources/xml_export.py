@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaloom.operators import graph
+
 NODE = "doc string, node_id int, parent_id int, ord int, depth int, tag string, attributes map<string,string>, text string, tail string"
 
 
@@ -110,6 +112,69 @@ def mapping_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def descendants(nodes: DataFrame, starts: DataFrame, tag: str | None = None) -> DataFrame:
+    """(doc, start, node_id) of all nodes below the given ones (doc, node_id), of one tag or of all; one closure for all files."""
+    edges = nodes.where("parent_id is not null").select("doc", F.col("parent_id").alias("src"), F.col("node_id").alias("dst"))
+    found = graph.closure(starts.select("doc", F.col("node_id").alias("start")), edges, ["doc"]).where("depth > 0").select("doc", "start", F.col("node").alias("node_id"))
+    return found if tag is None else found.join(nodes.where(F.col("tag") == tag).select("doc", "node_id"), ["doc", "node_id"], "left_semi")
+
+
+def ancestor(nodes: DataFrame, starts: DataFrame, tag: str) -> DataFrame:
+    """(doc, node_id, ancestor) the nearest node of a tag above each of the given ones; none: no row."""
+    edges = nodes.where("parent_id is not null").select("doc", F.col("node_id").alias("src"), F.col("parent_id").alias("dst"))
+    up = graph.closure(starts.select("doc", F.col("node_id").alias("start")), edges, ["doc"]).where("depth > 0")
+    up = up.join(nodes.where(F.col("tag") == tag).select("doc", F.col("node_id").alias("node")), ["doc", "node"])
+    return up.groupBy("doc", F.col("start").alias("node_id")).agg(F.min_by("node", "depth").alias("ancestor"))
+
+
+def lineage_tables(nodes: DataFrame) -> dict[str, DataFrame]:
+    """The tables that the tracers read (inst, port, attr, conn, target_field, load_order) from the exports' nodes.
+
+    A mapping's id is 'folder/mapping', a subject's its folder. A transformation's definition is the mapping's own before the
+    folder's; an instance's attributes stand before its definition's. Sources and targets take their ports from the folder.
+    """
+    el = lambda tag, *names: attributes(nodes, tag, *names)
+    folder = el("FOLDER", "NAME").select("doc", F.col("node_id").alias("folder_id"), F.col("name").alias("subject_id"))
+    mapping = el("MAPPING", "NAME").select("doc", F.col("parent_id").alias("folder_id"), F.col("node_id").alias("map_node"), F.col("name").alias("mapping")).join(folder, ["doc", "folder_id"])
+    mapping = mapping.withColumn("mapping_id", F.concat_ws("/", "subject_id", "mapping"))
+    inside = lambda df: df.withColumnRenamed("parent_id", "map_node").join(mapping, ["doc", "map_node"])
+
+    raw = inside(el("INSTANCE", "NAME", "TYPE", "TRANSFORMATION_NAME", "TRANSFORMATION_TYPE", "REUSABLE_TRANSFORMATION_NAME"))
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    raw = raw.withColumn("definition", F.coalesce(blank("transformation_name"), blank("reusable_transformation_name"), F.col("name")))
+    made = el("TRANSFORMATION", "NAME", "TYPE", "TEMPLATENAME").select("doc", "parent_id", F.col("node_id").alias("def_id"), F.col("name").alias("definition"), F.col("type").alias("def_type"), "templatename")
+    own = made.select("doc", F.col("parent_id").alias("map_node"), "definition", F.struct("def_id", "def_type", "templatename").alias("own"))
+    shared = made.select("doc", F.col("parent_id").alias("folder_id"), "definition", F.struct("def_id", "def_type", "templatename").alias("shared"))
+    inst = raw.join(own, ["doc", "map_node", "definition"], "left").join(shared, ["doc", "folder_id", "definition"], "left").withColumn("of", F.coalesce("own", "shared"))
+    kind = F.when(F.upper("type") == "SOURCE", "Source Definition").when(F.upper("type") == "TARGET", "Target Definition").otherwise(F.coalesce(F.nullif("of.def_type", F.lit("")), blank("transformation_type"), blank("type")))
+    inst = inst.select("doc", "node_id", "folder_id", "mapping_id", "subject_id", F.col("name").alias("instance"), F.substring_index("name", ".", 1).alias("base"), "definition", kind.alias("type"), blank("of.templatename").alias("template"), "of.def_id", "ord")
+
+    fields = el("TRANSFORMFIELD", "NAME", "PORTTYPE", "EXPRESSION", "GROUP", "SORTORDER").select("doc", F.col("parent_id").alias("def_id"), F.col("name").alias("field"), "ord", "porttype", F.col("group").alias("grp"), F.col("sortorder").alias("sort_order"), blank("expression").alias("expression"))
+    ports = inst.drop("ord").join(fields, ["doc", "def_id"])
+    tables = None
+    for tag in ("SOURCE", "TARGET"):
+        owner = el(tag, "NAME").select("doc", F.col("node_id").alias("table_id"), F.col("parent_id").alias("folder_id"), F.col("name").alias("definition"), F.lit(f"{tag.title()} Definition").alias("type"))
+        column = el(f"{tag}FIELD", "NAME").select("doc", F.col("parent_id").alias("table_id"), F.col("name").alias("field"), "ord")
+        tables = owner.join(column, ["doc", "table_id"]) if tables is None else tables.unionByName(owner.join(column, ["doc", "table_id"]))
+    of_tables = inst.drop("ord").join(tables, ["doc", "folder_id", "definition", "type"])
+    columns = ["mapping_id", "instance", "type", "template", "field", "ord"]
+    text = F.lit(None).cast("string")
+    port = ports.select(*columns, "porttype", "grp", "sort_order", "expression").unionByName(of_tables.select(*columns, F.lit("").alias("porttype"), F.lit("").alias("grp"), F.lit("").alias("sort_order"), text.alias("expression")))
+
+    values = el("TABLEATTRIBUTE", "NAME", "VALUE").select("doc", F.col("parent_id").alias("owner"), F.col("name"), "value")
+    of_definition = inst.select("doc", F.col("def_id").alias("owner"), "mapping_id", "instance", "type", F.lit(0).alias("rank"))
+    of_instance = inst.select("doc", F.col("node_id").alias("owner"), "mapping_id", "instance", "type", F.lit(1).alias("rank"))
+    attr = values.join(of_definition.unionByName(of_instance), ["doc", "owner"]).where("name <> ''").groupBy("mapping_id", "instance", "type", "name").agg(F.max_by("value", "rank").alias("value"))
+
+    conn = inside(el("CONNECTOR", "FROMINSTANCE", "FROMFIELD", "TOINSTANCE", "TOFIELD")).select("mapping_id", F.col("frominstance").alias("from_inst"), F.col("fromfield").alias("from_field"), F.col("toinstance").alias("to_inst"), F.col("tofield").alias("to_field"))
+    loads = inside(el("TARGETLOADORDER", "TARGETINSTANCE", "ORDER")).select("mapping_id", F.col("targetinstance").alias("target_instance"), F.col("order").alias("ord"))
+    return {
+        "inst": inst.drop("doc", "node_id", "folder_id", "def_id"), "port": port, "attr": attr,
+        "conn": conn.where("from_inst <> '' and from_field <> '' and to_inst <> '' and to_field <> ''"),
+        "target_field": tables.where("type = 'Target Definition'").select("definition", "field").distinct(), "load_order": loads,
+    }
+
+
 def detail_sheets(spark: SparkSession, path: str) -> DataFrame:
     """{sheets: {name: {records}}} files as (file, sheet, seq, record); records all blank are dropped."""
     schema = "sheets map<string, struct<row_count: long, columns: array<string>, records: array<map<string,string>>>>"
@@ -132,8 +197,8 @@ def consolidate_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
     kind = F.when(F.col("value").startswith("["), "list").when(F.col("value").startswith("{"), "object").otherwise("scalar")
     inputs = raw.select("file", kind.alias("root_type"))
-    all_lists = inputs.agg(F.coalesce(F.bool_and(F.col("root_type") == "list"), F.lit(False)).alias("ok"))
-    merged = raw.where(F.lit(bool(all_lists.first()["ok"]))).select("file", F.posexplode(F.from_json("value", "array<string>")).alias("seq", "record"))
+    all_lists = inputs.agg(F.coalesce(F.bool_and(F.col("root_type") == "list"), F.lit(False)).alias("ok"))  # one row
+    merged = raw.crossJoin(F.broadcast(all_lists)).where("ok").select("file", F.posexplode(F.from_json("value", "array<string>")).alias("seq", "record"))
     return inputs, merged
 
 
