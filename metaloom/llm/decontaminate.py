@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_name, staged
 
 WINDOW = 13
 #: Item text that one automaton may hold; more items make more automata, each scanned over all documents.
@@ -158,12 +158,17 @@ def _on_workers(texts: DataFrame, n_blocks: int, k: int, window: int):
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, that aren't contaminated, each judged by itself: by row number with several automata, without a join where one holds the items."""
+    """The rows of docs, all columns, that aren't contaminated, each judged by itself.
+
+    By row number with several automata, without a join where one holds the items. Null or empty text: stays. Null and
+    repeated ids: each row by its own text. No items, or an empty table: the rows as they are.
+    """
     texts, n_blocks = _blocks(items, item_id, item_text, block_bytes)
     if n_blocks > 1:
-        rows = staged(docs.withColumn("__nr", F.monotonically_increasing_id()), "decontaminate-docs")
-        hits = verdicts(benchmark_hits(rows, items, window, "__nr", text_col, item_id, item_text, block_bytes))
-        return rows.join(hits.where("contaminated").select("__nr"), "__nr", "left_anti").select(*docs.columns)
+        nr = free_name(docs, "__nr")
+        rows = staged(docs.withColumn(nr, F.monotonically_increasing_id()), "decontaminate-docs")
+        hits = verdicts(benchmark_hits(rows, items, window, nr, text_col, item_id, item_text, block_bytes))
+        return rows.join(hits.where("contaminated").select(nr), nr, "left_anti").select(*docs.columns)
     search, at = _on_workers(texts, 1, 0, window), docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, staged, with_ids
+from .common import WHITE, free_name, staged, with_ids
 
 
 def squeezed(text: Column) -> Column:
@@ -73,11 +73,18 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, all their columns; of rows that repeat both id and text, one."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select("doc_id")
-    again = staged(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "exact-again")
-    out = with_ids(docs, kept, id_col)
+    """The rows of docs that stay, all their columns, whatever their names; of rows that repeat both id and text, one.
+
+    Null text: as empty. Null id: a row stays only where no other id is in its group. Empty table: no rows.
+    """
+    verdicts = staged(exact_groups(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"), "exact-verdicts")
+    again = staged(verdicts.groupBy("doc_id").count().where("count > 1").select("doc_id"), "exact-again")
+    kept = verdicts.where("kept")
     if again.isEmpty():
-        return out
-    once = with_ids(out, again, id_col).withColumn("__squeezed", squeezed(F.col(text_col))).dropDuplicates([id_col, "__squeezed"]).drop("__squeezed")
-    return with_ids(out, again, id_col, "left_anti").unionByName(once)
+        return with_ids(docs, kept.select("doc_id"), id_col)
+    single = with_ids(docs, with_ids(kept, again, "doc_id", "left_anti").select("doc_id"), id_col)
+    name = free_name(docs, "__digest")  # rows that share an id are told apart by their texts
+    rest = with_ids(docs, again, id_col).withColumn(name, F.sha2(squeezed(F.col(text_col)), 256))
+    own = with_ids(kept, again).select(F.col("doc_id").alias("own"), F.col("text_sha256").alias("sha")).distinct()
+    rest = rest.join(own, rest[id_col].eqNullSafe(own["own"]) & (rest[name] == own["sha"]), "left_semi")
+    return single.unionByName(rest.dropDuplicates([id_col, name]).drop(name))

@@ -13,9 +13,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round takes the smallest label of a node and its neighbours (combined per task before the
     shuffle), then the label of that label; rounds grow with the logarithm of a path's length. Every
-    round is written to the shared folder. No links: no rows.
+    round is written to the shared folder. Repeated links and links of a node with itself change nothing; null ends:
+    dropped. No links: no rows. Extra columns are ignored.
     """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
+    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")  # also drops nulls
     edges = staged(edges.union(edges.select("v", "u")).distinct(), "links")
     labels = staged(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
     if labels.isEmpty():

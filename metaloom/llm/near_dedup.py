@@ -86,7 +86,8 @@ def near_groups(docs: DataFrame, width: int = WORDS, threshold: int = THRESHOLD,
     of bounded size, which report a spanning set of links instead of all pairs. 5. Components again. So
     every pair that shares a band is compared, unless it is already in one component.
 
-    Null text or no words: empty set, linked with nothing. Rows that repeat an id are one document. Null
+    Sets are of 64-bit hashes: two of the distinct shingles of one pair of texts share one with probability below
+    n^2 / 2^64, which a verdict off the exact threshold by one shingle would need. Null text or no words: empty set, linked with nothing. Rows that repeat an id are one document. Null
     id: no links, component null, kept. Very long texts use all their shingles. Empty table: no rows. Extra
     columns are ignored.
     """

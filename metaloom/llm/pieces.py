@@ -415,7 +415,11 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
 
 
 def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per coded document: the id, its `text`, and the columns in carry. Null ids give a null text, no ids an empty one."""
+    """One row per coded document: the id, its `text`, and the columns in carry. Null ids give a null text, no ids an empty one.
+
+    Null and repeated document ids pass through, a row each. Ids outside the model: an error. Very long lists are joined
+    as one text. Empty table: no rows. Extra columns, clashing or not, are ignored unless carried.
+    """
 
     def text_of(_, ids):
         return pa.array(codec(path, 0.0, 0).decode_many(ids), pa.string())

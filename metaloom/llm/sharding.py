@@ -23,6 +23,8 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: str = SEED, id_col: st
     every run holds each source in proportion. Both rankings are made in hash ranges (of the key, then
     of the fraction) with prefix sums of the ranges' counts, so no source and no run is sorted in one task.
 
+    One task holds the counts of a source's hash ranges (a row for each million rows), another those of all runs of 256.
+
     Null or empty text: size 1, checksum 0. Null source: a source of its own. Null id: hashed as ''.
     Ties of the hash go by id, then checksum; equal rows are interchangeable. Fewer rows than shards:
     some shards get none. Empty table: no rows. Extra columns are ignored.

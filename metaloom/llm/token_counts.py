@@ -29,7 +29,7 @@ def token_counts(docs: DataFrame, path: str, cache: str | None = None, limit: in
     Content is normalised to the UTF-8 bytes of the text, null as empty: any further folding would change
     counts. Its SHA-256 and the tokenizer's digest are joined to the Parquet cache; of each missing digest
     one row's text is encoded, and the counts are appended to the cache. Texts move once, to the tasks
-    that encode them, and not at all when few are missing. Without a cache folder, a new one is made
+    that encode them, or not at all where the missing ones are few enough for the planner to broadcast their ids. Without a cache folder, a new one is made
     beside the session's checkpoints.
 
     Null or empty text: 0 bytes, 0 tokens. Null and repeated ids: a row each. Equal texts: one row's is encoded, and each
