@@ -7,8 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names that an expression calls and never reads as fields (fixed values of the ETL expression language, the common ones).
-FUNCTIONS = ["AND", "OR", "NOT", "NULL", "TRUE", "FALSE", "IIF", "DECODE", "ISNULL", "NVL", "LTRIM", "RTRIM", "TRIM", "UPPER", "LOWER", "SUBSTR", "INSTR", "LENGTH", "TO_CHAR", "TO_DATE", "TO_INTEGER", "TO_DECIMAL", "ROUND", "TRUNC", "ABS", "SUM", "MIN", "MAX", "AVG", "COUNT", "SYSDATE", "LPAD", "RPAD", "REPLACESTR", "REG_EXTRACT", "IN"]
+#: Names that an expression or a condition calls and never reads as fields (fixed values of the ETL expression language and of SQL).
+FUNCTIONS = [
+    "IIF", "ISNULL", "ISNUMBER", "ISDATE", "ISSPACESONLY", "NVL", "NVL2", "NULLIF", "COALESCE", "LTRIM", "RTRIM", "TRIM", "UPPER", "LOWER", "SUBSTR", "INSTR", "LENGTH", "LPAD", "RPAD", "CONCAT", "REPLACE", "REPLACESTR", "REVERSE", "CHR", "ASCII", "SOUNDEX",
+    "REG_EXTRACT", "REG_MATCH", "REG_REPLACE", "ABS", "ROUND", "TRUNC", "FLOOR", "CEIL", "MOD", "POWER", "SQRT", "EXP", "LOG", "SIN", "COS", "TAN", "TO_INTEGER", "TO_DECIMAL", "TO_CHAR", "TO_DATE", "TO_BIGINT", "TO_FLOAT", "CAST", "CONVERT",
+    "DATE_DIFF", "ADD_TO_DATE", "GET_DATE_PART", "MAKE_DATE", "SET_DATE_PART", "LAST_DAY", "NEXT_DAY", "SYSTIMESTAMP", "SYSDATE", "CURRENT_DATE", "CURRENT_TIMESTAMP", "SUM", "AVG", "COUNT", "MIN", "MAX", "FIRST", "LAST", "MEDIAN", "PERCENTILE", "STDDEV", "VARIANCE",
+    "SEQGEN", "NEXTVAL", "CURRVAL", "ERROR", "ABORT", "AND", "OR", "NOT", "TRUE", "FALSE", "NULL", "DECODE", "ROW_NUMBER", "RANK", "DENSE_RANK", "OVER", "PARTITION", "BY", "ORDER", "ASC", "DESC", "SELECT", "FROM", "WHERE", "JOIN", "INNER", "OUTER", "LEFT", "RIGHT", "FULL",
+    "CROSS", "ON", "GROUP", "HAVING", "UNION", "INTERSECT", "MINUS", "DISTINCT", "AS", "IN", "LIKE", "BETWEEN", "EXISTS", "CASE", "WHEN", "THEN", "ELSE", "END", "IS", "INTO", "SET", "DUAL", "CONNECT", "START", "WITH", "PRIOR", "LEVEL", "ROWNUM", "ROWID",
+    "METAPHONE", "METACODE", "SNOWID",
+]
 _KEYWORDS = ["SELECT", "WHERE", "ON", "LATERAL", "DUAL"]
 
 
@@ -23,7 +30,7 @@ def without_comments(text: Column) -> Column:
 
 def where_clause(sql: Column) -> Column:
     """The text after WHERE up to GROUP, ORDER or HAVING; null where there is none."""
-    got = F.regexp_extract(compact(without_comments(sql)), r"(?i)\bWHERE\b\s+(.*?)(?=\s+(?:GROUP\s+BY|ORDER\s+BY|HAVING)\b|$)", 1)
+    got = F.regexp_extract(compact(without_comments(sql)), r"(?i)\bWHERE\b\s+(.*?)(?=\s+(?:GROUP\s+BY|ORDER\s+BY|HAVING)\b|\s*;?\s*$)", 1)
     return F.nullif(F.trim(got), F.lit(""))
 
 
@@ -89,20 +96,6 @@ def condition_parts(part: Column) -> tuple[Column, Column, Column]:
     return tuple(F.when(has, F.nullif(F.trim(F.regexp_extract(part, pattern, i)), F.lit(""))) for i in (1, 2, 3))
 
 
-#: Plain wording by the first pattern that an expression matches.
-RULES = [
-    (r"(?i)\bDECODE\s*\(", "Value mapping"), (r"(?i)\bIIF\s*\(", "Conditional rule"), (r"(?i):LKP\.", "Lookup derivation"), (r"(?i)\b(SUM|AVG|MIN|MAX|COUNT)\s*\(", "Aggregation"), (r"(?i)\bTO_DATE\s*\(|\bTO_CHAR\s*\(|\bTO_DECIMAL\s*\(|\bTO_INTEGER\s*\(", "Type conversion"),
-    (r"(?i)\b(ISNULL|NVL)\s*\(", "Null handling"), (r"(?i)\b(SUBSTR|INSTR|LTRIM|RTRIM|LPAD|RPAD|REPLACESTR)\s*\(", "Text formatting"), (r"(?i)\bSYSDATE\b|SESSSTARTTIME", "Run date"), (r"\|\|", "Concatenation"), (r"^\s*'[^']*'\s*$|^\s*-?[0-9.]+\s*$", "Constant"), (r"[-+*/]", "Calculation"),
-]
-
-
-def rule_class(expression: Column) -> Column:
-    out = None
-    for pattern, words in RULES:
-        out = F.when(expression.rlike(pattern), words) if out is None else out.when(expression.rlike(pattern), words)
-    return out.otherwise("Direct move")
-
-
 #: Patterns in order with the words for what the first that is found says; \1 and on are its groups (fixed values).
 PLAIN_RULES = [
     (r"^\s*(\w+)\s*$", r"Pass through \1 without change"),

@@ -166,11 +166,6 @@ def g12(spark, d):
     return rows.select("widget_id", "expr_id", "line_no", F.array_join(sqltext.field_tokens(F.col("expression")), ",").alias("tokens"))
 
 
-def f41(spark, d):
-    rows = blocks.joined_expressions(repository(spark, d)["opb_expression"])
-    return rows.select("widget_id", "expr_id", sqltext.rule_class(F.col("expression")).alias("rule"))
-
-
 def d02b(spark, d):
     rows = repository(spark, d)["rep_widget_attr"].where("upper(attr_name) = 'LOOKUP CONDITION' and trim(attr_value) <> ''")
     parts = rows.select("widget_id", F.posexplode(sqltext.condition_rows(F.col("attr_value"))).alias("pos", "condition"))
@@ -236,7 +231,7 @@ def d16(spark, d):
 QUERIES = {
     "f01_edges": f01, "f02_roles": f02, "f05_port_deps": f05, "f07_degrees": f07, "f08_reachable_from_targets": f08, "f09_trace_back": f09, "f11_stop_ports": f11, "f25_unresolved": f25, "f31_lineage_records": f31, "f33_completeness": f33, "f42_forward_paths": f42, "f43_path_rows": f43,
     "f47_cross_session_links": f47, "g06_table_writers": g06, "g07_upstream_mapping": g07, "h02_type_counts": h02, "h03_mapping_summary": h03, "i01_paths_per_field": i01, "e03_transformation_order": e03, "e08_session_order": e08, "e09_reachable_tasks": e09, "e10_session_edges": e10,
-    "e17_mapping_flow": e17, "e21_session_tables": e21, "e25_terminal_sessions": e25, "f39_select_items": f39, "f41_rule_class": f41, "g12_field_refs": g12, "g22_where_clause": g22, "g23_sql_tables": g23, "i12_table_aliases": i12, "d02b_condition_rows": d02b, "d05a_associated_sources": d05a,
+    "e17_mapping_flow": e17, "e21_session_tables": e21, "e25_terminal_sessions": e25, "f39_select_items": f39, "g12_field_refs": g12, "g22_where_clause": g22, "g23_sql_tables": g23, "i12_table_aliases": i12, "d02b_condition_rows": d02b, "d05a_associated_sources": d05a,
     "d11a_normalizer_ports": d11a, "d11b_normalizer_columns": d11b, "d12a_router_groups": d12a, "d13b_group_by": d13b, "d15a_input_groups": d15a, "d16_stored_procedure": d16,
 }
 
@@ -300,7 +295,6 @@ ORACLE = {
     "e21_session_tables": f"{with_sql()} SELECT mapping_id, sources, targets, concat(sources, ' -> ', targets) AS flow FROM (SELECT mapping_id, coalesce(string_agg(DISTINCT CASE WHEN widget_type = 1 THEN table_name END, ', ' ORDER BY CASE WHEN widget_type = 1 THEN table_name END), '') AS sources, coalesce(string_agg(DISTINCT CASE WHEN widget_type = 2 THEN table_name END, ', ' ORDER BY CASE WHEN widget_type = 2 THEN table_name END), '') AS targets FROM inst_table GROUP BY 1)",
     "e25_terminal_sessions": f"{with_sql()} SELECT workflow_id, session_name FROM task t WHERE session_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM workflow_link k WHERE k.workflow_id = t.workflow_id AND k.from_task = t.task_name)",
     "f39_select_items": f"{_SQLS}, i AS (SELECT widget_id, attr_id, unnest(string_split(regexp_extract(sql, 'SELECT (.*) FROM', 1), ',')) AS item, unnest(range(2)) AS pos FROM q) SELECT widget_id, attr_id, pos, trim(item) AS item, CASE WHEN contains(item, ' AS ') THEN regexp_extract(item, ' AS (\\w+)', 1) ELSE regexp_extract(item, '\\.(\\w+)$', 1) END AS alias FROM i",
-    "f41_rule_class": f"{with_sql('opb_expression')} SELECT widget_id, expr_id, 'Conditional rule' AS rule FROM opb_expression GROUP BY ALL",
     "g12_field_refs": f"{with_sql('opb_expression')} SELECT widget_id, expr_id, line_no, coalesce(array_to_string({_TOKENS.format(x='expression')}, ','), '') AS tokens FROM opb_expression",
     "g22_where_clause": f"{_SQLS} SELECT widget_id, attr_id, regexp_extract(sql, 'WHERE (.*) ORDER BY', 1) AS where_text FROM q",
     "g23_sql_tables": f"{_SQLS}, t AS (SELECT widget_id, attr_id, regexp_extract(sql, 'FROM (\\w+)', 1) AS a, regexp_extract(sql, 'JOIN OWN\\.(\\w+)', 1) AS b FROM q) SELECT widget_id, attr_id, CASE WHEN a = b THEN a ELSE concat(a, ',', b) END AS tables FROM t",

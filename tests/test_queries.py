@@ -1,5 +1,7 @@
 """Registered queries against their SQL; graph loops against small graphs made by hand."""
 
+import textwrap
+
 import pytest
 
 from metaloom.functions import sqltext
@@ -8,7 +10,7 @@ from metaloom.plans.registry import ORACLE, QUERIES
 from tests.compare import assert_same
 
 SF = "sf0.001"
-SOME = ["b02_all_details", "b06_missing_requested", "c03_attr_rows", "c05_decodes", "c14_port_connections", "d01_expression", "d02_lookup", "d04_joiner", "d10_filter", "d02b_condition_rows", "f09_trace_back", "f31_lineage_records", "f33_completeness", "f43_path_rows", "e03_transformation_order", "e08_session_order", "i01_paths_per_field", "g07_upstream_mapping", "f39_select_items"]
+SOME = ["b02_all_details", "b06_missing_requested", "c03_attr_rows", "c05_decodes", "c14_port_connections", "d01_expression", "d02_lookup", "d04_joiner", "d10_filter", "d02b_condition_rows", "f09_trace_back", "f31_lineage_records", "f33_completeness", "f43_path_rows", "e03_transformation_order", "e08_session_order", "i01_paths_per_field", "g07_upstream_mapping", "f39_select_items", "f09_typed_trace", "f20_union_edges", "f28_select_targets", "f41_plain_rules", "e07_session_links", "g09_chain_edges", "g21_connector_conditions", "d02d_lookup_port_conditions", "f44_detail_match", "a12_json_records", "i04_expand_mapplets", "j05_sequence"]
 
 
 def test_every_query_has_sql():
@@ -52,3 +54,15 @@ def test_sql_text(spark):
     assert row["items"] == ["f(a, ',') AS x", "t.b", "c d", "e"] and row["tables"] == ["T1", "T2"] and row["w"] == "a > 1" and row["t"] == ["A", "X_1"] and row["clean"] == "a\nb"
     aliases = spark.range(1).select(sqltext.F.transform(sqltext.select_items(c), sqltext.alias_of).alias("a")).first()["a"]
     assert aliases == ["x", "b", "d", "e"]
+
+
+def test_plain_rules(spark):
+    rules = {
+        "": "No transformation logic provided", " AMT ": "Pass through AMT without change", "iif(A > 1, B, IIF(C, D, E))": "If A > 1 then B, otherwise IIF(C, D, E)", "DECODE(A, 1, 2)": "Map value using DECODE logic", "NVL2(A, B, C)": "Replace NULL values using NVL logic",
+        "LTRIM( X )": "Trim whitespace from X", "Upper(X)": "Convert X to Upper case", "SUBSTR(X, 2, 3)": "Extract part of X starting at position 2", "TO_DATE(D, 'YYYY')": "Parse D as date using format 'YYYY'", "TO_CHAR(D)": "Convert D to text", "a||b": "Concatenate values", "A * 2": "Apply arithmetic calculation",
+        ":LKP.T(A)": "Perform a lookup", "(NEXTVAL)": "Generate next sequence value", "trunc(SYSDATE)": "Use current system date/time", "F(A)": "Apply expression: F(A)", 
+    }
+    for long in ("F(" + "ab, " * 60 + ")", "G(" + "x" * 138, "F(" + "abc,  " * 23 + "x y)", "H(" + "x" * 300):
+        rules[long] = "Apply expression: " + textwrap.shorten(long, 140, placeholder=" ...")
+    rows = spark.createDataFrame([(k,) for k in rules], "e string").select("e", sqltext.plain_rule(sqltext.F.col("e")).alias("r")).collect()
+    assert {r["e"]: r["r"] for r in rows} == rules
