@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 ORDER = 3
 #: Training rows of one language, chosen by a hash of the id; the fitted trees are bounded by these rows' bytes.
 ROWS_PER_LANGUAGE = 4000
@@ -77,6 +79,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     per = rows.groupBy(F.col("lang").alias("of")).agg((F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    per = staged(per, "language-shares")  # a row for each language: written, so that the planner knows its size and texts needn't move
     got = count_grams(rows.join(per, F.col("lang") == F.col("of")).where(draw < F.col("share"))).toArrow()
     return build(np.array(got.column("lang").to_pylist(), object), got.column("gram").to_numpy(), got.column("n").to_numpy())
 
