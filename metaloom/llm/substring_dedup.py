@@ -80,10 +80,11 @@ def repeated_spans(docs: DataFrame, edge: int = EDGE, seed: int = SEED, id_col:
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null and text is not null")
     kind = source.schema["id"].dataType.simpleString()
-    seeds = staged(source.mapInArrow(_seed_rows(edge, seed), f"id {kind}, seeds array<long>"), "span-seeds")
-    single = seeds.select("id", F.explode("seeds").alias("seed"))
-    twice = staged(single.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "span-twice")
-    of_doc = staged(single.distinct().join(twice, "seed").groupBy("id").agg(F.collect_list("seed").alias("seeds")), "span-doc-seeds")
+    seeds = staged(source.mapInArrow(_seed_rows(edge, seed), f"id {kind}, seeds array<long>, again array<boolean>"), "span-seeds")
+    single = seeds.select("id", F.inline(F.arrays_zip("seeds", "again")).alias("seed", "again"))
+    times = F.sum(F.when(F.col("again"), 2).otherwise(1))
+    twice = staged(single.groupBy("seed").agg(times.alias("n")).where("n > 1").select("seed"), "span-twice")
+    of_doc = staged(single.join(twice, "seed").groupBy("id").agg(F.collect_list("seed").alias("seeds")), "span-doc-seeds")
 
     edges = source.join(of_doc.withColumnRenamed("id", "own"), F.col("id") == F.col("own")).select("id", "text", "seeds")
     for salt, bits in enumerate([*hash_bits, 64, 64, 64]):
@@ -112,14 +113,14 @@ def _spans(edges: DataFrame, edge: int, seed: int, kind: str, salt: int, bits: i
 def _seed_rows(edge: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            made, again = [], []
             for h in _hashed(batch.column(1)):
                 every, least = _seeds(h, edge, seed)
                 own = np.unique(least)
                 values, n = np.unique(every, return_counts=True)
-                again = values[n > 1]  # a seed that its own document repeats counts twice
-                made.append(np.concatenate([own, own[np.isin(own, again)]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "seeds"])
+                made.append(own.view(np.int64))
+                again.append(n[np.searchsorted(values, own)] > 1)  # a seed that its own document repeats counts twice
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64())), pa.array(again, pa.list_(pa.bool_()))], names=["id", "seeds", "again"])
 
     return run
 
