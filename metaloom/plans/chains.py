@@ -21,7 +21,7 @@ def _feeds(spark, d):
 
 
 def _tables(repo):
-    known = repo["x_inst"].where("type in ('Source Definition', 'Target Definition') and instance_id % 2 = 0").select("subject_id", F.col("definition").alias("table_name"))
+    known = repo["x_inst"].where("type in ('Source Definition', 'Target Definition')").select("subject_id", F.col("definition").alias("table_name"))
     return C.physical_tables(repo["x_inst"].select("mapping_id", "subject_id", "instance", "definition"), known)
 
 
@@ -50,7 +50,7 @@ def g02(spark, d):
 def g03(spark, d):
     inst = repository(spark, d)["x_inst"]
     given = inst.selectExpr("mapping_id", "instance", "definition", "CASE WHEN instance_id % 4 = 0 THEN '' ELSE type END AS trans_type", "CASE WHEN instance_id % 3 = 0 THEN 'TRANSFORMATION' END AS raw_type")
-    return C.resolved_types(given, inst.where("instance_id % 8 in (0, 1)").groupBy("mapping_id", F.col("definition").alias("name")).agg(F.min("type").alias("type")))
+    return C.resolved_types(given, inst.groupBy("mapping_id", F.col("definition").alias("name")).agg(F.min("type").alias("type")))
 
 
 def g04(spark, d):
@@ -153,7 +153,7 @@ ou AS (SELECT mapping_id, instance, field, row_number() OVER (PARTITION BY mappi
 inn AS (SELECT mapping_id, instance, field, row_number() OVER (PARTITION BY mapping_id, instance, grp ORDER BY ord) AS place FROM un WHERE porttype = 'INPUT' AND grp <> ''),
 bridge AS MATERIALIZED (SELECT DISTINCT o.mapping_id, o.instance, o.field, e.from_inst, e.from_field FROM ou o JOIN inn i ON i.mapping_id = o.mapping_id AND i.instance = o.instance AND i.place = o.place JOIN ne e ON e.mapping_id = o.mapping_id AND e.to_inst = o.instance AND e.to_field = i.field),
 feed AS MATERIALIZED (SELECT mapping_id, to_inst AS instance, to_field AS field, from_inst, from_field FROM ne WHERE NOT EXISTS (SELECT 1 FROM bridge b WHERE b.mapping_id = ne.mapping_id AND b.instance = ne.to_inst AND b.field = ne.to_field) UNION ALL SELECT * FROM bridge),
-kn AS (SELECT DISTINCT subject_id, definition FROM x_inst WHERE type IN ('Source Definition', 'Target Definition') AND instance_id % 2 = 0),
+kn AS (SELECT DISTINCT subject_id, definition FROM x_inst WHERE type IN ('Source Definition', 'Target Definition')),
 pt AS MATERIALIZED (SELECT i.mapping_id, i.instance, CASE WHEN (i.subject_id, i.definition) IN (SELECT subject_id, definition FROM kn) THEN i.definition WHEN (i.subject_id, i.instance) IN (SELECT subject_id, definition FROM kn) THEN i.instance ELSE i.definition END AS table_name FROM x_inst i)"""
 _UPS = "wr AS (SELECT DISTINCT table_name, mapping_id AS writer FROM inst_table WHERE widget_type = 2), rd AS (SELECT DISTINCT table_name, mapping_id AS reader FROM inst_table WHERE widget_type = 1), ups AS (SELECT reader, table_name, coalesce(max(CASE WHEN writer < reader THEN writer END), max(writer)) AS upstream FROM rd JOIN wr USING (table_name) WHERE writer <> reader GROUP BY 1, 2)"
 _N = "CAST({m} AS VARCHAR) || '|' || {i} || '.' || {f}"
@@ -196,7 +196,7 @@ ac AS (SELECT mapping_id, instance, 'additional' AS bucket, '[StoredProc] ' || t
 ORACLE = {
     "g01_normalised_edges": f"{_S}, {_E} SELECT * FROM ne",
     "g02_union_bridge": f"{_S}, {_E} SELECT * FROM bridge",
-    "g03_resolved_types": f"{_S}, df AS (SELECT mapping_id, definition AS name, min(type) AS type FROM x_inst WHERE instance_id % 8 IN (0, 1) GROUP BY 1, 2) SELECT i.mapping_id, i.instance, coalesce(a.type, CASE WHEN instance_id % 4 <> 0 THEN i.type END, CASE WHEN instance_id % 3 = 0 THEN 'TRANSFORMATION' END, b.type) AS type FROM x_inst i LEFT JOIN df a ON a.mapping_id = i.mapping_id AND a.name = i.instance LEFT JOIN df b ON b.mapping_id = i.mapping_id AND b.name = i.definition",
+    "g03_resolved_types": f"{_S}, df AS (SELECT mapping_id, definition AS name, min(type) AS type FROM x_inst GROUP BY 1, 2) SELECT i.mapping_id, i.instance, coalesce(a.type, CASE WHEN instance_id % 4 <> 0 THEN i.type END, CASE WHEN instance_id % 3 = 0 THEN 'TRANSFORMATION' END, b.type) AS type FROM x_inst i LEFT JOIN df a ON a.mapping_id = i.mapping_id AND a.name = i.instance LEFT JOIN df b ON b.mapping_id = i.mapping_id AND b.name = i.definition",
     "g04_physical_tables": f"{_S}, {_E} SELECT * FROM pt",
     "g05_target_definitions": f"{_S}, {_E} SELECT pt.* FROM pt JOIN x_inst i ON i.mapping_id = pt.mapping_id AND i.instance = pt.instance WHERE i.type = 'Target Definition'",
     "g08_mappings_for_targets": f"{_S}, {_E} SELECT pt.table_name, pt.mapping_id, pt.instance FROM pt JOIN x_inst i ON i.mapping_id = pt.mapping_id AND i.instance = pt.instance WHERE i.type = 'Target Definition' UNION SELECT instance, mapping_id, instance FROM x_inst WHERE type = 'Target Definition'",

@@ -86,14 +86,14 @@ def d05b(spark, d):
 
 def f03(spark, d):
     inst = repository(spark, d)["x_inst"]
-    folder = inst.where("instance_id % 4 <> 1").groupBy("subject_id", F.col("definition").alias("name")).agg(F.min("type").alias("type"))
-    local = inst.where("instance_id % 3 = 0").groupBy("mapping_id", F.col("definition").alias("name")).agg(F.max("type").alias("type"))
+    folder = inst.groupBy("subject_id", F.col("definition").alias("name")).agg(F.min("type").alias("type"))
+    local = inst.where("type = 'Target Definition'").groupBy("mapping_id", F.col("definition").alias("name")).agg(F.max("type").alias("type"))
     return details.resolve_definitions(folder, local, inst.select("subject_id", "mapping_id", F.col("definition").alias("name")))
 
 
 def f44(spark, d):
     inst = repository(spark, d)["x_inst"].selectExpr("concat('S_', mapping_id) AS session_name", "concat('m_', mapping_id) AS mapping_name", "definition AS name", "instance_id", "mapping_id")
-    rows = inst.where("instance_id % 5 <> 0").selectExpr("CASE WHEN instance_id % 3 = 0 THEN session_name END AS session_name", "CASE WHEN instance_id % 3 <> 2 THEN upper(mapping_name) END AS mapping_name", "concat(' ', lower(name)) AS name", "concat('t', instance_id) AS text")
+    rows = inst.selectExpr("CASE WHEN instance_id % 3 = 0 THEN session_name END AS session_name", "CASE WHEN instance_id % 3 <> 2 THEN upper(mapping_name) END AS mapping_name", "concat(' ', lower(name)) AS name", "concat('t', instance_id) AS text")
     return details.detail_match(inst.select("session_name", "mapping_name", "name").distinct(), rows)
 
 
@@ -106,7 +106,7 @@ def f45(spark, d):
 
 def f46(spark, d):
     repo = repository(spark, d)
-    return details.resolve_mapping(repo["x_session"], repo["rep_all_mappings"].where("mapping_id % 5 <> 0"))
+    return details.resolve_mapping(repo["x_session"], repo["rep_all_mappings"])
 
 
 def f48(spark, d):
@@ -156,10 +156,10 @@ ORACLE = {
     "d02d_lookup_port_conditions": f"{_R2}, n AS (SELECT mapping_id, instance_id, widget_id, list_filter(list_transform(string_split(regexp_replace(replace(attr_value, ';', ' AND '), '(?i)\\s+AND\\s+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM ar WHERE attr_name = 'LOOKUP CONDITION' AND attr_value IS NOT NULL), c AS (SELECT mapping_id, instance_id, widget_id, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS condition_order, unnest(parts) AS x FROM n), e AS (SELECT *, regexp_extract(x, '<>|!=|<=|>=|=|<|>') AS o FROM c), lk AS (SELECT DISTINCT mapping_id, instance_id, widget_id FROM ar WHERE widget_type = 11) SELECT lk.mapping_id, lk.instance_id, lk.widget_id, f.field_name, e.condition_order, CASE WHEN o <> '' THEN nullif(trim(regexp_extract(x, '^(.*?)\\s*(<>|!=|<=|>=|=|<|>)', 1)), '') END AS lookup_column, CASE WHEN o <> '' THEN o END AS operator FROM lk JOIN opb_widget_field f ON f.widget_id = lk.widget_id LEFT JOIN e ON e.mapping_id = lk.mapping_id AND e.instance_id = lk.instance_id AND e.o <> '' AND upper(trim(regexp_replace(x, '^.*?(<>|!=|<=|>=|=|<|>)', ''))) = upper(trim(f.field_name))",
     "d03b_lookup_override": f"{_R2} SELECT {KEYS}, string_agg(attr_value, '' ORDER BY line_no, attr_id, attr_value) AS long_text FROM ar WHERE widget_type = 11 AND attr_name = 'LOOKUP SQL OVERRIDE' AND attr_value IS NOT NULL GROUP BY ALL",
     "d05b_qualifier_sql": f"{_R2} SELECT {KEYS}, coalesce(rtrim(string_agg(attr_value, chr(10) ORDER BY line_no, attr_id, attr_value) FILTER (attr_name = 'SQL QUERY')), max(attr_value) FILTER (attr_name IN ('SQL OVERRIDE', 'SQL QUERY OVERRIDE', 'SOURCE FILTER'))) AS sql_query FROM ar WHERE widget_type = 3 AND (attr_name IN ('SQL OVERRIDE', 'SQL QUERY OVERRIDE', 'SOURCE FILTER') OR (attr_name = 'SQL QUERY' AND attr_value IS NOT NULL)) GROUP BY {KEYS}",
-    "f03_resolve_definitions": f"{_S}, fo AS (SELECT subject_id, definition, min(type) AS type FROM x_inst WHERE instance_id % 4 <> 1 GROUP BY 1, 2), lo AS (SELECT mapping_id, definition, max(type) AS type FROM x_inst WHERE instance_id % 3 = 0 GROUP BY 1, 2), us AS (SELECT DISTINCT subject_id, mapping_id, definition FROM x_inst) SELECT us.mapping_id, us.definition AS name, coalesce(lo.type, fo.type) AS type, CASE WHEN lo.type IS NOT NULL THEN 'mapping' WHEN fo.type IS NOT NULL THEN 'folder' END AS level FROM us LEFT JOIN lo USING (mapping_id, definition) LEFT JOIN fo USING (subject_id, definition)",
-    "f44_detail_match": f"{_S}, i AS (SELECT DISTINCT concat('S_', mapping_id) AS session_name, concat('m_', mapping_id) AS mapping_name, definition AS name FROM x_inst), dt AS (SELECT CASE WHEN instance_id % 3 = 0 THEN concat('S_', mapping_id) END AS s, CASE WHEN instance_id % 3 <> 2 THEN concat('m_', mapping_id) END AS m, definition AS n, concat('t', instance_id) AS text FROM x_inst WHERE instance_id % 5 <> 0), g1 AS (SELECT s, m, n, string_agg(DISTINCT text, chr(10) ORDER BY text) AS t FROM dt WHERE s IS NOT NULL AND m IS NOT NULL GROUP BY 1, 2, 3), g2 AS (SELECT m, n, string_agg(DISTINCT text, chr(10) ORDER BY text) AS t FROM dt WHERE m IS NOT NULL GROUP BY 1, 2), g3 AS (SELECT n, string_agg(DISTINCT text, chr(10) ORDER BY text) AS t FROM dt GROUP BY 1) SELECT i.session_name, i.mapping_name, i.name, CASE WHEN g1.t IS NOT NULL THEN 1 WHEN g2.t IS NOT NULL THEN 2 WHEN g3.t IS NOT NULL THEN 3 END AS level, coalesce(g1.t, g2.t, g3.t) AS details FROM i LEFT JOIN g1 ON g1.s = i.session_name AND g1.m = i.mapping_name AND g1.n = i.name LEFT JOIN g2 ON g2.m = i.mapping_name AND g2.n = i.name LEFT JOIN g3 ON g3.n = i.name",
+    "f03_resolve_definitions": f"{_S}, fo AS (SELECT subject_id, definition, min(type) AS type FROM x_inst GROUP BY 1, 2), lo AS (SELECT mapping_id, definition, max(type) AS type FROM x_inst WHERE type = 'Target Definition' GROUP BY 1, 2), us AS (SELECT DISTINCT subject_id, mapping_id, definition FROM x_inst) SELECT us.mapping_id, us.definition AS name, coalesce(lo.type, fo.type) AS type, CASE WHEN lo.type IS NOT NULL THEN 'mapping' WHEN fo.type IS NOT NULL THEN 'folder' END AS level FROM us LEFT JOIN lo USING (mapping_id, definition) LEFT JOIN fo USING (subject_id, definition)",
+    "f44_detail_match": f"{_S}, i AS (SELECT DISTINCT concat('S_', mapping_id) AS session_name, concat('m_', mapping_id) AS mapping_name, definition AS name FROM x_inst), dt AS (SELECT CASE WHEN instance_id % 3 = 0 THEN concat('S_', mapping_id) END AS s, CASE WHEN instance_id % 3 <> 2 THEN concat('m_', mapping_id) END AS m, definition AS n, concat('t', instance_id) AS text FROM x_inst), g1 AS (SELECT s, m, n, string_agg(DISTINCT text, chr(10) ORDER BY text) AS t FROM dt WHERE s IS NOT NULL AND m IS NOT NULL GROUP BY 1, 2, 3), g2 AS (SELECT m, n, string_agg(DISTINCT text, chr(10) ORDER BY text) AS t FROM dt WHERE m IS NOT NULL GROUP BY 1, 2), g3 AS (SELECT n, string_agg(DISTINCT text, chr(10) ORDER BY text) AS t FROM dt GROUP BY 1) SELECT i.session_name, i.mapping_name, i.name, CASE WHEN g1.t IS NOT NULL THEN 1 WHEN g2.t IS NOT NULL THEN 2 WHEN g3.t IS NOT NULL THEN 3 END AS level, coalesce(g1.t, g2.t, g3.t) AS details FROM i LEFT JOIN g1 ON g1.s = i.session_name AND g1.m = i.mapping_name AND g1.n = i.name LEFT JOIN g2 ON g2.m = i.mapping_name AND g2.n = i.name LEFT JOIN g3 ON g3.n = i.name",
     "f45_logic_text": f"{_S}, r AS (SELECT DISTINCT mapping_id, instance, field AS port, trim(expression) AS text FROM x_port WHERE ord <= 2 AND trim(coalesce(expression, '')) <> '' UNION SELECT mapping_id, instance, NULL, trim(value) FROM x_attr WHERE lower(name) LIKE '%condition%'), k AS (SELECT * FROM r QUALIFY (port IS NOT NULL) = (count(port) OVER (PARTITION BY mapping_id, instance) > 0)) SELECT mapping_id, instance, CASE WHEN count(*) = 1 THEN max(text) ELSE string_agg(concat(CASE WHEN port IS NULL THEN '' ELSE port || ': ' END, text), chr(10) ORDER BY concat(CASE WHEN port IS NULL THEN '' ELSE port || ': ' END, text)) END AS logic FROM k GROUP BY 1, 2",
-    "f46_resolve_mapping": f"{_S} SELECT s.session_name, s.ord, s.mapping_name, m.mapping_id, CASE WHEN m.mapping_id IS NULL THEN 'missing' ELSE 'found' END AS status FROM x_session s LEFT JOIN rep_all_mappings m ON m.mapping_name = s.mapping_name AND m.mapping_id % 5 <> 0",
+    "f46_resolve_mapping": f"{_S} SELECT s.session_name, s.ord, s.mapping_name, m.mapping_id, CASE WHEN m.mapping_id IS NULL THEN 'missing' ELSE 'found' END AS status FROM x_session s LEFT JOIN rep_all_mappings m ON m.mapping_name = s.mapping_name",
     "f48_ordered_rows": f"{_S} SELECT p.mapping_id, p.instance, p.field, i.ord AS inst_ord, CAST(row_number() OVER (PARTITION BY p.mapping_id ORDER BY i.ord, p.instance, p.field) AS INTEGER) AS place FROM x_port p JOIN x_inst i ON i.mapping_id = p.mapping_id AND i.instance = p.instance",
     "i02_logic_by_hop": f"{_S.replace('WITH ', 'WITH RECURSIVE ', 1)}, q AS ({_LINEAGE['f42_forward_paths']}), h AS (SELECT mapping_id, list_last(string_split(path, ' -> ')) AS target, unnest(string_split(path, ' -> ')) AS node, CAST(generate_subscripts(string_split(path, ' -> '), 1) - 1 AS INTEGER) AS hop FROM q), x AS (SELECT w.mapping_id, concat(w.instance_id, '.', f.field_name) AS node, string_agg(o.expression, chr(10) ORDER BY line_no) AS expression FROM rep_widget_inst w JOIN opb_widget_field f ON f.widget_id = w.widget_id JOIN opb_widget_expr e ON e.widget_id = w.widget_id AND e.output_field_id = f.field_id JOIN opb_expression o ON o.widget_id = e.widget_id AND o.expr_id = e.expr_id GROUP BY 1, 2) SELECT mapping_id, target, hop, string_agg(expression, chr(10) ORDER BY expression) AS logic FROM (SELECT DISTINCT h.mapping_id, h.target, h.hop, x.expression FROM h JOIN x ON x.mapping_id = h.mapping_id AND x.node = h.node) GROUP BY 1, 2, 3",
     "i04_expand_mapplets": f"{_S}, mp AS (SELECT mapping_id, instance, instance_id % 3 AS k FROM x_inst WHERE type = 'Mapplet'), f AS (SELECT concat('F', unnest(range(1, 8))) AS f), e AS (SELECT c.mapping_id, CASE a.k WHEN 0 THEN a.instance || '/NESTED/EXP_A' WHEN 1 THEN a.instance || '/EXP_A' WHEN 2 THEN a.instance || '/EXP_B' ELSE from_inst END AS from_inst, from_field, CASE b.k WHEN 0 THEN b.instance || '/NESTED/EXP_A' WHEN 1 THEN b.instance || '/EXP_A' WHEN 2 THEN b.instance || '/EXP_A' ELSE to_inst END AS to_inst, to_field FROM x_conn c LEFT JOIN mp a ON a.mapping_id = c.mapping_id AND a.instance = c.from_inst LEFT JOIN mp b ON b.mapping_id = c.mapping_id AND b.instance = c.to_inst WHERE (a.k IS NULL OR from_field IN (SELECT f FROM f)) AND (b.k IS NULL OR to_field IN (SELECT f FROM f))) SELECT DISTINCT * FROM (SELECT * FROM e UNION ALL SELECT mapping_id, instance || '/EXP_A', f, instance || '/EXP_B', f FROM mp, f WHERE k = 2)",

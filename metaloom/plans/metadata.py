@@ -79,27 +79,29 @@ def b03(spark, d):
 
 def b04(spark, d):
     repo, details = _details(spark, d)
-    names = repo["rep_all_mappings"].where("mapping_id % 3 = 0").select("mapping_name")
+    routed = repo["rep_widget_inst"].where("widget_type = 15").select("mapping_id")
+    names = repo["rep_all_mappings"].join(routed, "mapping_id", "left_semi").select("mapping_name")
     return inventory.scope_mapping(details, repo["rep_all_mappings"].select("mapping_id", "subject_id", "mapping_name"), names)
 
 
-def _names(repo):
-    texts = repo["rep_widget_inst"].where("instance_id % 5 = 0").selectExpr("concat(' ', lower(instance_name), ', X', cast(instance_id % 7 as string), ',', instance_name) AS names")
+def _names(inst):
+    """A list of names from each instance: its own twice, and one that no instance bears."""
+    texts = inst.selectExpr("concat(' ', lower(instance_name), ', X', cast(instance_id % 7 as string), ',', instance_name) AS names")
     return inventory.requested_names(texts, "names")
 
 
 def b05(spark, d):
-    return _names(repository(spark, d)).select("folded")
+    return _names(repository(spark, d)["rep_widget_inst"]).select("folded")
 
 
 def b06(spark, d):
     repo, details = _details(spark, d)
-    return inventory.missing_requested(_names(repo), details).select(F.lower("name").alias("name"))
+    return inventory.missing_requested(_names(repo["rep_widget_inst"]), details).select(F.lower("name").alias("name"))
 
 
 def b07(spark, d):
     repo, details = _details(spark, d)
-    return inventory.restrict(details, _names(repo))
+    return inventory.restrict(details, _names(repo["rep_widget_inst"].where("widget_type in (13, 15)")))
 
 
 def b09(spark, d):
@@ -150,7 +152,7 @@ def b12_all(spark, d):
 
 def b13(spark, d):
     repo, details = _details(spark, d)
-    return inventory.leak_check(details, repo["rep_all_mappings"].where("mapping_id % 2 = 0").select("mapping_name")).select("mapping_name", "instance_name")
+    return inventory.leak_check(details, repo["rep_all_mappings"].where("subject_area = 'ASIA'").select("mapping_name")).select("mapping_name", "instance_name")
 
 
 def b14(spark, d):
@@ -235,7 +237,10 @@ QUERIES = {
     **{name: _extract(name) for name in extract.SPECS},
 }
 
-_NAMES = "names AS (SELECT DISTINCT lower(trim(x)) AS folded FROM (SELECT unnest(string_split(concat(' ', lower(instance_name), ', X', CAST(instance_id % 7 AS VARCHAR), ',', instance_name), ',')) AS x FROM rep_widget_inst WHERE instance_id % 5 = 0) WHERE trim(x) <> '')"
+
+def _names_sql(where: str = "") -> str:
+    return f"names AS (SELECT DISTINCT lower(trim(x)) AS folded FROM (SELECT unnest(string_split(concat(' ', lower(instance_name), ', X', CAST(instance_id % 7 AS VARCHAR), ',', instance_name), ',')) AS x FROM rep_widget_inst {where}) WHERE trim(x) <> '')"
+
 _DETAIL_COLS = "subject_area, subject_id, workflow_name, session_instance_name, session_name, mapping_id, mapping_name, instance_id, instance_name, widget_id, widget_type, widget_type_name, version_number"
 _ALIAS_SQL = "(VALUES " + ", ".join(f"('{a}', '{q}')" for a, q in ALIASES) + ") AS a(alias, query)"
 _CODES = ", ".join(map(str, inventory.REGISTRY))
@@ -249,10 +254,10 @@ ORACLE = {
     "b01_workflow_mappings": f"{with_sql('rep_all_mappings')}, {FOUND} SELECT * FROM found",
     "b02_all_details": f"{BASE} SELECT {_DETAIL_COLS} FROM details",
     "b03_scope": f"{with_sql('rep_all_mappings')}, {FOUND} SELECT * FROM found WHERE subject_area = 'ASIA'",
-    "b04_scope_mapping": f"{BASE} SELECT {_DETAIL_COLS} FROM details WHERE mapping_id IN (SELECT mapping_id FROM rep_all_mappings m WHERE m.subject_id = details.subject_id AND mapping_id % 3 = 0)",
-    "b05_requested_names": f"{with_sql('rep_widget_inst')}, {_NAMES} SELECT folded FROM names",
-    "b06_missing_requested": f"{BASE}, {_NAMES} SELECT folded AS name FROM names WHERE folded NOT IN (SELECT lower(trim(instance_name)) FROM details)",
-    "b07_restrict": f"{BASE}, {_NAMES} SELECT {_DETAIL_COLS} FROM details WHERE lower(trim(instance_name)) IN (SELECT folded FROM names)",
+    "b04_scope_mapping": f"{BASE} SELECT {_DETAIL_COLS} FROM details WHERE mapping_id IN (SELECT mapping_id FROM rep_all_mappings m WHERE m.subject_id = details.subject_id AND mapping_id IN (SELECT mapping_id FROM rep_widget_inst WHERE widget_type = 15))",
+    "b05_requested_names": f"{with_sql('rep_widget_inst')}, {_names_sql()} SELECT folded FROM names",
+    "b06_missing_requested": f"{BASE}, {_names_sql()} SELECT folded AS name FROM names WHERE folded NOT IN (SELECT lower(trim(instance_name)) FROM details)",
+    "b07_restrict": f"{BASE}, {_names_sql('WHERE widget_type IN (13, 15)')} SELECT {_DETAIL_COLS} FROM details WHERE lower(trim(instance_name)) IN (SELECT folded FROM names)",
     "b09_query_for_type": f"{with_sql('rep_widget_inst')}, t AS (SELECT DISTINCT widget_type_name AS type_name, upper(regexp_replace(widget_type_name, '[^A-Za-z0-9]', '', 'g')) AS canon FROM rep_widget_inst) SELECT type_name, (SELECT query FROM {_ALIAS_SQL} WHERE contains(canon, alias) OR contains(alias, canon) ORDER BY canon = alias DESC, length(alias) DESC, alias DESC LIMIT 1) AS query FROM t",
     "b10_coverage_audit": f"{BASE} SELECT widget_type, widget_type_name, count(DISTINCT (mapping_id, instance_id)) AS instances, count(DISTINCT mapping_id) AS mappings, CASE WHEN widget_type IN ({_CODES}) THEN 'PRESENT' ELSE 'MISSING' END AS status FROM details GROUP BY 1, 2",
     "b11_execution_summary": f"{BASE} SELECT 'd10_filter' AS query_name, 'SUCCESS' AS status, count(*) AS row_count, count(DISTINCT mapping_name) AS mapping_count FROM {_counted(13)} UNION ALL SELECT 'd12_router', 'SUCCESS', count(*), count(DISTINCT mapping_name) FROM {_counted(15)}",
@@ -260,7 +265,7 @@ ORACLE = {
     "b11_run_summary": " UNION ALL ".join(f"SELECT '{n}' AS query_name, 'SUCCESS' AS status, count(*) AS row_count, count(DISTINCT mapping_name) AS mapping_count, 'ALL' AS subject_scope, 'ALL' AS workflow_scope FROM ({extract_sql(spec)})" for n, spec in extract.SPECS.items())
     + f" UNION ALL SELECT * FROM ({BASE} SELECT widget_type_name, 'MISSING', 0, count(DISTINCT mapping_id), 'ALL', 'ALL' FROM details WHERE widget_type NOT IN ({_CODES}) GROUP BY widget_type, widget_type_name)",
     "b12_combine_all": " UNION ALL BY NAME ".join(f"SELECT *, '{n}' AS query_name FROM ({extract_sql(spec)})" for n, spec in extract.SPECS.items()),
-    "b13_leak_check": f"{BASE} SELECT mapping_name, instance_name FROM details WHERE mapping_id % 2 <> 0",
+    "b13_leak_check": f"{BASE} SELECT mapping_name, instance_name FROM details WHERE mapping_name NOT IN (SELECT mapping_name FROM rep_all_mappings WHERE subject_area = 'ASIA')",
     "b14_types_present": f"{BASE} SELECT DISTINCT widget_type_name FROM details",
     "b15_mapplet_instances": f"{BASE} SELECT workflow_name, count(*) AS mapplets FROM details WHERE widget_type = 44 GROUP BY 1",
     "c01_instances": f"{BASE} SELECT instance_name AS transformation_name, widget_type_name AS transformation_type, mapping_name FROM details WHERE widget_type_name LIKE '%Lookup%'",
