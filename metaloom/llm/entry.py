@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, near_dedup, pieces, quality, sharding, substring_dedup, token_counts
+from . import decontaminate, exact_dedup, language_id, lm_score, near_dedup, pieces, quality, sharding, substring_dedup, token_counts, url_filter
 from .common import held_out, table
 
 
@@ -68,11 +68,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _model())
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_quality, op4_language_id, op5_decontaminate, op6_lm_score, op7_near_dedup, op8_substring_dedup, op9_sentencepiece, op10_token_counts)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_quality, op4_language_id, op5_decontaminate, op6_lm_score, op7_near_dedup, op8_substring_dedup, op9_sentencepiece, op10_token_counts, op11_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_lm_score": lm_score.ORACLE, "op7_near_dedup": near_dedup.oracle(4, near_dedup.THRESHOLD), "op8_substring_dedup": substring_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op2_sharding": sharding.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_lm_score": lm_score.ORACLE, "op7_near_dedup": near_dedup.oracle(4, near_dedup.THRESHOLD), "op8_substring_dedup": substring_dedup.ORACLE, "op11_url_filter": url_filter.ORACLE}
