@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, near_dedup, pieces, quality, sharding, substring_dedup, token_counts, url_filter, whitening
+from . import conversation, decontaminate, exact_dedup, language_id, lm_score, near_dedup, pieces, quality, sharding, substring_dedup, token_counts, url_filter, whitening
 from .common import held_out, table
 
 
@@ -72,6 +72,11 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversation.reports(conversation.repair(conversation.damaged(given)), given)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -79,7 +84,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_quality, op4_language_id, op5_decontaminate, op6_lm_score, op7_near_dedup, op8_substring_dedup, op9_sentencepiece, op10_token_counts, op11_url_filter, op13_whitening)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_quality, op4_language_id, op5_decontaminate, op6_lm_score, op7_near_dedup, op8_substring_dedup, op9_sentencepiece, op10_token_counts, op11_url_filter, op12_conversation_repair, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
