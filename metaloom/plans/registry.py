@@ -1,7 +1,7 @@
 """All registered queries of the metadata engine and their oracle SQL."""
 
-from . import chains, extras, lineage, metadata, more, reports, typed, workflow
+from . import chains, extras, lineage, metadata, more, orders, reports, typed, workflow
 
-_MODULES = (metadata, lineage, more, reports, typed, workflow, chains, extras)
+_MODULES = (metadata, lineage, more, reports, typed, workflow, chains, extras, orders)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -81,6 +81,15 @@ TABLES |= {
     "x_extension": "SELECT s.session_name, concat('TGT_', CAST(s.ord % 90 AS VARCHAR(20))) AS instance, CASE WHEN s.ord % 3 = 0 THEN 'READER' ELSE 'WRITER' END AS type, CASE WHEN s.ord % 2 = 0 THEN 'File Writer' ELSE 'Relational Writer' END AS subtype, s.ord, a.name, CASE WHEN (s.ord + a.k) % 4 = 0 THEN '' ELSE concat('/out/', a.name, CAST(s.ord AS VARCHAR(20))) END AS value FROM x_session s JOIN (VALUES (1, 'Output filename'), (2, 'Output file directory'), (3, 'Header')) AS a(k, name) ON 1 = 1",
 }
 
+_n_task = "(SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY ord) AS n FROM x_task)"
+
+#: Links with diamonds, cycles and repeated ends, each with a place of its own, and connectors whose document order isn't that of the data flow.
+TABLES |= {
+    "y_link": f"SELECT workflow_id, 4 * ord AS ord, from_task, to_task, condition FROM x_link UNION ALL SELECT a.workflow_id, 4 * a.ord + k.k, a.name, b.name, CASE WHEN k.k = 3 THEN concat('$', a.name, '.Rows > 0') END FROM {_n_task} a JOIN (VALUES (1), (2), (3)) AS k(k) ON (k.k = 1 AND a.ord % 5 = 0) OR (k.k = 2 AND a.ord % 29 = 0) OR (k.k = 3 AND a.ord % 6 = 0) JOIN {_n_task} b ON b.workflow_id = a.workflow_id AND b.n = a.n + CASE k.k WHEN 1 THEN 5 WHEN 2 THEN -3 ELSE 1 END",
+    "y_conn": "SELECT mapping_id, from_inst, from_field, to_inst, to_field, row_number() OVER (PARTITION BY mapping_id ORDER BY md5(concat(from_inst, '|', to_inst)), from_inst, to_inst, from_field, to_field) AS ord FROM x_conn",
+    "y_definition": "SELECT mapping_id, definition AS transformation, 100 - min(ord) AS ord FROM x_inst WHERE type NOT IN ('Source Definition', 'Target Definition') GROUP BY mapping_id, definition UNION ALL SELECT mapping_id, concat('LONE_', CAST(mapping_id % 5 AS VARCHAR(20))), 101 FROM rep_all_mappings WHERE mapping_id % 3 = 0",
+}
+
 
 def with_sql(last: str | None = None) -> str:
     """The CTEs up to `last` as the beginning of a WITH clause."""
