@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Names that an expression or a condition calls and never reads as fields (fixed values of the ETL expression language and of SQL).
 FUNCTIONS = [
-    "IIF", "ISNULL", "ISNUMBER", "ISDATE", "ISSPACESONLY", "NVL", "NVL2", "NULLIF", "COALESCE", "LTRIM", "RTRIM", "TRIM", "UPPER", "LOWER", "SUBSTR", "INSTR", "LENGTH", "LPAD", "RPAD", "CONCAT", "REPLACE", "REPLACESTR", "REVERSE", "CHR", "ASCII", "SOUNDEX",
+    "IIF", "ISNULL", "ISNUMBER", "ISDATE", "ISSPACESONLY", "NVL", "NVL2", "NULLIF", "COALESCE", "LTRIM", "RTRIM", "TRIM", "UPPER", "LOWER", "SUBSTR", "INSTR", "LENGTH", "LPAD", "RPAD", "CONCAT", "REPLACE", "REVERSE", "CHR", "ASCII", "SOUNDEX",
     "REG_EXTRACT", "REG_MATCH", "REG_REPLACE", "ABS", "ROUND", "TRUNC", "FLOOR", "CEIL", "MOD", "POWER", "SQRT", "EXP", "LOG", "SIN", "COS", "TAN", "TO_INTEGER", "TO_DECIMAL", "TO_CHAR", "TO_DATE", "TO_BIGINT", "TO_FLOAT", "CAST", "CONVERT",
     "DATE_DIFF", "ADD_TO_DATE", "GET_DATE_PART", "MAKE_DATE", "SET_DATE_PART", "LAST_DAY", "NEXT_DAY", "SYSTIMESTAMP", "SYSDATE", "CURRENT_DATE", "CURRENT_TIMESTAMP", "SUM", "AVG", "COUNT", "MIN", "MAX", "FIRST", "LAST", "MEDIAN", "PERCENTILE", "STDDEV", "VARIANCE",
     "SEQGEN", "NEXTVAL", "CURRVAL", "ERROR", "ABORT", "AND", "OR", "NOT", "TRUE", "FALSE", "NULL", "DECODE", "ROW_NUMBER", "RANK", "DENSE_RANK", "OVER", "PARTITION", "BY", "ORDER", "ASC", "DESC", "SELECT", "FROM", "WHERE", "JOIN", "INNER", "OUTER", "LEFT", "RIGHT", "FULL",
@@ -54,6 +54,13 @@ def field_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, F.upper), lambda x: ~x.isin(FUNCTIONS)))
 
 
+def field_refs(expression: Column) -> Column:
+    """Names of an expression as they are written, without line comments, literals and function names, each once."""
+    bare = F.regexp_replace(F.regexp_replace(expression, r"--[^\n]*", " "), "'[^']*'", " ")
+    found = F.regexp_extract_all(bare, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\b"), 1)
+    return F.array_distinct(F.filter(found, lambda x: ~F.upper(x).isin(FUNCTIONS)))
+
+
 def is_pass_through(expression: Column, field: Column) -> Column:
     """no expression, a single identifier, or the field itself."""
     text = F.trim(F.coalesce(expression, F.lit("")))

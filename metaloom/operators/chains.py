@@ -23,6 +23,11 @@ INTERMEDIATE = (
 )
 #: How the names of transformation instances begin (fixed values).
 PREFIXES = r"^(SQ|EXP|EXPTRANS|FILTRANS|FIL|NRM|NORM|SEQ|RTR|ROUTER|JNR|JOINER|AGG|SRT|SORTER|RANK|LKP|LOOKUP|UPD|UPDATE|JAVA|UNION|XML|SP|SPROC|PROC|EXTPROC|MPT|MAPLET|TRANS|CUSTOM|CUST|SQL|TXN|TC|MASK|DM|HP|HIER|CDC|WS|WSC|WSP|MQ|MQC|MQP|SAP|BAPI|IDOC|SFDC|SF|PWX)[A-Z0-9_]*$"
+#: What the name of a transformation instance may begin with, whatever follows (fixed values).
+BEGINNINGS = (
+    "SQ_", "EXP_", "EXPTRANS", "LKP_", "LOOKUP_", "FIL_", "FILTRANS", "FILTER_", "NRM_", "NORM_", "SEQ_", "RTR_", "ROUTER_", "JNR_", "JOINER_", "AGG_", "AGGREGATOR_", "SRT_", "SORTER_", "RANK_", "MPT_", "MAPLET_", "TRANS_", "CUSTOM_", "CUST_", "SQL_", "UPD_", "UPDATE_", "UNION_", "JAVA_", "XML_",
+    "SP_", "SPROC_", "PROC_", "EXTPROC_", "TXN_", "TC_", "MASK_", "DM_", "HP_", "HIER_", "CDC_", "WS_", "WSC_", "WSP_", "MQ_", "MQC_", "MQP_", "SAP_", "BAPI_", "IDOC_", "SFDC_", "SF_", "PWX_",
+)
 #: Types whose expressions annotate a step (fixed values).
 ANNOTATED = ("Expression", "Aggregator", "Filter", "Router", "Rank", "Normalizer", "Update Strategy", "Java", "SQL Transformation", "Custom Transformation", "External Procedure", "Data Masking", "Transaction Control")
 #: (prefix, label) of a step's role, the first that fits (fixed values).
@@ -72,13 +77,18 @@ def _field(name: str) -> Column:
 
 
 def normalised_edges(conn: DataFrame, inst: DataFrame) -> DataFrame:
-    """Connectors between bare instances; group names go from fields of types with several groups only."""
+    """Connectors between bare instances; group names go from fields of types with several groups only. With ord, each at its first place."""
     types = inst.select("mapping_id", bare("instance").alias("__i"), "type").distinct()
     rows = conn.where("from_inst <> '' and from_field <> '' and to_inst <> '' and to_field <> ''").withColumns({"from_inst": bare("from_inst"), "to_inst": bare("to_inst")})
     for side, many in (("from", MULTI_OUTPUT), ("to", MULTI_INPUT)):
         own = types.withColumnsRenamed({"__i": f"{side}_inst", "type": "__t"})
         rows = rows.join(own, ["mapping_id", f"{side}_inst"], "left").withColumn(f"{side}_field", F.when(F.col("__t").isin(*many), _field(f"{side}_field")).otherwise(F.col(f"{side}_field"))).drop("__t")
-    return rows.select("mapping_id", "from_inst", "from_field", "to_inst", "to_field").distinct()
+    return _once(rows, "mapping_id", "from_inst", "from_field", "to_inst", "to_field")
+
+
+def _once(rows: DataFrame, *columns: str) -> DataFrame:
+    """Distinct rows of the columns, at the first place of each where rows have one."""
+    return rows.groupBy(*columns).agg(F.min("ord").alias("ord")) if "ord" in rows.columns else rows.select(*columns).distinct()
 
 
 def union_bridge(port: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,14 +98,14 @@ def union_bridge(port: DataFrame, edges: DataFrame) -> DataFrame:
     place = lambda *by: F.row_number().over(Window.partitionBy(*IN_MAPPING, *by).orderBy("ord"))
     outputs = rows.where("kind = 'OUTPUT' or (grp = '' and kind <> 'INPUT')").withColumn("place", place())
     inputs = rows.where("kind = 'INPUT' and grp <> ''").withColumn("place", place("grp")).select(*IN_MAPPING, "place", F.col("field").alias("to_field"))
-    fed = outputs.join(inputs, [*IN_MAPPING, "place"]).join(edges.withColumnRenamed("to_inst", "instance"), [*IN_MAPPING, "to_field"])
-    return fed.select("mapping_id", "instance", "field", "from_inst", "from_field").distinct()
+    fed = outputs.drop("ord").join(inputs, [*IN_MAPPING, "place"]).join(edges.withColumnRenamed("to_inst", "instance"), [*IN_MAPPING, "to_field"])
+    return _once(fed, "mapping_id", "instance", "field", "from_inst", "from_field")
 
 
 def upstream(port: DataFrame, edges: DataFrame) -> DataFrame:
     """Feeders within a mapping: the union bridge where it gives any, else connectors."""
     bridge = union_bridge(port, edges)
-    plain = edges.select("mapping_id", F.col("to_inst").alias("instance"), F.col("to_field").alias("field"), "from_inst", "from_field")
+    plain = edges.withColumnsRenamed({"to_inst": "instance", "to_field": "field"}).select(*bridge.columns)
     return plain.join(bridge.select("mapping_id", "instance", "field").distinct(), [*IN_MAPPING, "field"], "left_anti").unionByName(bridge)
 
 
@@ -178,9 +188,15 @@ def expression_annotation(port: DataFrame) -> DataFrame:
     return rows.select(*IN_MAPPING, "field", F.concat(F.lit("EXPR:"), "instance", F.lit("."), "field", F.lit(" = "), text).alias("annotation"))
 
 
+def named_as_step(name: str) -> Column:
+    """Names of transformation instances: by their beginning, else as a whole."""
+    upper = F.upper(F.coalesce(F.col(name), F.lit("")))
+    return upper.rlike("^(" + "|".join(BEGINNINGS) + ")") | upper.rlike(PREFIXES)
+
+
 def is_intermediate(name: str = "instance", type_: str = "type", is_source: str = "is_source_table") -> Column:
     """Source tables never; else by the type where one is known; else by the name."""
-    return F.when(F.col(is_source) | (F.coalesce(F.col(name), F.lit("")) == ""), False).when(F.coalesce(F.col(type_), F.lit("")) != "", F.col(type_).isin(*INTERMEDIATE)).otherwise(F.upper(name).rlike(PREFIXES))
+    return F.when(F.col(is_source) | (F.coalesce(F.col(name), F.lit("")) == ""), False).when(F.coalesce(F.col(type_), F.lit("")) != "", F.col(type_).isin(*INTERMEDIATE)).otherwise(named_as_step(name))
 
 
 def step_facts(port: DataFrame) -> DataFrame:
@@ -253,4 +269,4 @@ def step_role(name: str = "instance") -> Column:
     upper, out = F.upper(name), None
     for prefix, label in ROLES:
         out = F.when(upper.startswith(prefix), label) if out is None else out.when(upper.startswith(prefix), label)
-    return out.when(upper.rlike(PREFIXES), "Intermediate").otherwise("Intermediate Table")
+    return out.when(named_as_step(name), "Intermediate").otherwise("Intermediate Table")

@@ -87,6 +87,8 @@ _n_task = "(SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY ord)
 TABLES |= {
     "y_link": f"SELECT workflow_id, 4 * ord AS ord, from_task, to_task, condition FROM x_link UNION ALL SELECT a.workflow_id, 4 * a.ord + k.k, a.name, b.name, CASE WHEN k.k = 3 THEN concat('$', a.name, '.Rows > 0') END FROM {_n_task} a JOIN (VALUES (1), (2), (3)) AS k(k) ON (k.k = 1 AND a.ord % 5 = 0) OR (k.k = 2 AND a.ord % 29 = 0) OR (k.k = 3 AND a.ord % 6 = 0) JOIN {_n_task} b ON b.workflow_id = a.workflow_id AND b.n = a.n + CASE k.k WHEN 1 THEN 5 WHEN 2 THEN -3 ELSE 1 END",
     "y_conn": "SELECT mapping_id, from_inst, from_field, to_inst, to_field, row_number() OVER (PARTITION BY mapping_id ORDER BY md5(concat(from_inst, '|', to_inst)), from_inst, to_inst, from_field, to_field) AS ord FROM x_conn",
+    "y_inst": "SELECT mapping_id, subject_id, instance, base, CASE WHEN type = 'Source Definition' AND instance_id % 3 = 0 THEN concat('RAW_', CAST(instance_id % 50 AS VARCHAR(20))) WHEN type = 'Target Definition' AND instance_id % 4 = 0 THEN concat('OUT_', CAST(instance_id % 60 AS VARCHAR(20))) ELSE definition END AS definition, type, template, instance_id, ord FROM x_inst",
+    "y_inst_table": "SELECT mapping_id, instance_id, CASE WHEN type = 'Source Definition' THEN 1 ELSE 2 END AS widget_type, definition AS table_name FROM y_inst WHERE type IN ('Source Definition', 'Target Definition')",
     "y_definition": "SELECT mapping_id, definition AS transformation, 100 - min(ord) AS ord FROM x_inst WHERE type NOT IN ('Source Definition', 'Target Definition') GROUP BY mapping_id, definition UNION ALL SELECT mapping_id, concat('LONE_', CAST(mapping_id % 5 AS VARCHAR(20))), 101 FROM rep_all_mappings WHERE mapping_id % 3 = 0",
 }
 
