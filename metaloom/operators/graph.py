@@ -79,6 +79,53 @@ def forward_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, keys: li
     raise ValueError(f"paths longer than {most}")
 
 
+def path_counts(edges: DataFrame, starts: DataFrame, ends: DataFrame, keys: list[str], most: int = 100_000) -> DataFrame:
+    """(keys, target, n_paths, longest, looped): how many paths lead from starts to each end and how many nodes the longest has, without listing them.
+
+    A node's number is the sum of its predecessors', added up layer by layer, a start counts for itself besides; ends stop a path. Numbers are doubles: exact up to 2^53. Ends that lie behind a cycle: nulls, looped.
+    """
+    ends = cut(ends.select(*keys, "node").distinct(), "ends")
+    edges = edges.select(*keys, "src", "dst").distinct().join(ends.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti")
+    starts = cut(starts.select(*keys, "node").distinct(), "starts")
+    edges = cut(spread(starts, edges, keys).withColumnRenamed("node", "src").join(edges, [*keys, "src"]), "path-edges")
+    nodes = edges.select(*keys, F.col("src").alias("node")).union(edges.select(*keys, "dst")).distinct()
+    need = edges.groupBy(*keys, F.col("dst").alias("node")).agg(F.count("*").alias("need"))
+    todo = nodes.join(need, [*keys, "node"], "left").join(starts.withColumn("own", F.lit(1.0)), [*keys, "node"], "left")
+    todo = cut(todo.select(*keys, "node", F.coalesce("need", F.lit(0)).alias("need"), F.coalesce("own", F.lit(0.0)).alias("n"), F.lit(1).alias("size")), "counts")
+    done = None
+    for _ in range(most):
+        ready = cut(todo.where("need = 0").select(*keys, "node", "n", "size"), "counted")
+        if ready.isEmpty():
+            break
+        met = ready.join(ends, [*keys, "node"], "left_semi")
+        done = met if done is None else done.unionByName(met)
+        fed = edges.join(ready.withColumnRenamed("node", "src"), [*keys, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.count("*").alias("got"), F.sum("n").alias("more"), (F.max("size") + 1).alias("long"))
+        todo = todo.where("need > 0").join(fed, [*keys, "node"], "left")
+        todo = cut(todo.select(*keys, "node", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"), (F.col("n") + F.coalesce("more", F.lit(0.0))).alias("n"), F.greatest("size", F.coalesce("long", "size")).alias("size")), "counts")
+    behind = todo.where("need > 0").join(ends, [*keys, "node"], "left_semi").select(*keys, F.col("node").alias("target"), F.lit(None).cast("double").alias("n_paths"), F.lit(None).cast("int").alias("longest"), F.lit(True).alias("looped"))
+    if done is None:
+        return behind
+    return done.select(*keys, F.col("node").alias("target"), F.col("n").alias("n_paths"), F.col("size").alias("longest"), F.lit(False).alias("looped")).unionByName(behind)
+
+
+def backward_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, ends: DataFrame, keys: list[str], most: int = 100_000) -> DataFrame:
+    """(keys, path): the simple paths from starts to the given targets, found from the targets back, so that no list is held that doesn't lead to one; other ends stop a path."""
+    stops = ends.select(*keys, F.col("node").alias("src")).distinct()
+    edges = cut(edges.select(*keys, "src", "dst").distinct().join(stops, [*keys, "src"], "left_anti"), "edges")
+    begin = starts.select(*keys, F.col("node").alias("src")).distinct().withColumn("begins", F.lit(True))
+    edges = cut(edges.join(begin, [*keys, "src"], "left"), "edges")
+    open_, found = targets.select(*keys, F.array("node").alias("path"), F.col("node").alias("dst")).distinct(), None
+    for _ in range(most):
+        step = open_.join(edges, [*keys, "dst"]).where(~F.array_contains("path", F.col("src")))
+        step = cut(step.select(*keys, F.concat(F.array("src"), "path").alias("path"), F.col("src").alias("dst"), "begins"), "paths")
+        part = step.where("begins").select(*keys, "path")
+        found = part if found is None else found.unionByName(part)
+        open_ = step.select(*keys, "path", "dst")
+        if open_.isEmpty():
+            return found
+    raise ValueError(f"paths longer than {most}")
+
+
 def topological_order(nodes: DataFrame, layered: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, pos): by layer, then document order; nodes on cycles come last in document order."""
     w = Window.partitionBy(*keys).orderBy(F.col("layer").isNull(), "layer", "ord")

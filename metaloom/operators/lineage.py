@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.functions import sqltext
+from metaloom.sources.store import cut
+
 from . import graph
 
 SOURCE, TARGET, QUALIFIER = 1, 2, 3
@@ -124,11 +126,34 @@ def unresolved(trace: DataFrame, parents: DataFrame, port: DataFrame) -> DataFra
 
 def paths(edge: DataFrame, port: DataFrame) -> DataFrame:
     """simple forward paths from ports that nothing feeds, or of source definitions, to target ports."""
+    return graph.forward_paths(edge, *path_ends(edge, port), KEY)
+
+
+def path_ends(edge: DataFrame, port: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where forward paths start and end."""
     fed = edge.select("mapping_id", F.col("dst").alias("node")).distinct()
     starts = edge.select("mapping_id", F.col("src").alias("node")).distinct()
     sources = port.where(F.col("widget_type") == SOURCE).select("mapping_id", "node")
-    starts = starts.join(fed, [*KEY, "node"], "left_anti").unionByName(starts.join(sources, [*KEY, "node"], "left_semi")).distinct()
-    return graph.forward_paths(edge, starts, target_ports(edge, port), KEY)
+    return starts.join(fed, [*KEY, "node"], "left_anti").unionByName(starts.join(sources, [*KEY, "node"], "left_semi")).distinct(), target_ports(edge, port)
+
+
+def path_forecast(edge: DataFrame, port: DataFrame, many: int = 10_000) -> DataFrame:
+    """(mapping_id, target, n_paths, longest, looped, explodes): what enumerating a target field's paths would give, known beforehand; explodes: more than `many` paths, or a cycle before it."""
+    counts = graph.path_counts(edge, *path_ends(edge, port), KEY)
+    return counts.withColumn("explodes", F.col("looped") | (F.col("n_paths") > many))
+
+
+def paths_by_target(edge: DataFrame, port: DataFrame, many: int = 10_000) -> DataFrame:
+    """all paths; those of targets that the forecast calls exploding are found from the target back, apart from the others, whose mappings they would swell."""
+    starts, ends = path_ends(edge, port)
+    told = cut(path_forecast(edge, port, many), "forecast")
+    heavy = told.where("explodes").select("mapping_id", F.col("target").alias("node"))
+    light = ends.join(heavy, [*KEY, "node"], "left_anti")
+    # ways to heavy targets alone are left out of the forward walk: only what reaches a light one is walked
+    back = graph.spread(light.select("mapping_id", "node"), edge.select("mapping_id", F.col("dst").alias("src"), F.col("src").alias("dst")), KEY)
+    kept = edge.join(back.withColumnRenamed("node", "dst"), ["mapping_id", "dst"], "left_semi")
+    forward = graph.forward_paths(kept, starts, light, KEY)
+    return forward.unionByName(graph.backward_paths(edge, starts, heavy, ends, KEY))
 
 
 def path_rows(path: DataFrame, port: DataFrame) -> DataFrame:

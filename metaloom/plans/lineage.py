@@ -84,6 +84,16 @@ def f42(spark, d):
     return lineage.paths(edge, port).select("mapping_id", F.array_join("path", " -> ").alias("path"))
 
 
+def f42_forecast(spark, d):
+    _, edge, port = _graph(spark, d)
+    return lineage.path_forecast(edge, port, 3)
+
+
+def f42_split(spark, d):
+    _, edge, port = _graph(spark, d)
+    return lineage.paths_by_target(edge, port, 3).select("mapping_id", F.array_join("path", " -> ").alias("path"))
+
+
 def f43(spark, d):
     _, edge, port = _graph(spark, d)
     return lineage.path_rows(lineage.paths(edge, port), port)
@@ -229,7 +239,7 @@ def d16(spark, d):
 
 
 QUERIES = {
-    "f01_edges": f01, "f02_roles": f02, "f05_port_deps": f05, "f07_degrees": f07, "f08_reachable_from_targets": f08, "f09_trace_back": f09, "f11_stop_ports": f11, "f25_unresolved": f25, "f31_lineage_records": f31, "f33_completeness": f33, "f42_forward_paths": f42, "f43_path_rows": f43,
+    "f01_edges": f01, "f02_roles": f02, "f05_port_deps": f05, "f07_degrees": f07, "f08_reachable_from_targets": f08, "f09_trace_back": f09, "f11_stop_ports": f11, "f25_unresolved": f25, "f31_lineage_records": f31, "f33_completeness": f33, "f42_forward_paths": f42, "f42_path_forecast": f42_forecast, "f42_paths_by_target": f42_split, "f43_path_rows": f43,
     "f47_cross_session_links": f47, "g06_table_writers": g06, "g07_upstream_mapping": g07, "h02_type_counts": h02, "h03_mapping_summary": h03, "i01_paths_per_field": i01, "e03_transformation_order": e03, "e08_session_order": e08, "e09_reachable_tasks": e09, "e10_session_edges": e10,
     "e17_mapping_flow": e17, "e21_session_tables": e21, "e25_terminal_sessions": e25, "f39_select_items": f39, "g12_field_refs": g12, "g22_where_clause": g22, "g23_sql_tables": g23, "i12_table_aliases": i12, "d02b_condition_rows": d02b, "d05a_associated_sources": d05a,
     "d11a_normalizer_ports": d11a, "d11b_normalizer_columns": d11b, "d12a_router_groups": d12a, "d13b_group_by": d13b, "d15a_input_groups": d15a, "d16_stored_procedure": d16,
@@ -281,6 +291,8 @@ ORACLE = {
     "f33_completeness": f"{_RECORDS}, {_REACH}, e AS (SELECT mapping_id, count(DISTINCT node) AS expected_fields FROM prt WHERE widget_type = 2 GROUP BY 1), a AS (SELECT mapping_id, count(*) AS actual_fields, count(*) FILTER (sources = '') AS without_source FROM records GROUP BY 1), r AS (SELECT mapping_id, count(DISTINCT node) AS reachable_ports FROM reach GROUP BY 1) SELECT e.mapping_id, expected_fields, coalesce(actual_fields, 0) AS actual_fields, coalesce(without_source, 0) AS without_source, coalesce(reachable_ports, 0) AS reachable_ports, expected_fields = coalesce(actual_fields, 0) AND coalesce(without_source, 0) = 0 AS is_complete FROM e LEFT JOIN a USING (mapping_id) LEFT JOIN r USING (mapping_id)",
     "h02_type_counts": f"{_RECORDS} SELECT type, count(*) AS n FROM (SELECT unnest(string_split(types, ', ')) AS type FROM records) GROUP BY 1",
     "h03_mapping_summary": f"{_RECORDS} SELECT mapping_id, count(*) AS fields, count(primary_rule) AS with_rule, count(*) FILTER (n_lookups > 0) AS with_lookup FROM records GROUP BY 1",
+    "f42_path_forecast": f"{_PATHS} SELECT mapping_id, path[-1] AS target, CAST(count(*) AS DOUBLE) AS n_paths, CAST(max(len(path)) AS INTEGER) AS longest, false AS looped, count(*) > 3 AS explodes FROM paths GROUP BY 1, 2",
+    "f42_paths_by_target": f"{_PATHS} SELECT mapping_id, array_to_string(path, ' -> ') AS path FROM paths",
     "f42_forward_paths": f"{_PATHS} SELECT mapping_id, array_to_string(path, ' -> ') AS path FROM paths",
     "f43_path_rows": f"{_PATHS}, x AS (SELECT mapping_id, path, len(path) - 1 AS hops, unnest(path) AS node, unnest(range(len(path))) AS pos FROM paths), y AS (SELECT x.*, p.instance_name, p.widget_type_name, p.field_name, pos > 0 AND pos < hops AND widget_type NOT IN (1, 2) AS inn FROM x JOIN prt p ON p.mapping_id = x.mapping_id AND p.node = x.node), z AS (SELECT *, bool_or(inn) OVER (PARTITION BY mapping_id, path) AS has_inner FROM y) SELECT mapping_id, array_to_string(path, ' -> ') AS full_path, path[1] AS source, path[-1] AS target, hops, instance_name AS transformation, widget_type_name AS transformation_type, field_name FROM z WHERE inn OR (NOT has_inner AND pos = 0)",
     "i01_paths_per_field": f"{_PATHS}, s AS (SELECT DISTINCT mapping_id, path[-1] AS target, array_to_string(list_transform(path, lambda p: string_split(p, '.')[1]), ' -> ') AS seq FROM paths), n AS (SELECT *, row_number() OVER (PARTITION BY mapping_id, target ORDER BY seq) AS k FROM s) SELECT mapping_id, target, count(*) AS n_paths, string_agg(concat('Path', k, ': ', seq), '; ' ORDER BY k) AS paths FROM n GROUP BY 1, 2",
