@@ -83,12 +83,31 @@ TABLES |= {
 
 _n_task = "(SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY ord) AS n FROM x_task)"
 
+#: SQL texts by shape: quotes, brackets, comments, subqueries, common table expressions, branches, no query at all.
+SHAPES = [
+    "SELECT A.F1, B.F2 AS X FROM TAB_{n} A JOIN OWN.TAB_B B ON A.ID = B.ID WHERE A.F1 > 10 ORDER BY 1",
+    "select distinct \"Own\".\"Tab {n}\".\"Col A\" as \"Out\", NVL(t.b, 'x, y') y from \"Own\".\"Tab {n}\" t where t.b <> ')' and t.c in (1, 2)",
+    "SELECT (SELECT MAX(Z.V) FROM TAB_Z Z WHERE Z.ID = A.ID) MAXV, A.ID FROM TAB_{n} A",
+    "WITH C AS (SELECT ID, V FROM TAB_{n} WHERE V > 0) SELECT C.ID, C.V FROM C JOIN [dbo].[Tab Two] T ON T.ID = C.ID",
+    "SELECT A FROM TAB_{n} WHERE A = 1 UNION ALL SELECT B FROM OTHER@LINK WHERE B = 2 GROUP BY B",
+    "SELECT A -- first, not B\n, /* C, */ D FROM TAB_{n} /* WHERE X */ WHERE D = '--no'",
+    "SELECT EXTRACT(DAY FROM D) AS DY, CASE WHEN A IN (1, 2) THEN 'a,b' ELSE 'c' END K FROM TAB_{n}",
+    "SELECT COUNT(*) CNT FROM (SELECT X.A FROM TAB_{n} X WHERE X.A IS NOT NULL) S WHERE S.A > 5 HAVING COUNT(*) > 1",
+    "SELECT * FROM DUAL",
+    "update T set A = 1 where B = 2",
+    "SELECT a.b.c.D, E + 1 FROM s.TAB_{n}, U WHERE D = F.E(+) AND N = 1.5;",
+    "SELECT 'it''s' AS Q, \"x\"\"y\" FROM TAB_{n} WHERE Q LIKE '%WHERE%'",
+    " ",
+]
+_shapes = ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in enumerate(SHAPES))
+
 #: Links with diamonds, cycles and repeated ends, each with a place of its own, and connectors whose document order isn't that of the data flow.
 TABLES |= {
     "y_link": f"SELECT workflow_id, 4 * ord AS ord, from_task, to_task, condition FROM x_link UNION ALL SELECT a.workflow_id, 4 * a.ord + k.k, a.name, b.name, CASE WHEN k.k = 3 THEN concat('$', a.name, '.Rows > 0') END FROM {_n_task} a JOIN (VALUES (1), (2), (3)) AS k(k) ON (k.k = 1 AND a.ord % 5 = 0) OR (k.k = 2 AND a.ord % 29 = 0) OR (k.k = 3 AND a.ord % 6 = 0) JOIN {_n_task} b ON b.workflow_id = a.workflow_id AND b.n = a.n + CASE k.k WHEN 1 THEN 5 WHEN 2 THEN -3 ELSE 1 END",
     "y_conn": "SELECT mapping_id, from_inst, from_field, to_inst, to_field, row_number() OVER (PARTITION BY mapping_id ORDER BY md5(concat(from_inst, '|', to_inst)), from_inst, to_inst, from_field, to_field) AS ord FROM x_conn",
     "y_inst": "SELECT mapping_id, subject_id, instance, base, CASE WHEN type = 'Source Definition' AND instance_id % 3 = 0 THEN concat('RAW_', CAST(instance_id % 50 AS VARCHAR(20))) WHEN type = 'Target Definition' AND instance_id % 4 = 0 THEN concat('OUT_', CAST(instance_id % 60 AS VARCHAR(20))) ELSE definition END AS definition, type, template, instance_id, ord FROM x_inst",
     "y_inst_table": "SELECT mapping_id, instance_id, CASE WHEN type = 'Source Definition' THEN 1 ELSE 2 END AS widget_type, definition AS table_name FROM y_inst WHERE type IN ('Source Definition', 'Target Definition')",
+    "y_sql": f"SELECT w.mapping_id, w.instance_id, s.shape, replace(s.text, '{{n}}', CAST(w.instance_id % 50 AS VARCHAR(20))) AS sql FROM rep_widget_inst w LEFT JOIN (VALUES {_shapes}) AS s(shape, text) ON s.shape = w.instance_id % 14 WHERE w.widget_type NOT IN (1, 2)",
     "y_definition": "SELECT mapping_id, definition AS transformation, 100 - min(ord) AS ord FROM x_inst WHERE type NOT IN ('Source Definition', 'Target Definition') GROUP BY mapping_id, definition UNION ALL SELECT mapping_id, concat('LONE_', CAST(mapping_id % 5 AS VARCHAR(20))), 101 FROM rep_all_mappings WHERE mapping_id % 3 = 0",
 }
 
