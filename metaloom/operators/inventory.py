@@ -73,6 +73,19 @@ def canonical_type(column: str) -> Column:
     return F.upper(F.regexp_replace(column, "[^A-Za-z0-9]", ""))
 
 
+#: Short names of types, in canonical form, and the names that they stand for (fixed values).
+TYPE_ALIASES = {"LOOKUP": "LOOKUPPROCEDURE", "SEQUENCE": "SEQUENCEGENE", "SEQUENCEGENERATOR": "SEQUENCEGENE", "TARGET": "TARGETDEFINITION"}
+
+
+def type_key(column: str) -> Column:
+    """The canonical name, a short one replaced by what it stands for."""
+    own = canonical_type(column)
+    out = F.when(F.lit(False), own)
+    for short, whole in TYPE_ALIASES.items():
+        out = out.when(own == short, whole)
+    return out.otherwise(own)
+
+
 def query_for_type(types: DataFrame, aliases: DataFrame) -> DataFrame:
     """A type's query by its exact alias, else by the longest alias where either contains the other.
 
@@ -92,31 +105,28 @@ def coverage_audit(details: DataFrame) -> DataFrame:
     return details.groupBy("widget_type", "widget_type_name").agg(F.countDistinct("mapping_id", "instance_id").alias("instances"), F.countDistinct("mapping_id").alias("mappings")).withColumn("status", status)
 
 
-def execution_summary(results: dict[str, DataFrame]) -> DataFrame:
-    """Rows and mappings of each extract; one aggregate each, united."""
-    parts = [df.agg(F.count("*").alias("row_count"), F.countDistinct("mapping_name").alias("mapping_count")).withColumn("query_name", F.lit(name)) for name, df in results.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("status", F.lit("SUCCESS")).select("query_name", "status", "row_count", "mapping_count")
+def instance_coverage(details: DataFrame) -> DataFrame:
+    """Each instance of a mapping with its type, PRESENT where the type has an extract, else MISSING."""
+    status = F.when(F.col("widget_type").isin(list(REGISTRY)), "PRESENT").otherwise("MISSING")
+    return details.select("mapping_name", "instance_name", "widget_type_name", status.alias("status")).distinct()
 
 
 def run_summary(spark, extracts: dict[str, Callable[[], DataFrame]], audit: DataFrame, subject: str | None = None, workflow: str | None = None) -> DataFrame:
     """A row for each extract, SUCCESS with its rows and mappings or FAILED without, and a MISSING row for each type in scope that has no extract.
 
     Each extract is an action of its own, so that one that fails leaves the others' rows. subject_scope and
-    workflow_scope are the filters asked for, ALL without. audit: coverage_audit() of the scope.
+    workflow_scope are the filters asked for, ALL without. message: the error of one that failed. audit: coverage_audit() of the scope.
     """
     rows = []
     for name, make in extracts.items():
         try:
             got = make().agg(F.count("*"), F.countDistinct("mapping_name")).first()
-            rows.append((name, "SUCCESS", got[0], got[1]))
-        except Exception:  # whatever went wrong is this extract's status
-            rows.append((name, "FAILED", None, None))
-    out = spark.createDataFrame(rows, "query_name string, status string, row_count long, mapping_count long")
-    missing = audit.where("status = 'MISSING'").select(F.col("widget_type_name").alias("query_name"), "status", F.lit(0).cast("long").alias("row_count"), "mappings")
-    return out.union(missing).select("query_name", "status", "row_count", "mapping_count", F.lit(subject or "ALL").alias("subject_scope"), F.lit(workflow or "ALL").alias("workflow_scope"))
+            rows.append((name, "SUCCESS", got[0], got[1], None))
+        except Exception as error:  # whatever went wrong is this extract's status, and is told
+            rows.append((name, "FAILED", None, None, f"{type(error).__name__}: {error}"))
+    out = spark.createDataFrame(rows, "query_name string, status string, row_count long, mapping_count long, message string")
+    missing = audit.where("status = 'MISSING'").select(F.col("widget_type_name").alias("query_name"), "status", F.lit(0).cast("long").alias("row_count"), "mappings", F.lit(None).cast("string"))
+    return out.union(missing).select("query_name", "status", "row_count", "mapping_count", F.lit(subject or "ALL").alias("subject_scope"), F.lit(workflow or "ALL").alias("workflow_scope"), "message")
 
 
 def combine_by_mapping(results: dict[str, DataFrame]) -> DataFrame:

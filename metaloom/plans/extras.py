@@ -31,12 +31,12 @@ def a06(spark, d):
 
 
 def a09(spark, d):
-    rows = _read(spark, d, "conversations").selectExpr("conv_id", "turn", "CASE WHEN turn % 2 = 0 THEN '  ' WHEN turn % 3 = 0 THEN NULL ELSE role END AS a", "CASE WHEN conv_id % 3 = 0 THEN '' ELSE left(text, 9) END AS b")
+    rows = _read(spark, d, "conversations").selectExpr("conv_id", "turn", "CASE WHEN turn % 2 = 0 THEN '  ' WHEN turn % 3 = 0 THEN NULL ELSE role END AS a", "CASE WHEN conv_id % 3 = 0 THEN '' ELSE text END AS b")
     return records.drop_blank_rows(rows, ["a", "b"], True)
 
 
 def a10(spark, d):
-    rows = _read(spark, d, "conversations").selectExpr("conv_id", "turn", "posexplode(split(substring(text, 1, 60), ' ')) AS (pos, name)").withColumn("sheet", F.concat_ws("-", "conv_id", "turn"))
+    rows = _read(spark, d, "conversations").selectExpr("conv_id", "turn", "posexplode(split(text, ' ')) AS (pos, name)").withColumn("sheet", F.concat_ws("-", "conv_id", "turn"))
     return xml_export.unique_headers(rows.select("sheet", "pos", F.when(F.col("pos") % 4 == 3, "").otherwise(F.lower("name")).alias("name")))
 
 
@@ -99,7 +99,7 @@ def f44(spark, d):
 
 def f45(spark, d):
     repo = repository(spark, d)
-    ports = repo["x_port"].where("ord <= 2").select("mapping_id", "instance", F.col("field").alias("port"), F.col("expression").alias("text"))
+    ports = repo["x_port"].select("mapping_id", "instance", F.col("field").alias("port"), F.col("expression").alias("text"))
     other = repo["x_attr"].where("lower(name) like '%condition%'").select("mapping_id", "instance", F.lit(None).cast("string").alias("port"), F.col("value").alias("text"))
     return details.logic_text(ports.unionByName(other), ["mapping_id", "instance"])
 
@@ -146,8 +146,8 @@ _R2 = f"{BASE}, {ATTR_ROWS}, kinds AS (SELECT DISTINCT {KEYS}, widget_type FROM
 
 ORACLE = {
     "a06_canonical_nodes": "SELECT event_id, '' AS path, event_type AS tag, CAST(user_id AS VARCHAR) AS user_name, CAST(NULL AS VARCHAR) AS text FROM events UNION ALL SELECT event_id, '0', 'props', NULL, props FROM events UNION ALL SELECT event_id, '1', 'leaf', NULL, NULL FROM events",
-    "a09_drop_blank_rows": "SELECT * FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '  ' WHEN turn % 3 = 0 THEN NULL ELSE role END AS a, CASE WHEN conv_id % 3 = 0 THEN '' ELSE left(text, 9) END AS b FROM conversations) WHERE trim(coalesce(a, '')) <> '' OR trim(coalesce(b, '')) <> ''",
-    "a10_unique_headers": "SELECT sheet, pos, CASE WHEN n > 1 THEN concat(f, '_', n) ELSE f END AS name FROM (SELECT *, row_number() OVER (PARTITION BY sheet, f ORDER BY pos) AS n FROM (SELECT concat(conv_id, '-', turn) AS sheet, CAST(pos AS INTEGER) AS pos, coalesce(nullif(CASE WHEN pos % 4 = 3 THEN '' ELSE trim(lower(name)) END, ''), concat('column_', pos + 1)) AS f FROM (SELECT conv_id, turn, unnest(string_split(substr(text, 1, 60), ' ')) AS name, generate_subscripts(string_split(substr(text, 1, 60), ' '), 1) - 1 AS pos FROM conversations)))",
+    "a09_drop_blank_rows": "SELECT * FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '  ' WHEN turn % 3 = 0 THEN NULL ELSE role END AS a, CASE WHEN conv_id % 3 = 0 THEN '' ELSE text END AS b FROM conversations) WHERE trim(coalesce(a, '')) <> '' OR trim(coalesce(b, '')) <> ''",
+    "a10_unique_headers": "SELECT sheet, pos, CASE WHEN n > 1 THEN concat(f, '_', n) ELSE f END AS name FROM (SELECT *, row_number() OVER (PARTITION BY sheet, f ORDER BY pos) AS n FROM (SELECT concat(conv_id, '-', turn) AS sheet, CAST(pos AS INTEGER) AS pos, coalesce(nullif(CASE WHEN pos % 4 = 3 THEN '' ELSE trim(lower(name)) END, ''), concat('column_', pos + 1)) AS f FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS name, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM conversations)))",
     "a11_align_rows": f"SELECT conv_id, turn, {', '.join(f'w[{k + 1}] AS c{k}' for k in range(6))} FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)",
     "a12_json_records": f"SELECT id, {_REC} AS record FROM ({_O})",
     "a13_jsonl": f"""SELECT concat('{{"sheet":"orders","record":', {_REC}, '}}') AS line FROM ({_O})""",
@@ -158,7 +158,7 @@ ORACLE = {
     "d05b_qualifier_sql": f"{_R2} SELECT {KEYS}, coalesce(rtrim(string_agg(attr_value, chr(10) ORDER BY line_no, attr_id, attr_value) FILTER (attr_name = 'SQL QUERY')), max(attr_value) FILTER (attr_name IN ('SQL OVERRIDE', 'SQL QUERY OVERRIDE', 'SOURCE FILTER'))) AS sql_query FROM ar WHERE widget_type = 3 AND (attr_name IN ('SQL OVERRIDE', 'SQL QUERY OVERRIDE', 'SOURCE FILTER') OR (attr_name = 'SQL QUERY' AND attr_value IS NOT NULL)) GROUP BY {KEYS}",
     "f03_resolve_definitions": f"{_S}, fo AS (SELECT subject_id, definition, min(type) AS type FROM x_inst GROUP BY 1, 2), lo AS (SELECT mapping_id, definition, max(type) AS type FROM x_inst WHERE type = 'Target Definition' GROUP BY 1, 2), us AS (SELECT DISTINCT subject_id, mapping_id, definition FROM x_inst) SELECT us.mapping_id, us.definition AS name, coalesce(lo.type, fo.type) AS type, CASE WHEN lo.type IS NOT NULL THEN 'mapping' WHEN fo.type IS NOT NULL THEN 'folder' END AS level FROM us LEFT JOIN lo USING (mapping_id, definition) LEFT JOIN fo USING (subject_id, definition)",
     "f44_detail_match": f"{_S}, i AS (SELECT DISTINCT concat('S_', mapping_id) AS session_name, concat('m_', mapping_id) AS mapping_name, definition AS name FROM x_inst), dt AS (SELECT CASE WHEN instance_id % 3 = 0 THEN concat('S_', mapping_id) END AS s, CASE WHEN instance_id % 3 <> 2 THEN concat('m_', mapping_id) END AS m, definition AS n, concat('t', instance_id) AS text FROM x_inst), g1 AS (SELECT s, m, n, string_agg(DISTINCT text, chr(10) ORDER BY text) AS t FROM dt WHERE s IS NOT NULL AND m IS NOT NULL GROUP BY 1, 2, 3), g2 AS (SELECT m, n, string_agg(DISTINCT text, chr(10) ORDER BY text) AS t FROM dt WHERE m IS NOT NULL GROUP BY 1, 2), g3 AS (SELECT n, string_agg(DISTINCT text, chr(10) ORDER BY text) AS t FROM dt GROUP BY 1) SELECT i.session_name, i.mapping_name, i.name, CASE WHEN g1.t IS NOT NULL THEN 1 WHEN g2.t IS NOT NULL THEN 2 WHEN g3.t IS NOT NULL THEN 3 END AS level, coalesce(g1.t, g2.t, g3.t) AS details FROM i LEFT JOIN g1 ON g1.s = i.session_name AND g1.m = i.mapping_name AND g1.n = i.name LEFT JOIN g2 ON g2.m = i.mapping_name AND g2.n = i.name LEFT JOIN g3 ON g3.n = i.name",
-    "f45_logic_text": f"{_S}, r AS (SELECT DISTINCT mapping_id, instance, field AS port, trim(expression) AS text FROM x_port WHERE ord <= 2 AND trim(coalesce(expression, '')) <> '' UNION SELECT mapping_id, instance, NULL, trim(value) FROM x_attr WHERE lower(name) LIKE '%condition%'), k AS (SELECT * FROM r QUALIFY (port IS NOT NULL) = (count(port) OVER (PARTITION BY mapping_id, instance) > 0)) SELECT mapping_id, instance, CASE WHEN count(*) = 1 THEN max(text) ELSE string_agg(concat(CASE WHEN port IS NULL THEN '' ELSE port || ': ' END, text), chr(10) ORDER BY concat(CASE WHEN port IS NULL THEN '' ELSE port || ': ' END, text)) END AS logic FROM k GROUP BY 1, 2",
+    "f45_logic_text": f"{_S}, r AS (SELECT DISTINCT mapping_id, instance, field AS port, trim(expression) AS text FROM x_port WHERE trim(coalesce(expression, '')) <> '' UNION SELECT mapping_id, instance, NULL, trim(value) FROM x_attr WHERE lower(name) LIKE '%condition%'), k AS (SELECT * FROM r QUALIFY (port IS NOT NULL) = (count(port) OVER (PARTITION BY mapping_id, instance) > 0)) SELECT mapping_id, instance, CASE WHEN count(*) = 1 THEN max(text) ELSE string_agg(concat(CASE WHEN port IS NULL THEN '' ELSE port || ': ' END, text), chr(10) ORDER BY concat(CASE WHEN port IS NULL THEN '' ELSE port || ': ' END, text)) END AS logic FROM k GROUP BY 1, 2",
     "f46_resolve_mapping": f"{_S} SELECT s.session_name, s.ord, s.mapping_name, m.mapping_id, CASE WHEN m.mapping_id IS NULL THEN 'missing' ELSE 'found' END AS status FROM x_session s LEFT JOIN rep_all_mappings m ON m.mapping_name = s.mapping_name",
     "f48_ordered_rows": f"{_S} SELECT p.mapping_id, p.instance, p.field, i.ord AS inst_ord, CAST(row_number() OVER (PARTITION BY p.mapping_id ORDER BY i.ord, p.instance, p.field) AS INTEGER) AS place FROM x_port p JOIN x_inst i ON i.mapping_id = p.mapping_id AND i.instance = p.instance",
     "i02_logic_by_hop": f"{_S.replace('WITH ', 'WITH RECURSIVE ', 1)}, q AS ({_LINEAGE['f42_forward_paths']}), h AS (SELECT mapping_id, list_last(string_split(path, ' -> ')) AS target, unnest(string_split(path, ' -> ')) AS node, CAST(generate_subscripts(string_split(path, ' -> '), 1) - 1 AS INTEGER) AS hop FROM q), x AS (SELECT w.mapping_id, concat(w.instance_id, '.', f.field_name) AS node, string_agg(o.expression, chr(10) ORDER BY line_no) AS expression FROM rep_widget_inst w JOIN opb_widget_field f ON f.widget_id = w.widget_id JOIN opb_widget_expr e ON e.widget_id = w.widget_id AND e.output_field_id = f.field_id JOIN opb_expression o ON o.widget_id = e.widget_id AND o.expr_id = e.expr_id GROUP BY 1, 2) SELECT mapping_id, target, hop, string_agg(expression, chr(10) ORDER BY expression) AS logic FROM (SELECT DISTINCT h.mapping_id, h.target, h.hop, x.expression FROM h JOIN x ON x.mapping_id = h.mapping_id AND x.node = h.node) GROUP BY 1, 2, 3",

@@ -117,19 +117,6 @@ def b10(spark, d):
     return inventory.coverage_audit(_details(spark, d)[1])
 
 
-def _some(spark, d):
-    repo, details = _details(spark, d)
-    return {n: extract.extract(repo, details, extract.SPECS[n]) for n in ("d10_filter", "d12_router")}
-
-
-def b11(spark, d):
-    return inventory.execution_summary(_some(spark, d))
-
-
-def b12(spark, d):
-    return inventory.combine_by_mapping(_some(spark, d)).groupBy("query_name", "mapping_name").agg(F.count("*").alias("n"), F.count("filter_condition").alias("conditions"))
-
-
 #: Tables that every extract reads.
 _SHARED = ("rep_widget_attr", "rep_mapping_conn_ports", "rep_metadata_extns", "opb_widget_field", "opb_widget_expr", "opb_expression")
 
@@ -143,7 +130,7 @@ def _all(spark, d):
 
 def b11_all(spark, d):
     details, extracts = _all(spark, d)
-    return inventory.run_summary(spark, extracts, inventory.coverage_audit(details))
+    return inventory.run_summary(spark, extracts, inventory.coverage_audit(details)).drop("message")
 
 
 def b12_all(spark, d):
@@ -155,6 +142,14 @@ def b13(spark, d):
     return inventory.leak_check(details, repo["rep_all_mappings"].where("subject_area = 'ASIA'").select("mapping_name")).select("mapping_name", "instance_name")
 
 
+def b08_keys(spark, d):
+    return repository(spark, d)["rep_widget_inst"].select("widget_type_name", inventory.type_key("widget_type_name").alias("type_key")).distinct()
+
+
+def b10_instances(spark, d):
+    return inventory.instance_coverage(_details(spark, d)[1])
+
+
 def b14(spark, d):
     return inventory.types_present(_details(spark, d)[1])
 
@@ -231,8 +226,8 @@ def c22(spark, d):
 
 
 QUERIES = {
-    "b01_workflow_mappings": b01, "b02_all_details": b02, "b03_scope": b03, "b04_scope_mapping": b04, "b05_requested_names": b05, "b06_missing_requested": b06, "b07_restrict": b07, "b09_query_for_type": b09, "b10_coverage_audit": b10, "b11_execution_summary": b11,
-    "b11_run_summary": b11_all, "b12_combine_by_mapping": b12, "b12_combine_all": b12_all, "b13_leak_check": b13, "b14_types_present": b14, "b15_mapplet_instances": b15, "c01_instances": c01, "c03_attr_rows": c03, "c05_decodes": c05, "c09_extensions": c09, "c11_incoming": c11, "c12_outgoing": c12, "c14_port_connections": c14,
+    "b01_workflow_mappings": b01, "b02_all_details": b02, "b03_scope": b03, "b04_scope_mapping": b04, "b05_requested_names": b05, "b06_missing_requested": b06, "b07_restrict": b07, "b09_query_for_type": b09, "b10_coverage_audit": b10, 
+    "b11_run_summary": b11_all, "b12_combine_all": b12_all, "b08_type_keys": b08_keys, "b10_instance_coverage": b10_instances, "b13_leak_check": b13, "b14_types_present": b14, "b15_mapplet_instances": b15, "c01_instances": c01, "c03_attr_rows": c03, "c05_decodes": c05, "c09_extensions": c09, "c11_incoming": c11, "c12_outgoing": c12, "c14_port_connections": c14,
     "c15_port_connections_full": c15, "c16_ports": c16, "c20_port_expressions": c20, "c21_joined_expressions": c21, "c22_long_text": c22,
     **{name: _extract(name) for name in extract.SPECS},
 }
@@ -246,10 +241,6 @@ _ALIAS_SQL = "(VALUES " + ", ".join(f"('{a}', '{q}')" for a, q in ALIASES) + ")
 _CODES = ", ".join(map(str, inventory.REGISTRY))
 
 
-def _counted(code: int) -> str:
-    return f"(SELECT DISTINCT i.*, f.field_id, e.k FROM details i JOIN opb_widget_field f USING (widget_id) LEFT JOIN (SELECT metadata_extn_object_id AS widget_id, line_no AS k FROM rep_metadata_extns) e USING (widget_id) WHERE i.widget_type = {code})"
-
-
 ORACLE = {
     "b01_workflow_mappings": f"{with_sql('rep_all_mappings')}, {FOUND} SELECT * FROM found",
     "b02_all_details": f"{BASE} SELECT {_DETAIL_COLS} FROM details",
@@ -259,9 +250,9 @@ ORACLE = {
     "b06_missing_requested": f"{BASE}, {_names_sql()} SELECT folded AS name FROM names WHERE folded NOT IN (SELECT lower(trim(instance_name)) FROM details)",
     "b07_restrict": f"{BASE}, {_names_sql('WHERE widget_type IN (13, 15)')} SELECT {_DETAIL_COLS} FROM details WHERE lower(trim(instance_name)) IN (SELECT folded FROM names)",
     "b09_query_for_type": f"{with_sql('rep_widget_inst')}, t AS (SELECT DISTINCT widget_type_name AS type_name, upper(regexp_replace(widget_type_name, '[^A-Za-z0-9]', '', 'g')) AS canon FROM rep_widget_inst) SELECT type_name, (SELECT query FROM {_ALIAS_SQL} WHERE contains(canon, alias) OR contains(alias, canon) ORDER BY canon = alias DESC, length(alias) DESC, alias DESC LIMIT 1) AS query FROM t",
+    "b08_type_keys": f"{with_sql('rep_widget_inst')} SELECT DISTINCT widget_type_name, CASE upper(replace(widget_type_name, ' ', '')) WHEN 'SEQUENCE' THEN 'SEQUENCEGENE' ELSE upper(replace(widget_type_name, ' ', '')) END AS type_key FROM rep_widget_inst",
+    "b10_instance_coverage": f"{BASE} SELECT DISTINCT mapping_name, instance_name, widget_type_name, CASE WHEN widget_type IN ({_CODES}) THEN 'PRESENT' ELSE 'MISSING' END AS status FROM details",
     "b10_coverage_audit": f"{BASE} SELECT widget_type, widget_type_name, count(DISTINCT (mapping_id, instance_id)) AS instances, count(DISTINCT mapping_id) AS mappings, CASE WHEN widget_type IN ({_CODES}) THEN 'PRESENT' ELSE 'MISSING' END AS status FROM details GROUP BY 1, 2",
-    "b11_execution_summary": f"{BASE} SELECT 'd10_filter' AS query_name, 'SUCCESS' AS status, count(*) AS row_count, count(DISTINCT mapping_name) AS mapping_count FROM {_counted(13)} UNION ALL SELECT 'd12_router', 'SUCCESS', count(*), count(DISTINCT mapping_name) FROM {_counted(15)}",
-    "b12_combine_by_mapping": f"{BASE}, {ATTR_ROWS}, c AS (SELECT DISTINCT instance_id FROM attr_rows WHERE attr_name = 'FILTER CONDITION' AND attr_value IS NOT NULL) SELECT 'd10_filter' AS query_name, mapping_name, count(*) AS n, count(c.instance_id) AS conditions FROM {_counted(13)} x LEFT JOIN c USING (instance_id) GROUP BY 2 UNION ALL SELECT 'd12_router', mapping_name, count(*), 0 FROM {_counted(15)} GROUP BY 2",
     "b11_run_summary": " UNION ALL ".join(f"SELECT '{n}' AS query_name, 'SUCCESS' AS status, count(*) AS row_count, count(DISTINCT mapping_name) AS mapping_count, 'ALL' AS subject_scope, 'ALL' AS workflow_scope FROM ({extract_sql(spec)})" for n, spec in extract.SPECS.items())
     + f" UNION ALL SELECT * FROM ({BASE} SELECT widget_type_name, 'MISSING', 0, count(DISTINCT mapping_id), 'ALL', 'ALL' FROM details WHERE widget_type NOT IN ({_CODES}) GROUP BY widget_type, widget_type_name)",
     "b12_combine_all": " UNION ALL BY NAME ".join(f"SELECT *, '{n}' AS query_name FROM ({extract_sql(spec)})" for n, spec in extract.SPECS.items()),

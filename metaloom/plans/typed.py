@@ -22,6 +22,12 @@ def _trace(spark, d):
     return inst, port, attr, conn, parent, T.traced(T.target_starts(port, conn), parent)
 
 
+def _parents(spark, d):
+    """What the walks of other starts need: no trace of the targets is made."""
+    _, port, attr, conn = _tables(spark, d)
+    return port, attr, cut(T.parents(port, attr, conn), "parents")
+
+
 def f04(spark, d):
     """Attributes of instances, and of definitions by their last instance in document order."""
     inst, _, attr, _ = _tables(spark, d)
@@ -131,7 +137,7 @@ def f32(spark, d):
 
 def f35(spark, d):
     """Lookup derivations, each driving field with the sources of its own trace."""
-    _, port, attr, _, parent, _ = _trace(spark, d)
+    port, attr, parent = _parents(spark, d)
     rows = T.lookup_derivations(attr, port)
     starts = rows.where("is_traced").select("mapping_id", T.node("instance", "driving_field").alias("start")).distinct()
     found = T.sources_of(T.traced(starts, parent), parent, port)
@@ -140,7 +146,7 @@ def f35(spark, d):
 
 def f36(spark, d):
     """Fields of condition and query attributes with the sources of their traces."""
-    _, port, attr, _, parent, _ = _trace(spark, d)
+    port, attr, parent = _parents(spark, d)
     rows = T.condition_fields(attr, port).withColumn("start", T.node())
     found = T.sources_of(T.traced(rows.select("mapping_id", "start").distinct(), parent), parent, port)
     return rows.join(found, ["mapping_id", "start"]).select("mapping_id", "instance", "name", "field", "n_visited", "sources")
@@ -156,7 +162,7 @@ def f37(spark, d):
 
 def f38(spark, d):
     """Fields that the rules name with the sources of their traces."""
-    _, port, _, _, parent, _ = _trace(spark, d)
+    port, _, parent = _parents(spark, d)
     rows = T.expression_fields(port).withColumn("start", T.node())
     found = T.sources_of(T.traced(rows.select("mapping_id", "start").distinct(), parent), parent, port)
     return rows.join(found, ["mapping_id", "start"]).select("mapping_id", "instance", "rule_field", "expression", "field", "n_visited", "sources")

@@ -11,7 +11,8 @@ def test_statuses(spark):
     df = spark.createDataFrame([("m",), ("m",), ("n",)], "mapping_name string")
     audit = spark.createDataFrame([(44, "Mapplet", 3, 2, "MISSING"), (13, "Filter", 1, 1, "PRESENT")], "widget_type int, widget_type_name string, instances long, mappings long, status string")
     got = inventory.run_summary(spark, {"good": lambda: df, "bad": lambda: df.selectExpr("mapping_name", "no_such_column"), "late": lambda: df.selectExpr("raise_error('x') AS mapping_name")}, audit, subject="S")
-    assert {tuple(r) for r in got.collect()} == {("good", "SUCCESS", 3, 2, "S", "ALL"), ("bad", "FAILED", None, None, "S", "ALL"), ("late", "FAILED", None, None, "S", "ALL"), ("Mapplet", "MISSING", 0, 2, "S", "ALL")}
+    assert "no_such_column" in got.where("query_name = 'bad'").first()["message"] and got.where("message is null").count() == 2
+    assert {tuple(r) for r in got.drop("message").collect()} == {("good", "SUCCESS", 3, 2, "S", "ALL"), ("bad", "FAILED", None, None, "S", "ALL"), ("late", "FAILED", None, None, "S", "ALL"), ("Mapplet", "MISSING", 0, 2, "S", "ALL")}
 
 
 def test_summary_covers_every_extract(spark):
