@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metaloom.operators import blocks, details, inventory, lineage, overview
-from metaloom.sources import records, xml_export
+from metaloom.sources import records, sinks, xml_export
 from metaloom.sources.fixture import repository, with_sql
 from metaloom.sources.store import shared_folder
 
@@ -66,6 +66,15 @@ def a14(spark, d):
     return _orders(spark, d)
 
 
+def a15(spark, d):
+    """Instances written by type, in their order, and read back; each folder holds what the manifest says."""
+    rows = repository(spark, d)["rep_widget_inst"].select("widget_type", "mapping_id", "instance_id", "instance_name")
+    path = f"{shared_folder(spark)}/instances-{d.strip('/').replace('/', '-')}"
+    sinks.write_ordered(rows, path, ["widget_type"], ["mapping_id", "instance_id"])
+    back = sinks.read_ordered(spark, path, "widget_type int, mapping_id long, instance_id long, instance_name string")
+    return back.join(sinks.checked(back, path, ["widget_type"]).select("widget_type", "rows", "whole"), "widget_type")
+
+
 def a19(spark, d):
     paths = _read(spark, d, "pages").select(F.col("page_id").alias("pos"), F.concat(F.regexp_extract("url", "^https?://([^/]+)/", 1), F.lit("/f"), (F.col("page_id") % 7).cast("string"), F.when(F.col("page_id") % 2 == 0, ".JSON").otherwise(".xml")).alias("path"))
     return records.resolve_inputs(paths, ("json",))
@@ -135,7 +144,7 @@ def j05(spark, d):
 
 
 QUERIES = {
-    "a06_canonical_nodes": a06, "a09_drop_blank_rows": a09, "a10_unique_headers": a10, "a11_align_rows": a11, "a12_json_records": a12, "a13_jsonl": a13, "a14_json_safe": a14, "a19_resolve_inputs": a19, "d02d_lookup_port_conditions": d02d, "d03b_lookup_override": d03b, "d05b_qualifier_sql": d05b,
+    "a06_canonical_nodes": a06, "a09_drop_blank_rows": a09, "a10_unique_headers": a10, "a11_align_rows": a11, "a12_json_records": a12, "a13_jsonl": a13, "a14_json_safe": a14, "a15_written_instances": a15, "a19_resolve_inputs": a19, "d02d_lookup_port_conditions": d02d, "d03b_lookup_override": d03b, "d05b_qualifier_sql": d05b,
     "f03_resolve_definitions": f03, "f44_detail_match": f44, "f45_logic_text": f45, "f46_resolve_mapping": f46, "f48_ordered_rows": f48, "i02_logic_by_hop": i02, "i04_expand_mapplets": i04, "j05_sequence": j05,
 }
 
@@ -152,6 +161,7 @@ ORACLE = {
     "a12_json_records": f"SELECT id, {_REC} AS record FROM ({_O})",
     "a13_jsonl": f"""SELECT concat('{{"sheet":"orders","record":', {_REC}, '}}') AS line FROM ({_O})""",
     "a14_json_safe": _O,
+    "a15_written_instances": f"{_S} SELECT widget_type, mapping_id, instance_id, instance_name, count(*) OVER (PARTITION BY widget_type) AS rows, true AS whole FROM rep_widget_inst",
     "a19_resolve_inputs": "SELECT min(page_id) AS pos, path FROM (SELECT page_id, concat(regexp_extract(url, '^https?://([^/]+)/', 1), '/f', page_id % 7, CASE WHEN page_id % 2 = 0 THEN '.JSON' ELSE '.xml' END) AS path FROM pages) WHERE path LIKE '%.JSON' GROUP BY 2",
     "d02d_lookup_port_conditions": f"{_R2}, n AS (SELECT mapping_id, instance_id, widget_id, list_filter(list_transform(string_split(regexp_replace(replace(attr_value, ';', ' AND '), '(?i)\\s+AND\\s+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM ar WHERE attr_name = 'LOOKUP CONDITION' AND attr_value IS NOT NULL), c AS (SELECT mapping_id, instance_id, widget_id, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS condition_order, unnest(parts) AS x FROM n), e AS (SELECT *, regexp_extract(x, '<>|!=|<=|>=|=|<|>') AS o FROM c), lk AS (SELECT DISTINCT mapping_id, instance_id, widget_id FROM ar WHERE widget_type = 11) SELECT lk.mapping_id, lk.instance_id, lk.widget_id, f.field_name, e.condition_order, CASE WHEN o <> '' THEN nullif(trim(regexp_extract(x, '^(.*?)\\s*(<>|!=|<=|>=|=|<|>)', 1)), '') END AS lookup_column, CASE WHEN o <> '' THEN o END AS operator FROM lk JOIN opb_widget_field f ON f.widget_id = lk.widget_id LEFT JOIN e ON e.mapping_id = lk.mapping_id AND e.instance_id = lk.instance_id AND e.o <> '' AND upper(trim(regexp_replace(x, '^.*?(<>|!=|<=|>=|=|<|>)', ''))) = upper(trim(f.field_name))",
     "d03b_lookup_override": f"{_R2} SELECT {KEYS}, string_agg(attr_value, '' ORDER BY line_no, attr_id, attr_value) AS long_text FROM ar WHERE widget_type = 11 AND attr_name = 'LOOKUP SQL OVERRIDE' AND attr_value IS NOT NULL GROUP BY ALL",

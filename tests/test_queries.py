@@ -11,6 +11,7 @@ from tests.compare import assert_same
 
 SF = "sf0.001"
 SOME = ["b02_all_details", "b06_missing_requested", "c03_attr_rows", "c05_decodes", "c14_port_connections", "d01_expression", "d02_lookup", "d04_joiner", "d10_filter", "d02b_condition_rows", "f09_trace_back", "f31_lineage_records", "f33_completeness", "f43_path_rows", "e03_transformation_order", "e08_session_order", "i01_paths_per_field", "g07_upstream_mapping", "f39_select_items", "f09_typed_trace", "f20_union_edges", "f28_select_targets", "f41_plain_rules", "e07_session_links", "g09_chain_edges", "g21_connector_conditions", "d02d_lookup_port_conditions", "f44_detail_match", "a12_json_records", "i04_expand_mapplets", "j05_sequence"]
+SOME += ["e03_queue_order", "e07_walk_order", "e08_queue_order", "e11_session_order", "e12_session_ranks", "e22_table_flow", "f47_ranked_links", "g10_chain_text", "g14_chain_sources", "f31_record", "f33_completeness_report", "f26_diagnostic_rows", "f42_path_forecast", "f42_paths_by_target", "f39_items_and_aliases", "g22_where_of_blocks", "g23_tables_and_aliases", "g24_condition_fields", "d02_lookup_tab", "d05_qualifier_tab", "d12_router_tab", "d13_aggregator_tab", "a15_written_instances", "b10_instance_coverage"]
 
 
 def test_every_query_has_sql():
