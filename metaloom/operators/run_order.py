@@ -174,3 +174,18 @@ def ranked_links(order: DataFrame, fields: DataFrame) -> DataFrame:
     before = F.array_distinct(F.transform(F.filter("writers", lambda w: w["place"] < F.col("place")), lambda w: F.concat(w["text"], F.lit("->"), F.concat_ws(".", "task", "table_name", "field"))))
     found = readers.join(writers, keys).withColumn("found", before).where("size(found) > 0")
     return found.select(*KEY, F.col("task").alias("session"), "table_name", "field", F.size("found").cast("long").alias("n_links"), F.array_join("found", "\n").alias("links"))
+
+
+def session_transformations(links: DataFrame, tasks: DataFrame, sessions: DataFrame, order: DataFrame) -> DataFrame:
+    """(workflow_id, pos, session_name, mapping_name, place, transformation): each walked link's session with its mapping's transformations in their order.
+
+    order (mapping_name, transformation, place). A session whose mapping has no transformation keeps one row with an empty text. An export without any workflow: every session once, with a null workflow, numbered in
+    document order.
+    """
+    if links.isEmpty() and tasks.isEmpty():
+        first = sessions.where("session_name <> ''").groupBy("session_name").agg(F.min("ord").alias("ord"))
+        numbered = overview.numbered(first.join(overview.session_lookup(sessions), "session_name").withColumn("at", F.struct("ord", "session_name")), "at")
+        rows = numbered.select(F.lit(None).cast(links.schema["workflow_id"].dataType).alias("workflow_id"), F.col("n").cast("long").alias("pos"), "session_name", F.coalesce("mapping_name", F.lit("")).alias("mapping_name"))
+    else:
+        rows = walked_links(links, tasks, sessions).select(*KEY, "pos", F.col("to_session").alias("session_name"), "mapping_name")
+    return rows.join(order, "mapping_name", "left").select(*KEY, "pos", "session_name", "mapping_name", "place", F.coalesce("transformation", F.lit("")).alias("transformation"))

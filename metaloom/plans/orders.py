@@ -56,7 +56,11 @@ def f47_ranked(spark, d):
     return run_order.ranked_links(order, _named(fields).select("mapping_name", "side", F.col("definition").alias("table_name"), "field").distinct())
 
 
-QUERIES = {"e03_queue_order": e03_queue, "e07_walk_order": e07_walk, "e08_queue_order": e08_queue, "e11_session_order": e11, "e12_session_ranks": e12_ranks, "e21_session_tables_in_order": e21_tables, "e22_table_flow": e22_flow, "f47_ranked_links": f47_ranked}
+def e13_order(spark, d):
+    return run_order.session_transformations(*_flow(spark, d), _named(e03_queue(spark, d)).select("mapping_name", "transformation", "place"))
+
+
+QUERIES = {"e13_transformations_in_order": e13_order, "e03_queue_order": e03_queue, "e07_walk_order": e07_walk, "e08_queue_order": e08_queue, "e11_session_order": e11, "e12_session_ranks": e12_ranks, "e21_session_tables_in_order": e21_tables, "e22_table_flow": e22_flow, "f47_ranked_links": f47_ranked}
 
 _W = with_sql().replace("WITH ", "WITH RECURSIVE ", 1)
 
@@ -122,7 +126,10 @@ af AS (SELECT * FROM od JOIN fl USING (mapping_name)),
 pr AS (SELECT DISTINCT r.workflow_id, r.task AS session, r.table_name, r.field, w.place, concat_ws('.', w.task, w.table_name, w.field) || '->' || concat_ws('.', r.task, r.table_name, r.field) AS link FROM af r JOIN af w ON w.workflow_id = r.workflow_id AND lower(w.table_name) = lower(r.table_name) AND lower(w.field) = lower(r.field) AND w.place < r.place WHERE r.type = 'Source Definition' AND w.type = 'Target Definition')
 SELECT workflow_id, session, table_name, field, count(*) AS n_links, string_agg(link, chr(10) ORDER BY place, link) AS links FROM pr GROUP BY ALL"""
 
+_ORDERED = "sv AS (SELECT k, coalesce(nullif(definition, ''), node) AS transformation, min(pos) AS pos FROM kahn LEFT JOIN x_inst i ON i.mapping_id = k AND i.instance = node GROUP BY 1, 2), ow AS (SELECT mapping_id, transformation, min(ord) AS ord FROM y_definition WHERE transformation <> '' GROUP BY 1, 2), tq AS (SELECT ow.mapping_id, ow.transformation, CAST(row_number() OVER (PARTITION BY ow.mapping_id ORDER BY sv.pos NULLS LAST, ow.ord) AS INTEGER) AS place FROM ow LEFT JOIN sv ON sv.k = ow.mapping_id AND sv.transformation = ow.transformation)"
+
 ORACLE = {
+    "e13_transformations_in_order": f"{_W}, {_WALK}, {_E03}, {_ORDERED} SELECT workflow_id, walk.pos, to_session AS session_name, mapping_name, place, coalesce(transformation, '') AS transformation FROM walk LEFT JOIN tq ON mapping_name = concat('m_', tq.mapping_id)",
     "e03_queue_order": f"{_W}, {_E03}, sv AS (SELECT k, coalesce(nullif(definition, ''), node) AS transformation, min(pos) AS pos FROM kahn LEFT JOIN x_inst i ON i.mapping_id = k AND i.instance = node GROUP BY 1, 2), ow AS (SELECT mapping_id, transformation, min(ord) AS ord FROM y_definition WHERE transformation <> '' GROUP BY 1, 2) SELECT ow.mapping_id, ow.transformation, CAST(row_number() OVER (PARTITION BY ow.mapping_id ORDER BY pos NULLS LAST, ow.ord) AS INTEGER) AS place FROM ow LEFT JOIN sv ON sv.k = ow.mapping_id AND sv.transformation = ow.transformation",
     "e07_walk_order": f"{_W}, {_WALK} SELECT workflow_id, pos, from_session, to_session, condition, mapping_name FROM walk",
     "e08_queue_order": f"{_W}, {_E08}",
