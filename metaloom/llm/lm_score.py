@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,26 +16,21 @@ from .words import LOWER, mixed, word_hashes
 DISCOUNT = 0.4
 #: Log scores are whole micro-nats, so that sums don't depend on their order.
 UNIT = 1_000_000
-#: An n-gram is frequent when it makes up 2^-20 of all words or more; so at most 2^20 are, whatever the input.
-FREQUENT_BITS = 20
 #: Text whose n-grams one task holds at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 6_000_000
+#: Rows of an Arrow batch that carries n-grams.
+BATCH_ROWS = 200_000
 
 _U = np.uint64
 _TOP = _U(1 << 63)
-#: The place before a text's first word, as a context.
+#: The place before a text's first word, as a context; words have the top bit.
 START = 0
-_held: dict = {}
+#: In place of a context's count, on a document's own line.
+OWN_LINE = -1
 
 
-def _rare(words: np.ndarray, context: np.ndarray | None = None) -> np.ndarray:
-    """Key of a word, or of a 2-gram, that has no short number: 63 bits of hash."""
-    both = words * _U(0x9E3779B97F4A7C15) + (_U(1) if context is None else context * _U(0xC2B2AE3D27D4EB4F))
-    return mixed(both) | _TOP
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows, their numbers of words, and all word hashes end to end; ASCII letters folded."""
+def _chunks(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, their numbers of words, and all word hashes end to end with their contexts; ASCII letters folded."""
     for batch in batches:
         size = pa.compute.coalesce(pa.compute.binary_length(batch.column(of)), 0).to_numpy()
         upto = np.cumsum(size)
@@ -45,17 +39,17 @@ def _chunks(batches: Iterator[pa.RecordBatch], of: int) -> Iterator[tuple[pa.Rec
             high = max(low + 1, int(np.searchsorted(upto, CHUNK_BYTES + upto[low] - size[low], "right")))
             part = batch.slice(low, high - low)
             words, sizes = word_hashes([x or b"" for x in part.column(of).to_pylist()], LOWER)
-            yield part, sizes, words | _TOP
+            words = words | _TOP
+            yield part, sizes, words, _before(words, sizes)
             low = high
 
 
-def _pairs(code: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context of each word, and the 2-gram's key: two short numbers side by side, else a hash."""
-    before = np.concatenate([[_U(START)], code[:-1]])[: len(code)]
-    first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    before[first] = START
-    short = (before < _TOP) & (code < _TOP)
-    return before, np.where(short, before << _U(FREQUENT_BITS + 1) | code, _rare(code, before))
+def _before(of_words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What stands before each word; START at the beginning of a text."""
+    before = np.zeros_like(of_words)
+    before[1:] = of_words[:-1]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+    return before
 
 
 def _runs(first: np.ndarray, end: int) -> np.ndarray:
@@ -63,206 +57,130 @@ def _runs(first: np.ndarray, end: int) -> np.ndarray:
 
 
 def _by_document(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of each document, how often it has each, and the documents."""
-    keys, begin = keys.copy(), 0
+    """The distinct keys of each document: a place of each, how often it occurs; and the number of each place's key."""
+    order, begin = np.empty(len(keys), np.int64), 0
     for size in sizes.tolist():
-        keys[begin : begin + size].sort()
+        order[begin : begin + size] = keys[begin : begin + size].argsort()
+        order[begin : begin + size] += begin
         begin += size
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])[: len(keys)])
-    return keys[first], _runs(first, len(keys)), doc[first]
-
-
-def _summed(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the distinct keys: a place, how often it occurs, and whether in one document (1) or more (2)."""
-    order = np.argsort(keys)
-    keys, doc = keys[order], np.repeat(np.arange(len(sizes)), sizes)[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-    if not len(first):
-        return first, first, first
-    return order[first], _runs(first, len(keys)), 1 + (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first))
-
-
-class Places:
-    """Places of keys in a sorted array, by a table over their upper bits; keys that share a slot are searched."""
+    doc, keys = np.repeat(np.arange(len(sizes)), sizes), keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
+    number, first = np.empty(len(keys), np.int64), np.flatnonzero(new)
+    number[order] = np.cumsum(new) - 1
+    return order[first], _runs(first, len(keys)), number
 
-    def __init__(self, keys: np.ndarray, bits: int = 22):
-        self.keys, self.down = keys, _U(63 - bits)
-        slot = (_rare(keys) ^ _TOP) >> self.down
-        self.at = np.full(1 << bits, -1, np.int32)
-        self.at[slot] = np.arange(len(keys), dtype=np.int32)
-        self.at[slot[self.at[slot] != np.arange(len(keys))]] = -2
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key; -1 where it isn't there."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = self.at[(_rare(keys) ^ _TOP) >> self.down].astype(np.int64)
-        shared = at == -2
-        at[shared] = np.minimum(np.searchsorted(self.keys, keys[shared]), len(self.keys) - 1)
-        at[(self.keys[at] != keys) | (at < 0)] = -1
-        return at
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n) of each chunk: the hashes of context and word of its distinct 2-grams, and how often each occurs."""
+    for _, _, words, before in _chunks(batches, 0):
+        key = mixed(words * _U(0x9E3779B97F4A7C15) + before * _U(0xC2B2AE3D27D4EB4F))
+        order = key.argsort()
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+        at, n = order[first], _runs(first, len(key))
+        yield pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(words[at].view(np.int64)), pa.array(n)], names=["a", "b", "n"])
 
 
-def _short(frequent: Places, words: np.ndarray) -> np.ndarray:
-    """Codes of word hashes: a short number (from 1) for a frequent word, else the hash."""
-    at = frequent.find(words)
-    return np.where(at < 0, words, (at + 1).astype(_U))
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(nr, id, a, b, n, own_a, own_b): a document's own line with its number of words, then its distinct 2-grams.
 
+    own_a and own_b are how often the document has the context and the word.
+    """
+    names = ["nr", "id", "a", "b", "n", "own_a", "own_b"]
+    for rows, sizes, words, before in _chunks(batches, 2):
+        nr, ids = rows.column(0).to_numpy(), rows.column(1)
+        none = np.zeros(len(nr), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nr), ids, pa.array(nr), pa.array(none), pa.array(sizes.astype(np.int64)), pa.array(none + OWN_LINE), pa.array(none)], names=names)
+        _, times, number = _by_document(words, sizes)
+        times = np.concatenate([[1], times])  # a document has its beginning once
+        number += 1
+        context = _before(number, sizes)
+        at, n, _ = _by_document(context * len(times) + number, sizes)
+        doc = np.repeat(nr, sizes)[at]
+        for k in range(0, len(at), BATCH_ROWS):
+            part = at[k : k + BATCH_ROWS]
+            columns = doc[k : k + BATCH_ROWS], before[part].view(np.int64), words[part].view(np.int64), n[k : k + BATCH_ROWS], times[context[part]], times[number[part]]
+            own, *others = map(pa.array, columns)
+            yield pa.RecordBatch.from_arrays([own, pa.nulls(len(part), ids.type), *others], names=names)
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n, docs) of each chunk, docs 2 for more than one; the start of a text counts as a word that isn't scored."""
-    for _, sizes, words in _chunks(batches, 0):
-        at, n, docs = _summed(words, sizes)
-        texts = int((sizes > 0).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(words[at].view(np.int64), START)), pa.array(np.append(n, texts)), pa.array(np.append(docs, min(texts, 2)))], names=["word", "n", "docs"])
-
-
-def _pair_rows(frequent):
-    """(a, b, n, docs) of each chunk: context and word codes of 2-grams; those of two short numbers lie in b alone, beside a 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = frequent()[0]
-        for _, sizes, words in _chunks(batches, 0):
-            words = _short(places, words)
-            before, key = _pairs(words, sizes)
-            at, n, docs = _summed(key, sizes)
-            short = key[at] < _TOP
-            a, b = np.where(short, _U(0), before[at]), np.where(short, key[at], words[at])
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n), pa.array(docs)], names=["a", "b", "n", "docs"])
 
-    return run
+def _micro(share: Column) -> Column:
+    return F.round(F.log(share) * UNIT).cast("long")
 
 
-def _gram_rows(model):
-    """(nr, id, gram, n): a document's own line with its number of words and what frequent n-grams add, then its other n-grams.
+def count_tables(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Every 2-gram of the corpus with its count n and the counts of its context (in_a) and its word (of_b); the number of words.
 
-    Lines of documents have keys above those of n-grams: 2^61 + nr carries the words, 2^62 + nr the sum so far.
+    rows has one column, the texts as binary. Counts are combined in each task, then summed by hash.
     """
-    names = ["nr", "id", "gram", "n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, gain1, grams, gain2, floor = model()
-        for rows, sizes, words in _chunks(batches, 2):
-            nr, ids = rows.column(0).to_numpy(), rows.column(1)
-            words = _short(frequent, words)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            often = words < _TOP
-            added = sizes * floor + np.bincount(doc[often], gain1[words[often].astype(np.int64) - 1], len(sizes)).astype(np.int64)
-            rare, times1, own1 = _by_document(words[~often], np.bincount(doc[~often], minlength=len(sizes)))
-            key, times2, own2 = _by_document(_pairs(words, sizes)[1], sizes)
-            at = grams.find(key)
-            known = at >= 0
-            added += np.bincount(own2[known], gain2[at[known]] * times2[known], len(sizes)).astype(np.int64)
-            key, times2, own2 = key[~known], times2[~known], own2[~known]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([nr, nr])), pa.concat_arrays([ids, ids]), pa.array(np.concatenate([nr | 1 << 61, nr | 1 << 62])), pa.array(np.concatenate([sizes, added]))], names=names)
-            for own, keys, n in ((own1, _rare(rare), times1), (own2, key, times2)):
-                for k in range(0, len(own), 200_000):
-                    part = slice(k, k + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(nr[own[part]]), pa.nulls(len(own[part]), ids.type), pa.array(keys[part].view(np.int64)), pa.array(n[part])], names=names)
-
-    return run
-
-
-def _on_workers(df: DataFrame, *value):
-    """A function that gives the values, arrays at even places as tables of their keys, unpacked once in each Python worker."""
-    shared, name = df.sparkSession.sparkContext.broadcast(value), uuid.uuid4().hex
-
-    def own():
-        if name not in _held:
-            _held.clear()
-            _held[name] = tuple(Places(x) if k % 2 == 0 and isinstance(x, np.ndarray) else x for k, x in enumerate(shared.value))
-        return _held[name]
-
-    return own
-
-
-def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
-    got = df.select(*names).toArrow()
-    return [got.column(n).to_numpy() for n in names]
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, a, b, n): the key that documents use for a 2-gram, and both codes."""
-    for batch in batches:
-        a, b = (batch.column(i).to_numpy().view(_U) for i in (0, 1))
-        short = (a == START) & (b < _TOP)
-        gram = np.where(short, b, _rare(b, a))
-        a, b = np.where(short, b >> _U(FREQUENT_BITS + 1), a), np.where(short, b & _U((1 << FREQUENT_BITS + 1) - 1), b)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (gram, a, b)), batch.column(2)], names=["gram", "a", "b", "n"])
-
-
-def _keyed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_rare(batch.column(0).to_numpy().view(_U)).view(np.int64)), batch.column(1), batch.column(2)], names=["gram", "n", "gain"])
-
-
-def _micro(share: Column) -> Column:
-    return F.round(F.log(share) * UNIT).cast("long")
+    pairs = staged(rows.mapInArrow(_pair_rows, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "lm-pairs")
+    words = pairs.groupBy("b").agg(F.sum("n").alias("of_b"))
+    beginnings = pairs.where(F.col("a") == START).agg(F.lit(START).cast("long").alias("b"), F.coalesce(F.sum("n"), F.lit(0)).alias("of_b"))
+    words = staged(words.unionByName(beginnings), "lm-words")
+    total = words.where(F.col("b") != START).agg(F.sum("of_b")).first()[0] or 0
+    contexts = words.select(F.col("b").alias("a"), F.col("of_b").alias("in_a"))
+    return pairs.join(words, "b").join(contexts, "a").select("a", "b", "n", "in_a", "of_b"), total
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id, n_grams (words scored), log_score (sum of natural logs, in millionths), mean_log.
 
-    An n-gram is known when two documents or more hold it: what one document alone holds tells nothing of it.
-    A word's score is count(2-gram) / count(context) if its 2-gram is known, else 0.4 * count(word) / words of
-    the corpus, where an unknown word counts 1. The start of a text is the context of its first word. Words are
-    runs of characters that aren't ASCII white space, with ASCII letters folded.
-
-    1. Words, then 2-grams, are counted within each document and task, and summed by hash into tables of the
-    known ones. 2. Each table row gets what its n-gram adds to the score that a word has without it. 3. Every
-    document's distinct n-grams are exploded with their counts, joined to the table by key, and summed by
-    document. N-grams that make up a 2^20th of all words or more, at most 2^20 of each order by that, are sent
-    to the tasks instead, so that no key of the join is hot. The other keys are hashes of 63 bits: of a billion
+    The model of a document is the corpus without that document: its own counts are taken from each count
+    before a score is made. A word's score is count(2-gram) / count(context) if the rest of the corpus has its
+    2-gram, else 0.4 * count(word) / words of the rest, where a word that the rest hasn't counts 1. The start
+    of a text is the context of its first word. Words are runs of characters that aren't ASCII white space, with
+    ASCII letters folded.
+
+    1. 2-grams are counted in each task and summed by hash into a table of all of them; words and contexts are
+    sums of that table, and every 2-gram gets the counts of both. 2. Every document's distinct 2-grams are
+    exploded with the document's own counts, joined to the table by hash, and summed by document. That is one
+    way for every n-gram at every size: a frequent one has a row for each document that holds it, all in
+    shuffled blocks, which AQE splits where they make a partition skewed. The hashes have 63 bits: of a billion
     n-grams, about one in twenty corpora has two with one key.
 
-    Null or empty text: 0 words, log_score 0, null mean. Null and repeated ids: a row each. Repeated rows know
-    each other's n-grams. Very long texts are scored whole. Empty table: no rows. Extra columns are ignored.
+    Null or empty text: 0 words, log_score 0, null mean. A document alone: its words count 1 of 1. Null and
+    repeated ids: a row each. Repeated rows know each other's n-grams. Very long texts are scored whole, in
+    memory of their own size. Empty table: no rows. Extra columns are ignored.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("nr"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    words = rows.select("text").mapInArrow(_word_rows, "word long, n long, docs long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    words = staged(words, "lm-words")
-    total = words.where(F.col("word") != START).agg(F.sum("n")).first()[0] or 1
-    often, floor = F.col("n") >= total / (1 << FREQUENT_BITS), round(float(np.log(DISCOUNT / total)) * UNIT)
-    alone = _micro(DISCOUNT * F.col("n") / total)
-
-    scored = words.where((F.col("docs") > 1) & (F.col("word") != START))
-    frequent, gain1 = _columns(scored.where(often).select("word", (alone - floor).alias("gain")).orderBy("word"), "word", "gain")
-    numbers = docs.sparkSession.createDataFrame(pa.table({"word": frequent, "code": np.arange(1, len(frequent) + 1)}))
-    codes = words.where((F.col("docs") > 1) | (F.col("word") == START)).join(F.broadcast(numbers), "word", "left")
-    codes = codes.select(F.coalesce("code", "word").alias("code"), F.col("n").alias("of"))
-
-    frequent = frequent.view(_U)
-    pairs = rows.select("text").mapInArrow(_pair_rows(_on_workers(docs, frequent)), "a long, b long, n long, docs long")
-    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("docs > 1").select("a", "b", "n")
-    pairs = pairs.mapInArrow(_keyed, "gram long, a long, b long, n long")
-    context, word = codes.select(F.col("code").alias("a"), F.col("of").alias("in_context")), codes.select(F.col("code").alias("b"), F.col("of").alias("of_word"))
-    pairs = pairs.join(context, "a").join(word, "b")
-    pairs = pairs.select("gram", "n", (_micro(F.col("n") / F.col("in_context")) - _micro(DISCOUNT * F.col("of_word") / total)).alias("gain"))
-    single = scored.where(~often).select("word", "n", (alone - floor).alias("gain")).mapInArrow(_keyed_words, "gram long, n long, gain long")
-    gains = staged(pairs.unionByName(single), "lm-gains")
-
-    gram, gain2 = _columns(gains.where(often).orderBy("gram"), "gram", "gain")
-    order = np.argsort(gram.view(_U))
-    own = _on_workers(docs, frequent, gain1, gram.view(_U)[order], gain2[order], floor)
-    lines = rows.mapInArrow(_gram_rows(own), f"nr long, id {kind}, gram long, n long").join(gains.where(~often).select("gram", "gain"), "gram", "left")
-    words_line, sum_line = F.col("gram").bitwiseAND(3 << 61) == 1 << 61, F.col("gram").bitwiseAND(3 << 61) == 1 << 62
-    n_words = F.sum(F.when((F.col("gram") > 0) & words_line, F.col("n")).otherwise(0))
-    adds = F.when(F.col("gain").isNotNull(), F.col("n") * F.col("gain")).when((F.col("gram") > 0) & sum_line, F.col("n")).otherwise(0)
-    out = lines.groupBy("nr").agg(F.max("id").alias("id"), n_words.alias("n_grams"), F.sum(adds).alias("log_score"))
+    counted, total = count_tables(rows.select("text"))
+    counts = staged(counted.select(F.xxhash64("a", "b").alias("gram"), F.col("n").alias("of_all"), "in_a", "of_b"), "lm-counts")
+
+    lines = rows.mapInArrow(_gram_rows, f"nr long, id {kind}, a long, b long, n long, own_a long, own_b long")
+    lines = lines.select("nr", "id", F.xxhash64("a", "b").alias("gram"), "n", "own_a", "own_b").join(counts, "gram", "left")
+    own_line, known = F.col("own_a") == OWN_LINE, F.col("of_all") > F.col("n")
+    seen = _micro((F.col("of_all") - F.col("n")) / (F.col("in_a") - F.col("own_a")))
+    alone = _micro(DISCOUNT * F.greatest(F.col("of_b") - F.col("own_b"), F.lit(1)))
+    out = lines.groupBy("nr").agg(
+        F.max("id").alias("id"),
+        F.sum(F.when(own_line, F.col("n")).otherwise(0)).alias("n_grams"),
+        F.sum(F.when(own_line, 0).otherwise(F.col("n") * F.when(known, seen).otherwise(alone))).alias("parts"),
+        F.sum(F.when(own_line | known, 0).otherwise(F.col("n"))).alias("backed_off"),
+    )
+    rest = _micro(F.greatest(F.lit(total) - F.col("n_grams"), F.lit(1)))
+    out = out.withColumn("log_score", F.col("parts") - F.col("backed_off") * rest)
     mean = F.round(F.col("log_score") / F.when(F.col("n_grams") > 0, F.col("n_grams")) / UNIT, 6)
     return out.select(F.col("id").alias(id_col), "n_grams", "log_score", mean.alias("mean_log"))
 
 
+def _micro_sql(share: str) -> str:
+    return f"CAST(round(ln({share}) * {UNIT}) AS BIGINT)"
+
+
 ORACLE = f"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-p AS MATERIALIZED (SELECT doc_id, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS context, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-uni AS (SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM p GROUP BY word),
-bi AS (SELECT context, word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM p GROUP BY ALL),
-contexts AS (SELECT word AS context, n FROM uni UNION ALL SELECT '', count(*) FROM d WHERE len(w) > 0),
-alone AS (SELECT word, CAST(round(ln({DISCOUNT} * CASE WHEN docs > 1 THEN n ELSE 1 END / (SELECT CAST(count(*) AS DOUBLE) FROM p)) * {UNIT}) AS BIGINT) AS micro FROM uni),
-seen AS (SELECT bi.context, bi.word, CAST(round(ln(CAST(bi.n AS DOUBLE) / c.n) * {UNIT}) AS BIGINT) AS micro FROM bi JOIN contexts c USING (context) WHERE docs > 1),
-t AS (SELECT doc_id, count(*) AS n_grams, CAST(sum(coalesce(seen.micro, alone.micro)) AS BIGINT) AS log_score FROM p JOIN alone USING (word) LEFT JOIN seen USING (context, word) GROUP BY doc_id)
-SELECT doc_id, coalesce(n_grams, 0) AS n_grams, coalesce(log_score, 0) AS log_score, round(log_score / CAST(n_grams AS DOUBLE) / {UNIT}, 6) AS mean_log FROM d LEFT JOIN t USING (doc_id)
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS nr, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS MATERIALIZED (SELECT nr, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS context, w[i] AS word FROM (SELECT nr, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+own2 AS MATERIALIZED (SELECT nr, context, word, count(*) AS n FROM p GROUP BY ALL),
+own1 AS MATERIALIZED (SELECT nr, word, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT nr, '', 1 FROM d WHERE len(w) > 0),
+all2 AS (SELECT context, word, CAST(sum(n) AS BIGINT) AS n FROM own2 GROUP BY ALL),
+all1 AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM own1 GROUP BY word),
+rest1 AS MATERIALIZED (SELECT nr, word, all1.n - own1.n AS n FROM own1 JOIN all1 USING (word)),
+rest2 AS (SELECT nr, context, word, own2.n AS times, all2.n - own2.n AS n FROM own2 JOIN all2 USING (context, word)),
+size AS (SELECT nr, greatest((SELECT count(*) FROM p) - len(w), 1) AS others FROM d),
+t AS (SELECT r.nr, CAST(sum(r.times) AS BIGINT) AS n_grams, CAST(sum(r.times * CASE WHEN r.n > 0 THEN {_micro_sql("CAST(r.n AS DOUBLE) / c.n")}
+  ELSE {_micro_sql(f"CAST({DISCOUNT} AS DOUBLE) * greatest(w.n, 1)")} - {_micro_sql("CAST(others AS DOUBLE)")} END) AS BIGINT) AS log_score
+  FROM rest2 r JOIN rest1 c ON c.nr = r.nr AND c.word = r.context JOIN rest1 w ON w.nr = r.nr AND w.word = r.word JOIN size ON size.nr = r.nr GROUP BY r.nr)
+SELECT doc_id, coalesce(n_grams, 0) AS n_grams, coalesce(log_score, 0) AS log_score, round(log_score / CAST(n_grams AS DOUBLE) / {UNIT}, 6) AS mean_log FROM d LEFT JOIN t USING (nr)
 """

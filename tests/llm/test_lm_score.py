@@ -9,29 +9,33 @@ import pytest
 from metaloom.llm import lm_score
 
 
+def micro(share):
+    return round(math.log(share) * lm_score.UNIT)
+
+
 def brute(texts):
+    """Each text scored by the counts of all others."""
     words = [(t or "").encode().lower().split() for t in texts]
     pairs = [list(zip([b"", *w], w, strict=False)) for w in words]
-    total = sum(map(len, words)) or 1
-    n1, n2, d1, d2 = Counter(), Counter(), Counter(), Counter()
+    all1, all2, total = Counter(), Counter(), sum(map(len, words))
     for w, p in zip(words, pairs, strict=True):
-        n1.update(w)
-        n2.update(p)
-        d1.update(set(w))
-        d2.update(set(p))
-    n1[b""] = sum(1 for w in words if w)
+        all1.update([b""] * bool(w) + w)
+        all2.update(p)
 
-    def micro(p):
-        share = n2[p] / n1[p[0]] if d2[p] > 1 else lm_score.DISCOUNT * (n1[p[1]] if d1[p[1]] > 1 else 1) / total
-        return round(math.log(share) * lm_score.UNIT)
+    def score(w, p):
+        own1, own2 = Counter([b"", *w]), Counter(p)
+        n1, n2 = (lambda x: all1[x] - own1[x]), (lambda x: all2[x] - own2[x])
+        back = micro(max(1, total - len(w)))
+        return sum(micro(n2(x) / n1(x[0])) if n2(x) else micro(lm_score.DISCOUNT * max(1, n1(x[1]))) - back for x in p)
 
-    return [(len(p), sum(map(micro, p))) for p in pairs]
+    return [(len(w), score(w, p)) for w, p in zip(words, pairs, strict=True)]
 
 
-@pytest.mark.parametrize("bits", [20, 6, 0])
-def test_scores_follow_rare_words_and_word_order(spark, monkeypatch, bits):
-    """Also with few or no frequent n-grams, so that most or all keys are hashes that are joined."""
-    monkeypatch.setattr(lm_score, "FREQUENT_BITS", bits)
+@pytest.mark.parametrize("chunk", [6_000_000, 200])
+def test_scores_follow_rare_words_and_word_order(spark, monkeypatch, chunk):
+    """Also with texts longer than a chunk, and n-grams in several batches."""
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(lm_score, "BATCH_ROWS", chunk)
     r = random.Random(4)
     texts = ["a b c a b", "b a c b a", "A  b\tzyx", "", None, "a b c a b", " \n ", "once", "x " * 300]
     texts += [" ".join(r.choice(["de", "fg", "hi", "jk", f"w{r.randint(0, 40)}"]) for _ in range(r.randint(1, 60))) for _ in range(60)]
@@ -44,6 +48,22 @@ def test_scores_follow_rare_words_and_word_order(spark, monkeypatch, bits):
     assert lm_score.lm_scores(docs.limit(0)).count() == 0
 
 
+def test_a_document_alone_backs_off_to_one_of_one(spark):
+    docs = spark.createDataFrame([(1, "p q p q")], "doc_id long, text string")
+    assert lm_score.lm_scores(docs).collect()[0]["log_score"] == 4 * micro(lm_score.DISCOUNT)
+
+
+def test_the_table_holds_every_ngram_with_its_counts(spark):
+    """Those of one document too, and of a small corpus."""
+    texts = ["a b a b c", "c a b", "only here", ""]
+    table, total = lm_score.count_tables(spark.createDataFrame([(t.encode(),) for t in texts], "text binary").repartition(2))
+    pairs = Counter(p for t in texts for p in zip(["", *t.split()], t.split(), strict=False))
+    words = Counter(w for t in texts for w in ["", *t.split()][not t :])
+    got = table.collect()
+    assert sorted((x["n"], x["in_a"], x["of_b"]) for x in got) == sorted((n, words[a], words[b]) for (a, b), n in pairs.items())
+    assert len({(x["a"], x["b"]) for x in got}) == len(pairs) and total == 10
+
+
 def test_a_text_that_occurs_twice_scores_above_one_that_occurs_once(spark):
     r = random.Random(6)
     texts = [" ".join(f"w{int(r.paretovariate(0.6)) % 5000}" for _ in range(200)) for _ in range(40)]
