@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -130,7 +131,8 @@ class Pairs:
 class Codec:
     """Merge-type segmentation of a sentencepiece BPE model with keyed merge-dropout.
 
-    The agenda takes the adjacent pair whose piece has the best score, leftmost first. Each candidate that it
+    The agenda takes the adjacent pair whose piece has the best score, leftmost first; for a long run it is a heap over
+    a linked list, so that a run of n characters takes time n log n. Each candidate that it
     takes is skipped for good with the probability of the dropout, by a draw keyed with (seed, text's key,
     place of the run in the text, number of the candidate). So each occurrence of a run has its own draws.
     The draws are made as gaps between skips. Only the segmentation without skips is cached; an occurrence
@@ -215,23 +217,36 @@ class Codec:
         symbols = [MARK, *run.replace(" ", MARK)]
         if MARK in run:  # a mark of the text itself must not turn into a space
             symbols = [MARK, *(MARK if c == " " else "\0" + c if c == MARK else c for c in run)]
-        rank, none, taken, skip = self.rank.get, len(self.rank), 0, next(skips, -1)
-        offers = [rank(x + y, none) for x, y in zip(symbols, symbols[1:], strict=False)]
-        while offers and (best := min(offers)) < none:
-            at = offers.index(best)
+        rank, end, taken, skip = self.rank.get, len(symbols), 0, next(skips, -1)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        versions = [0] * end  # of a place: how often its symbol has grown; -1: it is part of another
+        agenda = [(r, i, i + 1, 0, 0) for i in range(end - 1) if (r := rank(symbols[i] + symbols[i + 1])) is not None]
+        heapify(agenda)
+
+        def offer(i: int, j: int) -> None:
+            if (r := rank(symbols[i] + symbols[j])) is not None:
+                heappush(agenda, (r, i, j, versions[i], versions[j]))
+
+        while agenda:
+            _, i, j, left, right = heappop(agenda)
+            if versions[i] != left or versions[j] != right:  # a side has grown or gone since
+                continue
             taken += 1
             if skip == taken - 1:
                 skip = next(skips, -1)
-                offers[at] = none
                 continue
-            symbols[at] += symbols.pop(at + 1)
-            del offers[at]
-            if at < len(offers):
-                offers[at] = rank(symbols[at] + symbols[at + 1], none)
-            if at:
-                offers[at - 1] = rank(symbols[at - 1] + symbols[at], none)
+            symbols[i] += symbols[j]
+            symbols[j] = ""
+            versions[i] += 1
+            versions[j] = -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                offer(i, k)
+            if i:
+                offer(before[i], i)
         out: list[int] = []
-        for s in symbols:
+        for s in filter(None, symbols):
             if (got := self.piece.get(s)) is not None:
                 out.append(got)
             else:
@@ -401,7 +416,7 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
     partitioning. dropout 0 gives the library's own encoding (but for the literal space mark).
 
     Null text: null ids; empty text: no ids. Null id: keyed as ''. Repeated rows: equal ids. Very long
-    texts are coded run by run in memory of their own size. Empty table: no rows. Extra columns, clashing
+    texts are coded run by run in memory of their own size; time is n log n in the longest run without a space. Empty table: no rows. Extra columns, clashing
     or not, are ignored unless carried.
     """
 

@@ -1,6 +1,7 @@
 """Merge-dropout is drawn for each occurrence of a run, not once for the corpus."""
 
 import random
+import time
 from itertools import pairwise
 
 import numpy as np
@@ -49,3 +50,38 @@ def test_batches_and_caches_change_nothing(dropout, monkeypatch):
         assert ids(raw) == tuple(i for run, d in zip(each, codec._draws(key, len(each)), strict=True) for i in codec.segment(run, int(d)))
     monkeypatch.setattr(pieces, "CACHE_ENTRIES", 0)
     assert [codec.encode_many([t], [k])[0] for t, k in zip(texts, keys, strict=True)] == coded
+
+
+def listed(codec, run, skips):
+    """The agenda as a plain list: the best offer, leftmost first, is sought anew for each candidate."""
+    symbols, dropped, taken = [pieces.MARK, *run], set(), 0
+    places = list(range(len(symbols)))
+    while True:
+        offers = [(codec.rank[a + b], k) for k, (a, b) in enumerate(pairwise(symbols)) if a + b in codec.rank and (places[k], a, b) not in dropped]
+        if not offers:
+            return tuple(codec.piece[s] for s in symbols), taken
+        k = min(offers)[1]
+        taken += 1
+        if taken - 1 in skips:
+            dropped.add((places[k], symbols[k], symbols[k + 1]))
+            continue
+        symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        del places[k + 1]
+
+
+def test_long_runs_equal_a_plain_search():
+    codec, r = pieces.Codec(MODEL), random.Random(12)
+    for alphabet in ("aeinrst", "a", "ab", "theinorgs"):
+        for _ in range(12):
+            run = "".join(r.choice(alphabet) for _ in range(r.randint(30, 120)))
+            skips = sorted(r.sample(range(80), r.randint(0, 20)))
+            assert codec._segment(run, iter(skips)) == listed(codec, run, set(skips))
+
+
+@pytest.mark.parametrize("run", ["abcdefghij" * 20_000, "a" * 200_000, "".join(random.Random(3).choices("ABCDEFabcdef0123456789+/", k=200_000))])
+def test_a_run_of_200000_characters_is_coded_in_seconds(run):
+    codec, began = pieces.Codec(MODEL), time.process_time()
+    coded = codec.encode_many([run, f"x {run[:1000]}"], ["1", "2"])
+    assert time.process_time() - began < 20
+    assert [codec.decode(ids(x)).decode() for x in coded] == [run, f"x {run[:1000]}"]
+    assert pieces.counter(MODEL)(run) == len(pieces.Codec(MODEL, 0.0).encode(run))
