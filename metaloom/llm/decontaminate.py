@@ -6,6 +6,7 @@ import math
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -16,8 +17,10 @@ from pyspark.sql import functions as F
 from .common import free_name, staged
 
 WINDOW = 13
-#: Item text that one automaton may hold; more items make more automata, each scanned over all documents.
-BLOCK_BYTES = 16_000_000
+#: Item text that one automaton may hold (a MB takes some 120 MB in a worker); more items make more automata, each scanned over all documents.
+BLOCK_BYTES = 2_000_000
+#: Number of every word that no item has.
+OTHER = 0
 
 #: Maps every byte to itself, a lower-case letter, or a space where the byte ends a word.
 _FOLD = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -31,36 +34,38 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def automaton(items: list[tuple[str, bytes]], window: int):
-    """Automaton of the items' windows; a match gives (length in words, item ids)."""
-    ids = defaultdict(set)
+    """Automaton of the items' windows, as sequences of numbers of words, and those numbers; a match gives (length in words, item ids).
+
+    A node stands for a word, not for a byte: 13 a window at most.
+    """
+    ids, number = defaultdict(set), {}
     for item_id, text in items:
-        words = words_of(text)
+        words = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
         for i in range(max(1, len(words) - window + 1) if words else 0):
             ids[tuple(words[i : i + window])].add(item_id)
-    made = ahocorasick.Automaton()
+    if not ids:
+        return None
+    made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for words, owners in ids.items():
-        key = b" %b " % b" ".join(words)
-        made.add_word(key.decode("latin-1"), (len(words), len(key), sorted(owners)))
-    if ids:
-        made.make_automaton()
-    return made if ids else None
+        made.add_word(words, (len(words), sorted(owners)))
+    made.make_automaton()
+    return made, number
 
 
 def _scan(text: bytes | None, search) -> tuple[int, list[dict], list[str], list[dict]]:
     """Words, hit word ranges, item ids, and spans of one text."""
     folded = (text or b"").translate(_FOLD)
     words = folded.split()
-    hay = (b" %b " % b" ".join(words)).decode("latin-1")
-    matches = list(search.iter(hay)) if search is not None and words else []
-    if not matches:
+    if search is None or not words:
         return len(words), [], [], []
-    starts = np.concatenate([[1], 1 + np.cumsum([len(w) + 1 for w in words[:-1]], dtype=np.int64)]) if len(words) > 1 else np.array([1])
-    first = np.searchsorted(starts, [at - size + 2 for at, (_, size, _) in matches])
+    made, number = search
     every, by_item = [], defaultdict(list)
-    for i, (_, (n, _, owners)) in zip(first.tolist(), matches, strict=True):
-        every.append((i, i + n))
+    for last, (n, owners) in made.iter(tuple(map(number.get, words, repeat(OTHER)))):
+        every.append((last + 1 - n, last + 1))
         for item in owners:
-            by_item[item].append((i, i + n))
+            by_item[item].append((last + 1 - n, last + 1))
+    if not every:
+        return len(words), [], [], []
     inside = np.frombuffer(folded, np.uint8) != 32
     flips = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
     points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
