@@ -161,7 +161,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     rest = _micro(F.greatest(F.lit(total) - F.col("n_grams"), F.lit(1)))
     out = out.withColumn("log_score", F.col("parts") - F.col("backed_off") * rest)
-    mean = F.round(F.col("log_score") / F.when(F.col("n_grams") > 0, F.col("n_grams")) / UNIT, 6)
+    mean = F.expr("-((n_grams - 2 * log_score) div (2 * nullif(n_grams, 0)))") / UNIT  # in whole millionths, half away from zero
     return out.select(F.col("id").alias(id_col), "n_grams", "log_score", mean.alias("mean_log"))
 
 
@@ -182,5 +182,5 @@ size AS (SELECT nr, greatest((SELECT count(*) FROM p) - len(w), 1) AS others FRO
 t AS (SELECT r.nr, CAST(sum(r.times) AS BIGINT) AS n_grams, CAST(sum(r.times * CASE WHEN r.n > 0 THEN {_micro_sql("CAST(r.n AS DOUBLE) / c.n")}
   ELSE {_micro_sql(f"CAST({DISCOUNT} AS DOUBLE) * greatest(w.n, 1)")} - {_micro_sql("CAST(others AS DOUBLE)")} END) AS BIGINT) AS log_score
   FROM rest2 r JOIN rest1 c ON c.nr = r.nr AND c.word = r.context JOIN rest1 w ON w.nr = r.nr AND w.word = r.word JOIN size ON size.nr = r.nr GROUP BY r.nr)
-SELECT doc_id, coalesce(n_grams, 0) AS n_grams, coalesce(log_score, 0) AS log_score, round(log_score / CAST(n_grams AS DOUBLE) / {UNIT}, 6) AS mean_log FROM d LEFT JOIN t USING (nr)
+SELECT doc_id, coalesce(n_grams, 0) AS n_grams, coalesce(log_score, 0) AS log_score, CAST(-((n_grams - 2 * log_score) // (2 * nullif(n_grams, 0))) AS DOUBLE) / {UNIT} AS mean_log FROM d LEFT JOIN t USING (nr)
 """
