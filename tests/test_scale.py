@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from metaloom.operators import graph
 from metaloom.sources import fixture
 from metaloom.sources.store import written
 
@@ -30,3 +31,20 @@ def test_written_tables_are_broadcast_by_their_rows_in_memory(spark):
     finally:
         spark.conf.set(LIMIT, held)
         spark.conf.unset(FACTOR)
+
+
+def test_small_graphs_are_walked_in_one_shuffle_as_in_rounds(spark):
+    edges = spark.createDataFrame([(1, a, b) for a, b in ["ab", "bc", "cb", "ad", "de", "ce"]] + [(2, "a", "b"), (3, "x", "x"), (None, "a", "b")], "k int, src string, dst string")
+    starts = spark.createDataFrame([(1, "a"), (1, "c"), (2, "a"), (2, "z"), (3, "x"), (None, "a")], "k int, start string")
+    group = spark.sparkContext.statusTracker().getJobIdsForGroup
+    rows = {}
+    for bound in (100, 0, 3):  # walked, in rounds, both
+        spark.sparkContext.setJobGroup(f"closure-{bound}", "")
+        rows[bound] = sorted(map(str, graph.closure(starts, edges, ["k"], bound=bound).collect()))
+    assert rows[100] == rows[0] == rows[3] and len(rows[0]) == 13
+    assert len(group("closure-100")) < len(group("closure-0"))
+    seeds = spark.createDataFrame([(1, "p", "a"), (1, "p", "d"), (1, "q", "c"), (2, "p", "b")], "k int, s string, node string")
+    spreads = [sorted(map(tuple, graph.spread(seeds, edges, ["k", "s"], bound=b).collect())) for b in (100, 0, 3)]
+    assert spreads[0] == spreads[1] == spreads[2] and len(spreads[0]) == 9
+    plain = [sorted(map(tuple, graph.spread(seeds.select("k", "node"), edges, ["k"], bound=b).collect())) for b in (100, 0)]
+    assert plain[0] == plain[1] and len(plain[0]) == 6
