@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from metaloom.operators import graph
+from metaloom.operators import graph, lineage
 from metaloom.sources import fixture
 from metaloom.sources.store import written
 
@@ -48,3 +48,13 @@ def test_small_graphs_are_walked_in_one_shuffle_as_in_rounds(spark):
     assert spreads[0] == spreads[1] == spreads[2] and len(spreads[0]) == 9
     plain = [sorted(map(tuple, graph.spread(seeds.select("k", "node"), edges, ["k"], bound=b).collect())) for b in (100, 0)]
     assert plain[0] == plain[1] and len(plain[0]) == 6
+
+
+def test_cross_session_links_gather_no_pairs(spark):
+    rows = [("T", "F", m, m % 2 + 1) for m in range(400)] + [("T", "G", 3, 1), ("U", "F", 5, 1), ("U", "F", 2, 2), ("U", "F", None, 2)]
+    found = lineage.cross_session_links(spark.createDataFrame(rows, "table_name string, field_name string, mapping_id long, widget_type int"))
+    got = {(r["table_name"], r["field_name"], r["reader"]): r for r in found.collect()}
+    assert len(got) == 200 and got["U", "F", 5]["links"] == "m_2.U.F" and got["T", "F", 4]["links"] == "m_1.T.F\nm_3.T.F" and got["T", "F", 398]["n_links"] == 199
+    plan = _plan(found)
+    above = plan[: plan.index("Join")]
+    assert "Aggregate" not in above and "Exchange" not in above, plan  # pairs are neither dealt out nor gathered
