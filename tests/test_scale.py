@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from metaloom.operators import graph, lineage
+from metaloom.operators import details, graph, lineage
 from metaloom.sources import fixture
-from metaloom.sources.store import written
+from metaloom.sources.store import cut, written
 
 FACTOR = "spark.sql.sources.fileCompressionFactor"
 LIMIT = "spark.sql.autoBroadcastJoinThreshold"
@@ -58,3 +58,17 @@ def test_cross_session_links_gather_no_pairs(spark):
     plan = _plan(found)
     above = plan[: plan.index("Join")]
     assert "Aggregate" not in above and "Exchange" not in above, plan  # pairs are neither dealt out nor gathered
+
+
+def test_detail_texts_of_one_name_are_dealt_out(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(details, "PIECE_CHARS", 20)
+    monkeypatch.setattr(details, "cut", lambda df, name: tables.setdefault(name, cut(df, name)))
+    inst = [(f"S{i}", f"M{i}", "Big") for i in range(40)] + [("S", "M", "None"), ("S", "M", None)]
+    rows = [("s0", "m0", " big", "t0"), (None, "M1", "BIG", "t1"), (None, None, "big", "t2"), (None, None, "Big", "t2"), (None, None, "big", None)]
+    found = details.detail_match(spark.createDataFrame(inst, "session_name string, mapping_name string, name string"), spark.createDataFrame(rows, "session_name string, mapping_name string, name string, text string"))
+    got = {(r["session_name"], r["name"]): (r["level"], r["details"]) for r in found.collect()}
+    assert len(got) == 42 and got["S0", "Big"] == (1, "t0") and got["S1", "Big"] == (2, "t1") and got["S", "None"] == got["S", None] == (None, None)
+    assert {got[f"S{i}", "Big"] for i in range(2, 40)} == {(3, "t0\nt1\nt2")}
+    big = tables["detail-names"].where("__name = 'big'").first()
+    assert big["n"] == 38 and big["pieces"] == 17
