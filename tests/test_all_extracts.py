@@ -1,6 +1,7 @@
 """The summary and the combined table cover every registered extract."""
 
 from metaloom.operators import extract, inventory
+from metaloom.plans import metadata
 from metaloom.plans.registry import ORACLE, QUERIES
 from tests.compare import assert_same, oracle
 
@@ -23,3 +24,11 @@ def test_summary_covers_every_extract(spark):
 
 def test_combined_table_holds_the_rows_of_every_extract(spark):
     assert assert_same(QUERIES["b12_combine_all"](spark, DATA), ORACLE["b12_combine_all"], SF) > 0
+
+
+def test_extracts_read_their_own_rows_of_tables_joined_once(spark):
+    makes = metadata._all(spark, DATA)[1]
+    for name in ("d01_expression", "d10_filter"):
+        plan = makes[name]()._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.splitlines() if "FileScan" in x]
+        assert len(scans) == (5 if name == "d01_expression" else 4) and all("PartitionFilters: [isnotnull(widget_type" in x for x in scans), plan
