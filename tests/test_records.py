@@ -40,6 +40,12 @@ def test_records_and_completeness(spark):
     assert rows == {("missing_connector", "TGT", "Z", "Target field has no inbound connector"), ("missing_connector", "SRC", "B", "Connectors reach the port, no trace visits it")}
     assert R.completeness_report(expected, records.limit(0), reached.limit(0), trace.limit(0)).first()["missing"] == ["TGT.X", "TGT.Y", "TGT.Z"]
 
+    whole = {r["start"]: r for r in records.collect()}
+    for want, more in (("lookups",), []), (("unresolved",), []), (("touched", "stop_expressions"), ["primary_rule", "plain_rule"]):
+        part = R.lineage_records(trace, parent, inst, port, attr, want)
+        assert part.columns == ["mapping_id", "start", "target_instance", "target_field", *want, *more]
+        assert {r["start"]: r for r in part.collect()} == {k: tuple(r[c] for c in part.columns) for k, r in whole.items()}
+
 
 def test_path_counts_know_an_explosion(spark):
     links = [("S", "a0"), ("S", "b0")] + [(f"{x}{i}", f"{y}{i + 1}") for i in range(12) for x in "ab" for y in "ab"] + [("a12", "T"), ("b12", "T"), ("S", "U"), ("p", "q"), ("q", "p"), ("S", "p"), ("p", "V"), ("T", "W")]
