@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from metaloom.operators import details, graph, lineage
+from metaloom.operators import details, graph, lineage, typed_edges
 from metaloom.sources import fixture
 from metaloom.sources.store import cut, written
 
@@ -72,3 +72,16 @@ def test_detail_texts_of_one_name_are_dealt_out(spark, monkeypatch):
     assert {got[f"S{i}", "Big"] for i in range(2, 40)} == {(3, "t0\nt1\nt2")}
     big = tables["detail-names"].where("__name = 'big'").first()
     assert big["n"] == 38 and big["pieces"] == 17
+
+
+def test_dependencies_deal_out_their_rows_once(spark):
+    rows = [(1, "E.G1", "Expression", None, f, "INPUT/OUTPUT", e) for f, e in [("a", None), ("A", None), ("X", "a + B + a"), ("X", "a + B + a"), ("B", "b")]] + [(2, "E", "Expression", None, "X", "OUTPUT", "A")]
+    port = spark.createDataFrame(rows, "mapping_id long, instance string, type string, template string, field string, porttype string, expression string")
+    held = spark.conf.get(LIMIT)
+    try:
+        spark.conf.set(LIMIT, "-1")
+        found = typed_edges.dependencies(port)
+        assert sorted(tuple(r) for r in found.collect()) == [(1, "E.G1.X", "E.G1.A"), (1, "E.G1.X", "E.G1.B"), (1, "E.G1.X", "E.G1.a")]
+        assert _plan(typed_edges.dependencies(port)).count("Exchange hashpartitioning") == 2  # the two sides of the join
+    finally:
+        spark.conf.set(LIMIT, held)
