@@ -27,6 +27,7 @@ def _tables(repo):
 
 def _chain(spark, d):
     repo, feeds = _feeds(spark, d)
+    feeds = cut(feeds, "feeds")
     crossings = C.crossing_edges(repo["x_inst"], lineage.upstream_mapping(repo["inst_table"]), _tables(repo))
     edges = cut(C.chain_edges(repo["x_port"], feeds, crossings), "chain-edges")
     starts = _starts(repo)

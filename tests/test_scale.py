@@ -1,8 +1,10 @@
 """What keeps the queries within their limits on larger tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from metaloom.operators import details, graph, lineage, typed_edges
+from metaloom.operators import chain_order, chains, details, graph, lineage, typed_edges
 from metaloom.sources import fixture
 from metaloom.sources.store import cut, written
 
@@ -85,3 +87,49 @@ def test_dependencies_deal_out_their_rows_once(spark):
         assert _plan(typed_edges.dependencies(port)).count("Exchange hashpartitioning") == 2  # the two sides of the join
     finally:
         spark.conf.set(LIMIT, held)
+
+
+def test_chains_take_a_round_for_a_mapping_not_for_a_step(spark):
+    """Also where a chain comes back to its mapping by another entrance, and on a cycle of mappings."""
+    rows = [(f"{m}|I{i}.F", f"{m}|I{i + 1}.F") for m in range(4) for i in range(30)] + [(f"{m}|I30.F", f"{(m + 1) % 4}|I10.F") for m in range(3)]
+    rows += [("3|I30.F", "0|I5.F"), ("2|I12.F", "2|I11.F"), ("9|X.F", "9|X.F"), ("9|X.F", "8|GONE.F")] + [("0|I0.F", "0|I1.F")]
+    starts = [(f"{m}|I0.F",) for m in range(4)] + [("3|I25.F",), ("9|X.F",), ("7|LONE.F",), ("9|X.F",)]
+    edges, begin = spark.createDataFrame(rows, "node string, parent string"), spark.createDataFrame(starts, "start string")
+    want = set()
+    for (start,) in starts:
+        stack = [start]
+        while stack:
+            node = stack.pop()
+            if (start, node) not in want:
+                want.add((start, node))
+                stack += [p for n, p in rows if n == node]
+    spark.sparkContext.setJobGroup("chain-across", "")
+    got = [tuple(r) for r in chains.chain(begin, edges).collect()]
+    assert sorted(got) == sorted(want)
+    across = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain-across"))
+    spark.sparkContext.setJobGroup("chain-rounds", "")
+    graph.closure(begin, edges.toDF("src", "dst"), []).collect()
+    assert 2 * across < len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain-rounds"))
+
+
+def test_targets_of_a_folder_are_not_dealt_to_every_chain(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(chain_order, "cut", lambda df, name: made.setdefault(name, df))
+    inst = spark.createDataFrame([(m, 1, f"T{m}", f"TAB{m}", "Target Definition") for m in range(4)], "mapping_id int, subject_id int, instance string, definition string, type string")
+    lines = spark.createDataFrame([(f"{m}|T{m}.A", 1, f"T{m}.A") for m in range(4)], "start string, pos int, line string")
+    starts = spark.createDataFrame([(f"{m}|T{m}.A", 1) for m in range(4)], "start string, subject_id int")
+    chain_order.primary_sources(lines, starts, inst)
+    held = spark.conf.get(LIMIT)
+    try:
+        spark.conf.set(LIMIT, "-1")
+        plan = _plan(made["chain-targets"])
+    finally:
+        spark.conf.set(LIMIT, held)
+    assert not re.search(r"SortMergeJoin \[subject_id#\d+\],", plan)  # a folder alone is no key
+
+
+def test_edges_of_a_name_with_instances_of_two_kinds(spark):
+    inst = spark.createDataFrame([(1, "R.A", "Router"), (1, "R.B", "Joiner"), (1, "N", "Normalizer"), (1, "S", None), (2, "R", "Router")], "mapping_id int, instance string, type string")
+    conn = spark.createDataFrame([(1, "R.A", "G.f", "N", "H.g"), (1, "S", "G.f", "R", "K.h"), (2, "R", "G.f", "Q", "L.i")], "mapping_id int, from_inst string, from_field string, to_inst string, to_field string")
+    got = sorted(tuple(r) for r in chains.normalised_edges(conn, inst).collect())
+    assert got == [(1, "R", "G.f", "N", "g"), (1, "R", "f", "N", "g"), (1, "S", "G.f", "R", "K.h"), (2, "R", "f", "Q", "L.i")]
