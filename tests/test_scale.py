@@ -133,3 +133,18 @@ def test_edges_of_a_name_with_instances_of_two_kinds(spark):
     conn = spark.createDataFrame([(1, "R.A", "G.f", "N", "H.g"), (1, "S", "G.f", "R", "K.h"), (2, "R", "G.f", "Q", "L.i")], "mapping_id int, from_inst string, from_field string, to_inst string, to_field string")
     got = sorted(tuple(r) for r in chains.normalised_edges(conn, inst).collect())
     assert got == [(1, "R", "G.f", "N", "g"), (1, "R", "f", "N", "g"), (1, "S", "G.f", "R", "K.h"), (2, "R", "f", "Q", "L.i")]
+
+
+def test_mapplets_deal_out_only_what_touches_one(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(details, "cut", lambda df, name: made.append((name, cut(df, name))) or made[-1][1])
+    conn = [(m, f"A{i}", "F", f"A{i + 1}", "F") for m in (1, 2) for i in range(20)] * 2 + [(1, "A20", "F", "M", "F"), (1, "M", "F", "M", "F"), (1, "M", "G", "T", "F"), (1, "M/E", "F", "T", "F"), (3, "M", "F", "T", "F"), (None, "M", "F", "T", "F")]
+    edge = "from_inst string, from_field string, to_inst string, to_field string"
+    inner = spark.createDataFrame([("D", "IN", "F", "E", "F"), ("D", "E", "F", "OUT", "F"), ("D", "IN", "F", "Q", "F"), ("E", "IN", "F", "X", "F"), ("E", "X", "F", "OUT", "F")], f"definition string, {edge}")
+    inst = spark.createDataFrame([(1, "M", "D")], "mapping_id int, instance string, definition string")
+    nested = spark.createDataFrame([("D", "E", "E")], "definition string, instance string, inner_definition string")
+    got = sorted(map(str, details.expand_mapplets(spark.createDataFrame(conn, f"mapping_id int, {edge}"), inst, inner, nested).collect()))
+    want = [(m, f"A{i}", "F", f"A{i + 1}", "F") for m in (1, 2) for i in range(20)] + [(3, "M", "F", "T", "F"), (None, "M", "F", "T", "F")]
+    want += [(1, a, "F", b, "F") for a, b in [("A20", "M/E/X"), ("A20", "M/Q"), ("M/E/X", "M/E/X"), ("M/E/X", "M/Q"), ("M/E/X", "T")]]
+    assert got == sorted(f"Row(mapping_id={m}, from_inst={a!r}, to_inst={c!r}, from_field={b!r}, to_field={d!r})" for m, a, b, c, d in want)
+    assert max(df.count() for name, df in made if name == "expanded") < 10
