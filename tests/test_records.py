@@ -1,5 +1,7 @@
 """Completeness by name, and path counts, on hand-made graphs."""
 
+import random
+
 from metaloom.operators import graph, lineage
 from metaloom.operators import records as R
 from metaloom.operators import typed_edges as T
@@ -70,3 +72,20 @@ def test_paths_by_target_are_all_paths(spark):
     port = spark.createDataFrame([(1, "S", 1), (1, "a", 5), (1, "b", 5), (1, "T", 2), (1, "U", 2)], "mapping_id int, node string, widget_type int")
     listed = lambda df: sorted(tuple(r["path"]) for r in df.collect())
     assert listed(lineage.paths_by_target(edge, port, 1)) == listed(lineage.paths(edge, port)) == [("S", "a", "T"), ("S", "a", "U"), ("S", "b", "T")]
+
+
+def test_paths_are_counted_and_listed_by_tasks_as_in_rounds(spark):
+    rng = random.Random(5)
+    rows = [(g, a, b) for g in range(6) for a in "abcdefgh" for b in rng.sample("bcdefghi", 2) if g == 5 or a < b] + [(6, "x", "x"), (6, "x", "y"), (None, "a", "i")]
+    edges = spark.createDataFrame(rows + rows[:3], "g int, src string, dst string")
+    name = lambda *x: spark.createDataFrame([(g, n) for g in range(7) for n in x], "g int, node string")
+    starts, ends = name("a", "b", "x"), name("i", "f", "y")
+    listed = lambda df: sorted(map(str, df.collect()))
+    ways = {"counts": lambda b: graph.path_counts(edges, starts, ends, ["g"], bound=b), "forward": lambda b: graph.forward_paths(edges, starts, ends, ["g"], bound=b), "backward": lambda b: graph.backward_paths(edges, starts, name("i", "y"), ends, ["g"], bound=b)}
+    for what, made in ways.items():
+        jobs, rows = [], []
+        for bound in (100, 0, 15):  # by tasks, in rounds, both
+            spark.sparkContext.setJobGroup(f"{what}-{bound}", "")
+            rows.append(listed(made(bound)))
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{what}-{bound}")))
+        assert rows[0] == rows[1] == rows[2] and len(rows[0]) > 5 and jobs[0] < jobs[1], (what, jobs)
