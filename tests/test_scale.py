@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from metaloom.operators import chain_order, chains, details, graph, lineage, typed_edges
+from metaloom.plans import lineage as plans_lineage
 from metaloom.sources import fixture
 from metaloom.sources.store import cut, written
 
@@ -148,3 +149,10 @@ def test_mapplets_deal_out_only_what_touches_one(spark, monkeypatch):
     want += [(1, a, "F", b, "F") for a, b in [("A20", "M/E/X"), ("A20", "M/Q"), ("M/E/X", "M/E/X"), ("M/E/X", "M/Q"), ("M/E/X", "T")]]
     assert got == sorted(f"Row(mapping_id={m}, from_inst={a!r}, to_inst={c!r}, from_field={b!r}, to_field={d!r})" for m, a, b, c, d in want)
     assert max(df.count() for name, df in made if name == "expanded") < 10
+
+
+def test_a_trace_reads_the_parents_that_are_written(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(lineage, "parent_edges", lambda *x, own=lineage.parent_edges: made.append(x) or own(*x))
+    plans_lineage._trace(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1
