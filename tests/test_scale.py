@@ -1,13 +1,15 @@
 """What keeps the queries within their limits on larger tables."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
 
 from metaloom.operators import chain_order, chains, details, graph, lineage, typed_edges
+from metaloom.plans import extras
 from metaloom.plans import lineage as plans_lineage
 from metaloom.sources import fixture
-from metaloom.sources.store import cut, written
+from metaloom.sources.store import cut, keeps_texts_once, shared_folder, written
 
 FACTOR = "spark.sql.sources.fileCompressionFactor"
 LIMIT = "spark.sql.autoBroadcastJoinThreshold"
@@ -156,3 +158,32 @@ def test_a_trace_reads_the_parents_that_are_written(spark, monkeypatch):
     monkeypatch.setattr(lineage, "parent_edges", lambda *x, own=lineage.parent_edges: made.append(x) or own(*x))
     plans_lineage._trace(spark, "/root/testdata/sf0.001")
     assert len(made) == 1
+
+
+def _size(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+CODEC, DICTIONARY = "spark.sql.parquet.compression.codec", "parquet.dictionary.page.size"
+
+
+def test_links_of_a_table_are_written_without_what_they_share(spark, tmp_path):
+    rows = [("T", "F", m, m % 2 + 1) for m in range(6_000)] + [("A\nB", "C\n", m, m % 2 + 1) for m in range(7)] + [("A\nB", "C\n", None, 1), (None, "F", 1, 1), (None, "F", 2, 2)]
+    try:
+        plans_lineage.f47(spark, "/root/testdata/sf0.001")  # it sets what the session's writers do
+        found = lineage.cross_session_links(spark.createDataFrame(rows, "table_name string, field_name string, mapping_id long, widget_type int"))
+        found.write.parquet(str(tmp_path / "links"))
+    finally:
+        spark.conf.unset(CODEC)
+        spark.conf.unset(DICTIONARY)
+    read = {(r["table_name"], r["reader"]): r for r in spark.read.parquet(str(tmp_path / "links")).collect()}
+    assert len(read) == 2_999 + 3 and read["A\nB", 4]["links"] == "m_1.A\nB.C\n\nm_3.A\nB.C\n" and read["A\nB", 6]["n_links"] == 3
+    assert all(r["links"] == "\n".join(f"m_{w}.T.F" for w in range(1, at, 2)) for (table, at), r in read.items() if table == "T")
+    assert _size(tmp_path / "links") * 50 < sum(len(r["links"]) for r in read.values())
+
+
+def test_written_tables_replace_the_shuffle_files_of_their_job(spark):
+    files = lambda: sum(f.endswith(".data") for at, _, fs in os.walk(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]) for f in fs)
+    before = files()
+    path = written(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "shuffled")
+    assert files() <= before and any(".zstd." in f for f in os.listdir(path)) and shared_folder(spark) in path
