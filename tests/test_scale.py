@@ -187,3 +187,27 @@ def test_written_tables_replace_the_shuffle_files_of_their_job(spark):
     before = files()
     path = written(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count(), "shuffled")
     assert files() <= before and any(".zstd." in f for f in os.listdir(path)) and shared_folder(spark) in path
+
+
+def test_a_long_text_of_many_instances_is_written_once(spark, tmp_path, monkeypatch):
+    tables = {}
+    inst = spark.range(400).select(F.concat(F.lit("S"), "id").alias("session_name"), F.concat(F.lit("M"), "id").alias("mapping_name"), F.lit("Big").alias("name"))
+    rows = spark.range(250_000).select(F.lit(None).cast("string").alias("session_name"), F.lit(None).cast("string").alias("mapping_name"), F.lit("big").alias("name"), F.md5(F.col("id").cast("string")).substr(1, 8).alias("text"))
+    try:
+        extras.f44(spark, "/root/testdata/sf0.001")  # it sets what the session's writers do
+        monkeypatch.setattr(details, "cut", lambda df, name: tables.setdefault(name, cut(df, name)))
+        details.detail_match(inst, rows).write.parquet(str(tmp_path / "details"))
+    finally:
+        spark.conf.unset(CODEC)
+        spark.conf.unset(DICTIONARY)
+    got = spark.read.parquet(str(tmp_path / "details")).agg(F.count("*").alias("n"), F.countDistinct("details").alias("texts"), F.sum(F.length("details")).alias("chars")).first()
+    assert got["n"] == 400 and got["texts"] == 1 and got["chars"] > 800_000_000
+    assert _size(tmp_path / "details") < 40_000_000  # a text or two for each task, not one for each instance
+    assert tables["detail-names"].first()["pieces"] <= details.PIECES * 8
+    spark.conf.set(CODEC, "gzip")
+    try:
+        keeps_texts_once(spark)
+        assert spark.conf.get(CODEC) == "gzip"
+    finally:
+        spark.conf.unset(CODEC)
+        spark.conf.unset(DICTIONARY)
