@@ -1,6 +1,7 @@
 """What keeps the queries within their limits on larger tables."""
 
 import os
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -92,6 +93,41 @@ def test_dependencies_deal_out_their_rows_once(spark):
         spark.conf.set(LIMIT, held)
 
 
+def test_parents_deal_out_their_edges_once(spark):
+    """Against the same edges joined one by one; ports given twice, of which one stops or ends a walk, and nodes that two instances spell alike."""
+    rng = random.Random(3)
+    kinds = [("Expression", None), ("Router", None), ("Joiner", None), ("Lookup Procedure", None), ("Custom Transformation", "Union Transformation"), ("SQL", None), ("Rank", None), ("Normalizer", None), ("Source Definition", None), ("Target Definition", None)]
+    ports, conn, attr = [], [], []
+    for m in (1, 2):
+        names = [(f"I{i}" + (".G1" if k[0] in ("Router", "Joiner") and i % 2 else ""), *k) for i, k in enumerate(kinds * 2)]
+        for inst, type_, template in names + rng.sample(names, 5) + [("I0.A", "Expression", None)]:
+            for field in rng.sample(["A", "b", "B", "A.A", "RANKINDEX", "GK_1"], 4):
+                ports.append((m, inst, type_, template, field, rng.choice(["INPUT", "OUTPUT", "RETURN"]), rng.choice([None, "", "A", "A + B", "b = A", "f(gk_1)"])))
+        for _ in range(300):
+            (a, *_), (b, *_) = rng.sample(names, 2)
+            conn.append((m, a, rng.choice(["a", "A", "b", "B"]), rng.choice([b, b.split(".")[0], f"{b}.IN1"]), rng.choice(["A", "b", "B", "RANKINDEX"])))
+        attr += [(m, i, t, n, v) for i, t, _ in names for n, v in (("Lookup condition", "A = B AND b = A"), ("Sql Query", "select :a, :B")) if (t == "SQL") == (n == "Sql Query")]
+    port = spark.createDataFrame(ports, "mapping_id long, instance string, type string, template string, field string, porttype string, expression string")
+    links = spark.createDataFrame(conn, "mapping_id long, from_inst string, from_field string, to_inst string, to_field string")
+    attrs = spark.createDataFrame(attr, "mapping_id long, instance string, type string, name string, value string")
+    T = typed_edges
+    key = ["mapping_id", "node"]
+    walked = T.connector_edges(port, links).join(T.stops(port), key, "left_anti")
+    inner = T.dependencies(port).unionByName(T.lookup_edges(attrs, port)).unionByName(T.bind_edges(attrs, port)).unionByName(T.opaque_edges(port))
+    ends = T.generated_ports(port).select(*key).union(T.return_ports(port).select(*key))
+    want = walked.unionByName(inner).distinct().join(ends, key, "left_anti")
+    held = spark.conf.get(LIMIT)
+    try:
+        spark.conf.set(LIMIT, "-1")
+        got = T.parents(port, attrs, links)
+        rows = sorted(tuple(r) for r in got.collect())
+        assert rows == sorted(tuple(r) for r in want.collect()) and len(rows) > 100
+        plan = _plan(T.parents(port, attrs, links))
+        assert "LeftAnti" not in plan and plan.count("Exchange hashpartitioning") < _plan(want).count("Exchange hashpartitioning") - 5
+    finally:
+        spark.conf.set(LIMIT, held)
+
+
 def test_chains_take_a_round_for_a_mapping_not_for_a_step(spark):
     """Also where a chain comes back to its mapping by another entrance, and on a cycle of mappings."""
     rows = [(f"{m}|I{i}.F", f"{m}|I{i + 1}.F") for m in range(4) for i in range(30)] + [(f"{m}|I30.F", f"{(m + 1) % 4}|I10.F") for m in range(3)]
