@@ -128,6 +128,24 @@ def test_parents_deal_out_their_edges_once(spark):
         spark.conf.set(LIMIT, held)
 
 
+def test_ties_are_made_once_for_both_ways(spark):
+    ports = [(1, i, t, None, f, "INPUT", e) for i, t in [("E", "Expression"), ("L", "Lookup Procedure"), ("F", "Filter")] for f, e in [("A", "A + B"), ("B", None), ("C", None)]]
+    port = spark.createDataFrame(ports, "mapping_id long, instance string, type string, template string, field string, porttype string, expression string")
+    attr = spark.createDataFrame([(1, "L", "Lookup Procedure", "Lookup condition", "A = C"), (1, "F", "Filter", "Filter Condition", "B > C")], "mapping_id long, instance string, type string, name string, value string")
+    held = spark.conf.get(LIMIT)
+    try:
+        spark.conf.set(LIMIT, "-1")
+        found = typed_edges.co_references(attr, port)
+        one = {(f"{i}.A", f"{i}.B") for i in "ELF"} | {("L.A", "L.C"), ("F.B", "F.C")}
+        assert {(r["node"], r["parent"]) for r in found.collect()} == one | {(b, a) for a, b in one}
+        assert _plan(typed_edges.co_references(attr, port)).count("Generate inline") == 1  # after the ties, which aren't made again for the other way
+    finally:
+        spark.conf.set(LIMIT, held)
+    edges = spark.createDataFrame([(1, "a", "b")] * 3, "k int, src string, dst string")
+    seeds = spark.createDataFrame([(1, "a")] * 2, "k int, node string")
+    assert [sorted(map(tuple, graph.spread(seeds, edges, ["k"], bound=b).collect())) for b in (100, 0)] == [[(1, "a"), (1, "b")]] * 2
+
+
 def test_chains_take_a_round_for_a_mapping_not_for_a_step(spark):
     """Also where a chain comes back to its mapping by another entrance, and on a cycle of mappings."""
     rows = [(f"{m}|I{i}.F", f"{m}|I{i + 1}.F") for m in range(4) for i in range(30)] + [(f"{m}|I30.F", f"{(m + 1) % 4}|I10.F") for m in range(3)]
